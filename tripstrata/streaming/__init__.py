@@ -1,0 +1,5 @@
+"""Empty on purpose: trips arrive as whole monthly files.
+
+Late rows are taken up by the marts' rolling window (operators/windows.py), and a
+changed file by replacing its batch (operators/batches.py).
+"""
