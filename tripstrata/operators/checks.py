@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -155,6 +156,33 @@ def _percent(part: Column, whole: Column) -> Column:
     return part.cast("double") / F.nullif(whole, F.lit(0)).cast("double") * 100
 
 
+_DESCRIPTION = (
+    "position int, suite string, suite_version string, expectation_type string, severity string, domain string, "
+    "rationale string, column_name string, min_value double, max_value double, value_set string, mostly double"
+)
+
+
+def _describe(expectations: tuple[Expectation, ...], policy: Policy) -> list[dict[str, object]]:
+    """The columns of a result row that do not depend on the data."""
+    return [
+        {
+            "position": position,
+            "suite": policy.suite(e.severity),
+            "suite_version": policy.version(e.severity),
+            "expectation_type": e.kind,
+            "severity": e.severity,
+            "domain": e.domain,
+            "rationale": e.rationale,
+            "column_name": e.column,
+            "min_value": e.min_value,
+            "max_value": e.max_value,
+            "value_set": ",".join(map(str, e.value_set)) if e.value_set else None,
+            "mostly": e.mostly,
+        }
+        for position, e in enumerate(expectations)
+    ]
+
+
 def evaluate(df: DataFrame, expectations: tuple[Expectation, ...], policy: Policy = Policy()) -> DataFrame:
     """One row per expectation; all counters come from one aggregate over ``df``.
 
@@ -165,31 +193,22 @@ def evaluate(df: DataFrame, expectations: tuple[Expectation, ...], policy: Polic
         skip = F.expr(e.missing) if e.missing else F.lit(False)
         broken = ~skip & F.expr(e.unexpected)
         counters += [F.count_if(skip).alias(f"m{i}"), F.count_if(broken).alias(f"u{i}")]
-    rows = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(policy.suite(e.severity)).alias("suite"),
-            F.lit(policy.version(e.severity)).alias("suite_version"),
-            F.lit(e.kind).alias("expectation_type"),
-            F.lit(e.severity).alias("severity"),
-            F.lit(e.domain).alias("domain"),
-            F.lit(e.rationale).alias("rationale"),
-            F.lit(e.column).alias("column_name"),
-            F.lit(e.min_value).cast("double").alias("min_value"),
-            F.lit(e.max_value).cast("double").alias("max_value"),
-            F.lit(",".join(map(str, e.value_set)) if e.value_set else None).cast("string").alias("value_set"),
-            F.lit(float(e.mostly)).alias("mostly"),
-            F.col("n").alias("element_count"),
-            F.col(f"m{i}").alias("missing_count"),
-            F.col(f"u{i}").alias("unexpected_count"),
-        )
-        for i, e in enumerate(expectations)
-    ]
+    described = F.from_json(F.lit(json.dumps(_describe(expectations, policy))), f"array<struct<{_DESCRIPTION}>>")
+    numbers = range(len(expectations))
+    own = F.col("position") + 1
     present = F.col("element_count") - F.col("missing_count")
     kept = (present - F.col("unexpected_count")).cast("double") / F.nullif(present, F.lit(0)).cast("double")
     return (
         df.agg(*counters)
-        .select(F.inline(F.array(*rows)))
+        .select(
+            F.inline(described),
+            F.col("n").alias("element_count"),
+            F.array(*[f"m{i}" for i in numbers]).alias("_missing"),
+            F.array(*[f"u{i}" for i in numbers]).alias("_unexpected"),
+        )
+        .withColumn("missing_count", F.element_at("_missing", own))
+        .withColumn("unexpected_count", F.element_at("_unexpected", own))
+        .drop("_missing", "_unexpected")
         .withColumn("missing_percent", _percent(F.col("missing_count"), F.col("element_count")))
         .withColumn("unexpected_percent", _percent(F.col("unexpected_count"), present))
         .withColumn("unexpected_percent_total", _percent(F.col("unexpected_count"), F.col("element_count")))

@@ -14,13 +14,14 @@ from tripstrata.storage.files import Files
 #  - AQE coalesces the small aggregate shuffles, splits hot join keys and splits
 #    oversized slices of the rebalanced writes
 #  - the advisory size is the size of a written table file before compression
+#  - recording a Python call site for every column expression makes plans slow to build
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-    "spark.sql.parquet.filterPushdown": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
