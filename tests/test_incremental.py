@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import FIRST_LOAD, folders, raw_trips, source, trip
-from tripstrata.operators.audit import BatchMismatch, assert_in_sync
+from tripstrata.operators.audit import BatchMismatch, assert_in_sync, extra_rows, missing_rows, surplus
 from tripstrata.operators.batches import delete_batch, load_batch, load_months
 from tripstrata.operators.checks import QualityError
 from tripstrata.operators.layout import convert_flat_clean, list_partitions, table_span, write_flat_snapshot
@@ -233,6 +233,15 @@ def test_audit_counts_repeats(warehouse):
     assert_in_sync(staged(warehouse), clean.dropDuplicates(["row_fingerprint"]), ["2024-02"])
 
 
+def test_surplus_is_except_all_counted(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (2, None), (2, None), (3, "c")], "k int, v string")
+    right = spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (3, "c"), (4, "d")], "k int, v string")
+    counted = {(r.k, r.v): r.n for r in surplus(left, right).collect()}
+    assert counted == {(1, "a"): 2, (2, None): 1}
+    assert sorted(tuple(r) for r in missing_rows(left, right).collect()) == [(1, "a"), (1, "a"), (2, None)]
+    assert sorted(tuple(r) for r in extra_rows(left, right).collect()) == [(3, "c"), (4, "d")]
+
+
 def test_quarantine_partial_equals_full(warehouse):
     bad = trip("2024-01", 11, "2024-01-10 10:00", minutes=None)
     put(warehouse, JAN + FEB + [bad], ALL)
@@ -290,6 +299,19 @@ def test_run_twice_and_replace(warehouse, files):
     assert vendors(warehouse) == [1, 2, 3, 4]
 
 
+def test_run_loads_zones(warehouse, files, spark):
+    zones = scratch_dir(spark, "zones")
+    spark.createDataFrame([(1, "B", "Z", "S")], "LocationID int, Borough string, Zone string, service_zone string").write.mode(
+        "overwrite"
+    ).option("header", True).csv(zones)
+    run_all(warehouse, "2024-01", files, zones_path=zones, skip_build=True, skip_tests=True, skip_checks=True)
+    assert warehouse.read("zones").count() == 1 and vendors_of_raw(warehouse) == [1, 2]
+
+
+def vendors_of_raw(warehouse):
+    return sorted(r[0] for r in warehouse.read("raw").select("vendorid").collect())
+
+
 def test_run_stages_can_be_skipped(warehouse, files):
     run_all(warehouse, "2024-01", files, select="clean")
     assert warehouse.exists("clean") and not warehouse.exists("quarantine") and not warehouse.exists("daily_zone")

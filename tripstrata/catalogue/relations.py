@@ -23,7 +23,7 @@ from tripstrata.catalogue.base import (
     with_place,
 )
 from tripstrata.functions.temporal import BATCH_PATTERN
-from tripstrata.operators.audit import extra_rows, missing_rows
+from tripstrata.operators.audit import missing_rows, surplus
 from tripstrata.operators.batches import batch_list, changed_batches, has_batch, trips_of
 from tripstrata.operators.layout import list_partitions
 from tripstrata.operators.staging import quarantined_trips, valid_trips
@@ -246,12 +246,22 @@ _PAIR = "pu_location_id, do_location_id, payment_type"
 )
 def x01(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected, actual = _two_sides(spark, sf_dir)
-    return missing_rows(expected, actual).groupBy(*expected.columns).agg(F.count(F.lit(1)).alias("n"))
+    return surplus(expected, actual)
 
 
 _TWICE = f"SELECT {_PAIR} FROM li_clean UNION ALL SELECT {_PAIR} FROM li_clean"
 
 
+@query(
+    "X01_missing_rows",
+    sql("li", "SELECT batch_id, vendor_id FROM li_stg EXCEPT ALL SELECT batch_id, vendor_id FROM li_clean"),
+)
+def x01_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each missing row itself: trips of orders that lost some of their lines."""
+    keys = ("batch_id", "vendor_id")
+    return missing_rows(staged(spark, sf_dir, "li").select(*keys), clean(spark, sf_dir, "li").select(*keys))
+
+
 @query(
     "X02_extra_multiset",
     sql("li", f"SELECT {_PAIR}, count(*) AS n FROM (({_TWICE}) EXCEPT ALL SELECT {_PAIR} FROM li_stg) GROUP BY ALL"),
@@ -259,4 +269,4 @@ _TWICE = f"SELECT {_PAIR} FROM li_clean UNION ALL SELECT {_PAIR} FROM li_clean"
 def x02(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean counted twice against its source: a batch inserted without its delete."""
     expected, actual = _two_sides(spark, sf_dir)
-    return extra_rows(expected, actual.unionAll(actual)).groupBy(*expected.columns).agg(F.count(F.lit(1)).alias("n"))
+    return surplus(actual.unionAll(actual), expected)

@@ -22,6 +22,16 @@ def extra_rows(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return actual.exceptAll(expected)
 
 
+def surplus(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``left.exceptAll(right)`` with a count ``n`` in place of repeated rows.
+
+    A row repeated a billion times stays one row, so no task has to write it out.
+    """
+    columns = left.columns
+    signed = left.withColumn("n", F.lit(1)).unionAll(right.select(*columns).withColumn("n", F.lit(-1)))
+    return signed.groupBy(*columns).agg(F.sum("n").alias("n")).where(F.col("n") > 0)
+
+
 def audit_batches(staged: DataFrame, clean: DataFrame) -> DataFrame:
     """Per batch: expected, actual, missing and extra row counts.
 

@@ -55,7 +55,8 @@ def build_quarantine(warehouse: Warehouse, full: bool = True) -> list[str]:
     same: it redoes each batch that has no quarantined row or was loaded later, and drops
     batches that left raw.
     """
-    rows = quarantined_trips(staged(warehouse))
+    # few rows of each input task end up here: bring a batch's rows together, or every task leaves a small file
+    rows = quarantined_trips(staged(warehouse)).hint("rebalance", "batch_id")
     if full:
         warehouse.publish("quarantine", rows, ALL)
         return warehouse.values("raw")
@@ -68,8 +69,14 @@ def build_quarantine(warehouse: Warehouse, full: bool = True) -> list[str]:
     return redo
 
 
-def _by_month(marts: DataFrame) -> DataFrame:
-    return marts.hint("rebalance", "trip_month")
+# A mart holds at most a few rows per day, hour or zone, but one file per month: several
+# tasks write the files, each month in one of them.
+MART_WRITERS = 32
+
+
+def _by_month(rows: DataFrame) -> DataFrame:
+    writers = min(MART_WRITERS, rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(writers, "trip_month")
 
 
 def build_mart(warehouse: Warehouse, name: str, window: MartWindow | None) -> list[str]:

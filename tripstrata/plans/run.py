@@ -21,6 +21,7 @@ from tripstrata.plans.builds import (
     run_schema_tests,
     staged,
 )
+from tripstrata.sources.zones import load_zones, read_zones
 from tripstrata.storage.warehouse import Warehouse
 
 BUILDS = ("clean", "quarantine", *MARTS)
@@ -53,6 +54,7 @@ def run_all(
     months: str | Iterable[str],
     paths: Mapping[str, str],
     *,
+    zones_path: str | None = None,
     dataset: str = DATASET,
     replace: bool = False,
     full_refresh: bool = False,
@@ -66,7 +68,7 @@ def run_all(
     skip_checks: bool = False,
     skip_audit: bool = True,
 ) -> RunReport:
-    """Load, build, test and check.
+    """Load zones and months, build, test and check.
 
     ``replace`` reloads the months and rebuilds exactly them in clean. ``full_refresh``
     rebuilds quarantine and marts in full; clean stays incremental, as rebuilding it is
@@ -77,6 +79,8 @@ def run_all(
         raise ValueError("no months given")
     report = RunReport()
     if not skip_ingest:
+        if zones_path:
+            load_zones(warehouse, read_zones(warehouse.spark, zones_path))
         report.loads = load_months(warehouse, wanted, paths, dataset, replace)
     if not skip_build:
         builds = selected_builds(select)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +61,3 @@ def load_sample(warehouse: Warehouse) -> None:
     load_zones(warehouse, sample_zones(warehouse.spark))
     warehouse.publish("raw", sample_raw(warehouse.spark), ALL)
 
-
-def sample_total() -> Decimal:
-    return sum((Decimal(row[-1]) for row in SAMPLE_TRIPS), Decimal(0))
