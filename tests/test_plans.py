@@ -7,7 +7,6 @@ from datetime import datetime
 
 import pytest
 
-import __spark_entry__ as contract
 from tripstrata.catalogue.base import Q1_END, Q1_START, built_warehouse, clean, staged
 from tripstrata.operators.audit import audit_batches
 from tripstrata.operators.checks import Policy, evaluate, in_set, suites, unexpected_sample

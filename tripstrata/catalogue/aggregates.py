@@ -155,8 +155,8 @@ def _comparison(before_run: str, after_run: str, before_where: str = "true", aft
     return f"""WITH {LOG_SQL}, {_RANKED}, {_MEDIANS},
         b AS (SELECT query, median AS before_ms FROM medians WHERE run_id = {before_run} AND phase = 'before' AND {before_where}),
         a AS (SELECT query, median AS after_ms FROM medians WHERE run_id = {after_run} AND phase = 'after' AND {after_where})
-        SELECT query, before_ms, after_ms, round(before_ms / after_ms, 2) AS speedup_x,
-          round((1.0 - after_ms / before_ms) * 100, 1) AS improvement_pct FROM b FULL OUTER JOIN a USING (query)"""
+        SELECT query, before_ms, after_ms, round_even(before_ms / after_ms * 100, 0) / 100 AS speedup_x,
+          round_even((1.0 - after_ms / before_ms) * 100 * 10, 0) / 10 AS improvement_pct FROM b FULL OUTER JOIN a USING (query)"""
 
 
 @query("J04_full_outer_medians", _comparison("'20240101_000000'", "'20240101_000000'", "query <> 'click'", "query <> 'view'"))

@@ -21,7 +21,7 @@ from tripstrata.catalogue.base import (
     sql,
     staged,
 )
-from tripstrata.catalogue.relations import _IS_CHANGED, _stale_clean
+from tripstrata.catalogue.relations import IS_CHANGED, stale_clean
 from tripstrata.operators.batches import batch_list, changed_batches, delete_batch, load_months, trips_of
 from tripstrata.operators.windows import window_bounds
 from tripstrata.plans.builds import build_clean, build_marts, build_quarantine, row_counts
@@ -78,9 +78,9 @@ def b03(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("B04_changed_batches", sql("li", f"SELECT DISTINCT batch_id FROM li_raw WHERE {_IS_CHANGED}"))
+@query("B04_changed_batches", sql("li", f"SELECT DISTINCT batch_id FROM li_raw WHERE {IS_CHANGED}"))
 def b04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changed_batches(staged(spark, sf_dir, "li"), _stale_clean(spark, sf_dir))
+    return changed_batches(staged(spark, sf_dir, "li"), stale_clean(spark, sf_dir))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripstrata.catalogue.base import doubles, query, raw, sql, staged
-from tripstrata.catalogue.relations import _ODD_SQL, _odd_batches
+from tripstrata.catalogue.relations import ODD_BATCH_SQL, odd_batches
 from tripstrata.functions import temporal as TS
 from tripstrata.functions.scalars import blank_to_null, improvement_pct, row_fingerprint, speedup, text
 from tripstrata.operators.staging import valid_trips, with_reason
@@ -74,10 +74,10 @@ def p08(spark: SparkSession, sf_dir: str) -> DataFrame:
     "P09_batch_month",
     f"""SELECT batch_id, CASE WHEN regexp_matches(batch_id, '^[0-9]{{4}}-[0-9]{{2}}$')
           THEN CAST(TRY_CAST(batch_id || '-01' AS DATE) AS TIMESTAMP) END AS first_day, count(*) AS n
-        FROM (SELECT {_ODD_SQL} AS batch_id FROM events) GROUP BY 1, 2""",
+        FROM (SELECT {ODD_BATCH_SQL} AS batch_id FROM events) GROUP BY 1, 2""",
 )
 def p09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _odd_batches(spark, sf_dir)
+    rows = odd_batches(spark, sf_dir)
     return rows.groupBy("batch_id", TS.batch_month("batch_id").alias("first_day")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -126,8 +126,8 @@ def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "P15_speedup_ratios",
-    """SELECT event_type, before_ms, after_ms, round(before_ms / after_ms, 2) AS speedup_x,
-         round((1.0 - after_ms / before_ms) * 100, 1) AS improvement_pct FROM (
+    """SELECT event_type, before_ms, after_ms, round_even(before_ms / after_ms * 100, 0) / 100 AS speedup_x,
+         round_even((1.0 - after_ms / before_ms) * 100 * 10, 0) / 10 AS improvement_pct FROM (
          SELECT event_type, CAST(sum(CASE WHEN user_id % 2 = 0 THEN CAST(value AS DECIMAL(18,3)) END) AS DOUBLE) AS before_ms,
            CAST(sum(CASE WHEN user_id % 2 = 1 THEN CAST(value AS DECIMAL(18,3)) END) AS DOUBLE) AS after_ms
          FROM events GROUP BY 1)""",

@@ -75,22 +75,22 @@ _BATCH_TEXT = """CASE event_id % 5 WHEN 0 THEN '2024-13' WHEN 1 THEN 'test' WHEN
     WHEN 3 THEN '2023-11' ELSE {month} END"""
 
 
-def _odd_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def odd_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch ids of which some are no month at all."""
     text = _BATCH_TEXT.format(month="date_format(ts, 'yyyy-MM')")
     return table(spark, sf_dir, "events").selectExpr(f"{text} AS batch_id")
 
 
-_ODD_SQL = _BATCH_TEXT.format(month="strftime(ts, '%Y-%m')")
+ODD_BATCH_SQL = _BATCH_TEXT.format(month="strftime(ts, '%Y-%m')")
 
 
 @query(
     "F05_batch_pattern",
-    f"""SELECT batch_id, count(*) AS n FROM (SELECT {_ODD_SQL} AS batch_id FROM events)
+    f"""SELECT batch_id, count(*) AS n FROM (SELECT {ODD_BATCH_SQL} AS batch_id FROM events)
         WHERE regexp_matches(batch_id, '^[0-9]{{4}}-[0-9]{{2}}$') GROUP BY 1""",
 )
 def f05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _odd_batches(spark, sf_dir).where(F.col("batch_id").rlike(BATCH_PATTERN))
+    rows = odd_batches(spark, sf_dir).where(F.col("batch_id").rlike(BATCH_PATTERN))
     return rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -139,7 +139,7 @@ def j01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("vendor_id", "locationid", "borough", "zone")
 
 
-def _stale_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stale_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean as it was before the batches from 2000 on arrived and those of 1997 were reloaded."""
     older = F.lit(LOADED_AT) - F.make_dt_interval(F.lit(1))
     reloaded = F.col("batch_id").between("1997-01", "1997-12")
@@ -147,23 +147,23 @@ def _stale_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips.withColumn("ingested_at", F.when(reloaded, older).otherwise(F.col("ingested_at")))
 
 
-_IS_CHANGED = "(batch_id >= '2000-01' OR batch_id BETWEEN '1997-01' AND '1997-12')"
-_CHANGED = sql("li", f"SELECT DISTINCT batch_id FROM li_raw WHERE {_IS_CHANGED}")
+IS_CHANGED = "(batch_id >= '2000-01' OR batch_id BETWEEN '1997-01' AND '1997-12')"
+_CHANGED = sql("li", f"SELECT DISTINCT batch_id FROM li_raw WHERE {IS_CHANGED}")
 
 
 @query("J02_changed_batches_left_join", _CHANGED)
 def j02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changed_batches(staged(spark, sf_dir, "li"), _stale_clean(spark, sf_dir))
+    return changed_batches(staged(spark, sf_dir, "li"), stale_clean(spark, sf_dir))
 
 
 @query(
     "J03_semi_join_changed",
     sql("li", f"""SELECT batch_id, count(*) AS n FROM li_stg
-        WHERE {_IS_CHANGED} GROUP BY 1"""),
+        WHERE {IS_CHANGED} GROUP BY 1"""),
 )
 def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = staged(spark, sf_dir, "li")
-    changed = changed_batches(trips, _stale_clean(spark, sf_dir))
+    changed = changed_batches(trips, stale_clean(spark, sf_dir))
     return trips_of(trips, changed).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -40,19 +40,23 @@ def order_statistics(
     )
     in_order = Window.partitionBy(*keys, "stat").orderBy("_bucket")
     for level, shift in enumerate(_SHIFTS):
-        left, right = counts.alias("c"), targets.alias("t")
-        same = [F.col(f"c.{key}").eqNullSafe(F.col(f"t.{key}")) for key in keys]
+        bucket = F.shiftright(F.col("_code"), shift).alias("_bucket")
         if level:
+            # only codes of the bucket the rank lies in
+            left, right = counts.alias("c"), targets.alias("t")
+            same = [F.col(f"c.{key}").eqNullSafe(F.col(f"t.{key}")) for key in keys]
             same.append(F.shiftright(F.col("c._code"), shift + 20) == F.col("t._bucket"))
-        histogram = (
-            left.join(right, reduce(Column.__and__, same))
-            .groupBy(*[F.col(f"t.{key}").alias(key) for key in keys], "t.stat", "t.n", "t.rank",
-                     F.shiftright(F.col("c._code"), shift).alias("_bucket"))
-            .agg(F.sum("_rows").alias("_rows"))
-            .withColumn("_upto", F.sum("_rows").over(in_order))
-        )
+            narrowed = left.join(right, reduce(Column.__and__, same)).select("t.*", "c._code", "c._rows").drop("_bucket")
+            histogram = narrowed.groupBy(*keys, "stat", "n", "rank", bucket).agg(F.sum("_rows").alias("_rows"))
+        else:
+            # all codes count here, so they are reduced before anything is joined
+            left = counts.groupBy(*keys, bucket).agg(F.sum("_rows").alias("_rows")).alias("c")
+            right = targets.alias("t")
+            same = [F.col(f"c.{key}").eqNullSafe(F.col(f"t.{key}")) for key in keys]
+            histogram = left.join(right, reduce(Column.__and__, same)).select("t.*", "c._bucket", "c._rows")
+        cumulated = histogram.withColumn("_upto", F.sum("_rows").over(in_order))
         below = F.col("_upto") - F.col("_rows")
-        targets = histogram.where((F.col("_upto") > F.col("rank")) & (below <= F.col("rank"))).select(
+        targets = cumulated.where((F.col("_upto") > F.col("rank")) & (below <= F.col("rank"))).select(
             *keys, "stat", "n", (F.col("rank") - below).alias("rank"), "_bucket"
         )
     found = (F.col("_bucket") / F.lit(10**scale).cast("double")).alias("value")

@@ -51,9 +51,15 @@ def exact_avg(column: Column, kind: str = "decimal(18,2)") -> Column:
     return F.sum(column.cast(kind)).cast("double") / F.nullif(F.count(column), F.lit(0)).cast("double")
 
 
+def _rounded(value: Column, places: int) -> Column:
+    """Scaled, rounded with ties to even, scaled back, as array libraries do it."""
+    unit = F.lit(float(10**places))
+    return F.rint(value * unit) / unit
+
+
 def speedup(before: Column, after: Column) -> Column:
-    return F.round(before / F.nullif(after, F.lit(0.0)), 2)
+    return _rounded(before / F.nullif(after, F.lit(0.0)), 2)
 
 
 def improvement_pct(before: Column, after: Column) -> Column:
-    return F.round((F.lit(1.0) - after / F.nullif(before, F.lit(0.0))) * 100, 1)
+    return _rounded((F.lit(1.0) - after / F.nullif(before, F.lit(0.0))) * 100, 1)

@@ -7,7 +7,6 @@ Each mapping yields source-shaped rows (mixed-case names, source types) plus
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tripstrata.sources.zones import conform_zones
 
