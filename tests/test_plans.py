@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tripstrata.catalogue.base import Q1_END, Q1_START, built_warehouse, clean, staged
 from tripstrata.operators.audit import audit_batches
 from tripstrata.operators.checks import Policy, evaluate, in_set, suites, unexpected_sample
+from tripstrata.operators.layout import arranged
 from tripstrata.operators.marts import mart
 from tripstrata.operators.windows import in_window
 from tripstrata.plans import workload as W
+from tripstrata.session import scratch_dir
 from tripstrata.sources.tables import nation_zones
 
 
@@ -116,3 +119,30 @@ def test_sample_is_limited_before_the_shuffle(spark, sf_dir):
 def test_first_day_of_events_prunes(spark, sf_dir):
     events = built_warehouse(spark, sf_dir, "ev").read("clean")
     assert in_window(events, Q1_START, Q1_END).count() > 0
+
+
+def test_hot_day_is_split_on_write(spark):
+    """A third of all rows on one day: its rows go to several tasks, all of them kept."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    path = f"{scratch_dir(spark, 'hot')}/t"
+    day = "CASE WHEN id % 3 = 0 THEN 9 ELSE CAST(id % 30 AS INT) END"
+    rows = spark.range(0, 300_000, 1, 8).selectExpr(
+        "'2024-01' AS batch_id", "'202401' AS pickup_month", "md5(CAST(id AS STRING)) AS fp",
+        f"timestamp_ntz'2024-01-01' + make_dt_interval({day}, CAST(id % 24 AS INT)) AS pickup_ts",
+    )
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        arranged(rows).write.partitionBy("batch_id", "pickup_month").parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    per_file = (
+        spark.read.parquet(path)
+        .groupBy(F.to_date("pickup_ts").alias("d"), F.col("_metadata.file_path").alias("f"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
+    )
+    hot = [r.n for r in per_file if r.d == date(2024, 1, 10)]
+    assert sum(r.n for r in per_file) == 300_000
+    assert len(hot) >= 3 and max(hot) < 60_000

@@ -14,6 +14,7 @@ from tripstrata.session import scratch_dir
 from tripstrata.sources.tables import event_trips, line_trips, line_trips_yearly, nation_zones
 from tripstrata.sources.trips import raw_from_batched
 from tripstrata.sources.zones import load_zones
+from tripstrata.storage.files import Files
 from tripstrata.storage.warehouse import ALL, Warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,9 +79,8 @@ def month_files(spark: SparkSession, sf_dir: str, kind: str) -> dict[str, str]:
     """Source-shaped trip files, one folder per batch, written by one job."""
     root = scratch_dir(spark, f"files-{kind}")
     SOURCES[kind](spark, sf_dir).write.mode("overwrite").partitionBy("batch_id").parquet(root)
-    warehouse = Warehouse(spark, root)
-    names = warehouse.files.folders(root)
-    return {name.split("=", 1)[1]: f"{root}/{name}" for name in names if name.startswith("batch_id=")}
+    names = Files(spark).folders(root)
+    return {name.split("=", 1)[1]: f"{root}/{name}" for name in names}
 
 
 def doubles(df: DataFrame) -> DataFrame:

@@ -30,12 +30,19 @@ def shuffle_partitions_for(input_bytes: int, target_bytes: int = 256 << 20, core
     return max(cores, min(200_000, -(-input_bytes // target_bytes)))
 
 
-def build_session(app: str = "tripstrata", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with ``BASE_CONF``; keyword settings use ``__`` for dots."""
+def build_session(
+    app: str = "tripstrata", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """A session with ``BASE_CONF``; keyword settings use ``__`` for dots.
+
+    Give ``input_bytes``, the size of what one job reads, for jobs that shuffle whole
+    rows (building clean, the audit, row-level joins).
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**BASE_CONF, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
+    width = {"spark.sql.shuffle.partitions": str(shuffle_partitions_for(input_bytes))} if input_bytes else {}
+    for key, value in {**BASE_CONF, **width, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
