@@ -113,6 +113,7 @@ def test_failed_load_keeps_the_old_batch(spark, warehouse):
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         load_batch(warehouse, "2024-01", bad, replace=True)
     assert warehouse.read("raw").count() == 2
+    assert warehouse.files.folders(f"{warehouse.root}/_staging") == []
 
 
 def test_failed_swap_is_undone(warehouse, monkeypatch):
@@ -135,6 +136,7 @@ def test_failed_swap_is_undone(warehouse, monkeypatch):
     monkeypatch.undo()
     assert folders(warehouse, "clean") == before
     assert vendors(warehouse) == [1, 2, 3, 4]
+    assert warehouse.files.folders(f"{warehouse.root}/_staging") == []
 
 
 def test_rows_outside_the_replaced_slices_are_refused(warehouse):

@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripstrata.operators.batches import load_frame
 from tripstrata.operators.staging import clean_trips, stage
 from tripstrata.plans.builds import build_clean, build_marts, build_quarantine
 from tripstrata.session import scratch_dir
@@ -67,7 +68,7 @@ def built_warehouse(spark: SparkSession, sf_dir: str, kind: str = "yr") -> Wareh
     if key not in _built:
         warehouse = new_warehouse(spark, f"built-{kind}")
         load_zones(warehouse, nation_zones(spark, sf_dir))
-        warehouse.publish("raw", raw(spark, sf_dir, kind), ALL)
+        load_frame(warehouse, raw(spark, sf_dir, kind), ALL)
         build_clean(warehouse)
         build_quarantine(warehouse)
         build_marts(warehouse, full=True)

@@ -22,7 +22,7 @@ from tripstrata.catalogue.base import (
     staged,
 )
 from tripstrata.catalogue.relations import IS_CHANGED, stale_clean
-from tripstrata.operators.batches import batch_list, changed_batches, delete_batch, load_months, trips_of
+from tripstrata.operators.batches import batch_list, changed_batches, delete_batch, load_frame, load_months, trips_of
 from tripstrata.operators.windows import window_bounds
 from tripstrata.plans.builds import build_clean, build_marts, build_quarantine, row_counts
 from tripstrata.plans.run import run_all
@@ -59,7 +59,7 @@ def b01(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def b02(spark: SparkSession, sf_dir: str) -> DataFrame:
     warehouse = new_warehouse(spark, "delete")
-    warehouse.publish("raw", raw(spark, sf_dir, "yr"), ALL)
+    load_frame(warehouse, raw(spark, sf_dir, "yr"), ALL)
     deleted = delete_batch(warehouse, "1997-01")
     return _count(warehouse.read("raw"), "batch_id").withColumn("deleted", F.lit(deleted).cast("bigint"))
 
@@ -90,7 +90,7 @@ def b04(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the listed batches are built, although all are new."""
     warehouse = new_warehouse(spark, "listed")
-    warehouse.publish("raw", raw(spark, sf_dir, "yr"), ALL)
+    load_frame(warehouse, raw(spark, sf_dir, "yr"), ALL)
     build_clean(warehouse, " 1999-01,, 1996-01,2030-01 ")
     return _count(trips_of(warehouse.read("clean"), batch_list([" 1996-01", "1999-01", ""])), "batch_id")
 
@@ -120,9 +120,9 @@ def b07_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarantine kept up batch by batch while batches arrive and one leaves."""
     warehouse = new_warehouse(spark, "quarantine")
     rows = raw(spark, sf_dir, "yr")
-    warehouse.publish("raw", rows.where(F.col("batch_id") < "1999-01"), ALL)
+    load_frame(warehouse, rows.where(F.col("batch_id") < "1999-01"), ALL)
     build_quarantine(warehouse, full=False)
-    warehouse.publish("raw", rows.where(F.col("batch_id") > "1995-01"), ALL)
+    load_frame(warehouse, rows.where(F.col("batch_id") > "1995-01"), ALL)
     build_quarantine(warehouse, full=False)
     return _count(warehouse.read("quarantine"), "batch_id", "reason_code")
 
@@ -136,10 +136,10 @@ def b08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch comes again with three months instead of twelve: the other nine vanish, nothing else moves."""
     warehouse = new_warehouse(spark, "replace")
     rows = SOURCES["yr"](spark, sf_dir)
-    warehouse.publish("raw", raw_from_batched(rows, LOADED_AT), ALL)
+    load_frame(warehouse, raw_from_batched(rows, LOADED_AT), ALL)
     build_clean(warehouse)
     shorter = rows.where("batch_id = '1997-01' AND tpep_pickup_datetime < timestamp_ntz'1997-04-01'")
-    warehouse.publish("raw", raw_from_batched(shorter, _LATER), ["1997-01"])
+    load_frame(warehouse, raw_from_batched(shorter, _LATER), ["1997-01"])
     build_clean(warehouse)
     return _count(warehouse.read("clean"), "batch_id", "pickup_month")
 
@@ -163,10 +163,10 @@ def _late_batch(spark: SparkSession, sf_dir: str, mart: str) -> Warehouse:
     """A mart built without the last batch, which then arrives and is picked up by the window."""
     warehouse = new_warehouse(spark, "window")
     rows = raw(spark, sf_dir, "yr")
-    warehouse.publish("raw", rows.where(F.col("batch_id") < "2001-01"), ALL)
+    load_frame(warehouse, rows.where(F.col("batch_id") < "2001-01"), ALL)
     build_clean(warehouse)
     build_marts(warehouse, full=True, only=[mart])
-    warehouse.publish("raw", rows.where(F.col("batch_id") == "2001-01"), ["2001-01"])
+    load_frame(warehouse, rows.where(F.col("batch_id") == "2001-01"), ["2001-01"])
     build_clean(warehouse)
     build_marts(warehouse, lookback=2, only=[mart])
     return warehouse
@@ -195,11 +195,11 @@ def b11_emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
     warehouse = new_warehouse(spark, "emptied")
     rows = raw(spark, sf_dir, "yr")
     early = rows.where("tpep_pickup_datetime < timestamp_ntz'2001-02-01'")
-    warehouse.publish("raw", early, ALL)
+    load_frame(warehouse, early, ALL)
     build_clean(warehouse)
     build_marts(warehouse, full=True, only=["hourly_peak"])
     refunded = F.when(F.expr("tpep_pickup_datetime >= timestamp_ntz'2000-12-01'"), F.lit(-1)).otherwise(F.col("total_amount"))
-    warehouse.publish("raw", early.withColumn("total_amount", refunded.cast("decimal(18,2)")), ALL)
+    load_frame(warehouse, early.withColumn("total_amount", refunded.cast("decimal(18,2)")), ALL)
     build_clean(warehouse, "2000-01, 2001-01")
     build_marts(warehouse, lookback=2, only=["hourly_peak"])
     return warehouse.read("hourly_peak").drop("trip_month")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripstrata.catalogue.base import built_warehouse, clean, new_warehouse, query, raw, sql
+from tripstrata.operators.batches import load_frame
 from tripstrata.operators.layout import (
     batch_span,
     convert_flat_clean,
@@ -50,10 +51,10 @@ def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Built up to 1998 first: most of that year lies in default until later batches give its months ranges."""
     warehouse = new_warehouse(spark, "rehome")
     rows = raw(spark, sf_dir, "yr")
-    warehouse.publish("raw", rows.where(F.col("batch_id") <= "1998-01"), ALL)
+    load_frame(warehouse, rows.where(F.col("batch_id") <= "1998-01"), ALL)
     build_clean(warehouse)
     later = rows.where(F.col("batch_id") > "1998-01")
-    warehouse.publish("raw", later, [r[0] for r in later.select("batch_id").distinct().collect()])
+    load_frame(warehouse, later, [r[0] for r in later.select("batch_id").distinct().collect()])
     build_clean(warehouse)
     return warehouse.read("clean").select("batch_id", "pickup_month", "row_fingerprint")
 

@@ -16,7 +16,7 @@ from tripstrata.catalogue.base import (
     raw,
     sql,
 )
-from tripstrata.operators.batches import load_batch
+from tripstrata.operators.batches import load_batch, load_frame
 from tripstrata.operators.checks import Policy, evaluate, suite_summary, suites, write_results
 from tripstrata.schemas import RUN_LOG, SOURCE_TYPES
 from tripstrata.session import scratch_dir
@@ -169,8 +169,8 @@ def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
     warehouse = new_warehouse(spark, "append")
     rows = raw(spark, sf_dir, "yr")
     early, late = rows.where(F.col("batch_id") < "1998-01"), rows.where(F.col("batch_id") >= "1998-01")
-    warehouse.publish("raw", early, ALL)
-    warehouse.publish("raw", late, [r[0] for r in late.select("batch_id").distinct().collect()])
+    load_frame(warehouse, early, ALL)
+    load_frame(warehouse, late, [r[0] for r in late.select("batch_id").distinct().collect()])
     return doubles(
         warehouse.read("raw").groupBy("batch_id").agg(F.count(F.lit(1)).alias("trips"), F.sum("total_amount").alias("total_amount"))
     )

@@ -96,6 +96,15 @@ def load_batch(
     return LoadResult(batch_id, action, deleted, seen.get["rows"], seen.get["rejected"])
 
 
+def load_frame(warehouse: Warehouse, rows: DataFrame, batches: list[str] | str) -> None:
+    """Replace the given batches (``ALL``: the table) by raw rows of several batches at once.
+
+    The rows of a batch are brought together first. Otherwise every task would write a
+    small file into every batch it has rows of.
+    """
+    warehouse.publish("raw", rows.hint("rebalance", "batch_id"), batches)
+
+
 def load_months(
     warehouse: Warehouse,
     months: str | Iterable[str],
