@@ -8,7 +8,7 @@ import __spark_entry__ as contract
 import oracle
 
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "InPandas")
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = contract.QUERIES, contract.ORACLES
 
 
 @pytest.fixture(scope="module")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -50,14 +49,10 @@ def build_session(
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared checkpoint folder, removed when the JVM ends.
 
-    A machine-local folder is used only when the session names no shared one and
-    runs in local mode.
+    Without ``spark.checkpoint.dir`` it lies in the session's own warehouse, which every
+    executor reaches as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     path = f"{base.rstrip('/')}/tripstrata-{label}-{uuid.uuid4().hex}"
     Files(spark).make(path, delete_on_exit=True)
     return path
