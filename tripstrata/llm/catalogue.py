@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm import chat, exact_dedup, mixing
+from tripstrata.llm import chat, exact_dedup, licenses, mixing, warc
 from tripstrata.llm.base import table
 from tripstrata.session import scratch_dir
 
@@ -126,3 +126,69 @@ WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.place = n_turns AND t.n > n_turns AND
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.collapse_and_render(table(spark, sf_dir, "conversations"))
     return rows.select(F.col("conv").alias("conv_id"), F.col("n_turns").cast("int").alias("n_turns"), "copies", "rendered")
+
+
+# ---------------------------------------------------------------- 5 licenses
+
+_TEMPLATES = ", ".join(f"({n}, '{label}', '{text}')" for n, (label, text) in enumerate(licenses.TEMPLATES))
+_PHRASES = ", ".join(f"('{phrase}', '{label}')" for phrase, label in licenses.PHRASES.items())
+
+OP5_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, trim(regexp_replace(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS norm FROM documents),
+l AS (SELECT r, doc_id, CASE WHEN norm = '' THEN [] ELSE string_split(norm, ' ') END AS words FROM d),
+w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM l),
+g AS (
+  SELECT r, i, word || ' ' || lead(word) OVER o AS two, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS three
+  FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+phrases(phrase, label) AS (VALUES {_PHRASES}),
+base AS (SELECT r, i, label FROM g JOIN phrases ON phrase = two OR phrase = three),
+b AS (
+  SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(label) AS labels FROM base GROUP BY r),
+t0(template, label, text) AS (VALUES {_TEMPLATES}),
+t AS (SELECT template, label, string_split(text, ' ') AS tw FROM t0),
+tg AS (SELECT template, unnest(range(len(tw) - 2)) AS p, tw FROM t),
+hits AS (
+  SELECT DISTINCT r, template, i, p, i - p AS diagonal FROM tg JOIN g ON three = tw[p + 1] || ' ' || tw[p + 2] || ' ' || tw[p + 3]),
+far AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= 4 THEN 0 ELSE 1 END AS far FROM hits
+  WINDOW o AS (PARTITION BY r, template ORDER BY diagonal)),
+s AS (SELECT *, sum(far) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM far),
+covered AS (SELECT r, template, span, unnest([p, p + 1, p + 2]) AS place FROM s),
+spans AS (
+  SELECT r, label, CAST(count(DISTINCT place) AS DOUBLE) / any_value(len(tw)) AS coverage
+  FROM covered JOIN t USING (template) GROUP BY r, template, span, label),
+best AS (SELECT r, list(label) AS labels, max(coverage) AS coverage FROM spans WHERE coverage >= 0.75 GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(list_distinct(b.labels)), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(best.labels, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(coverage, 0) END AS score
+FROM l LEFT JOIN b USING (r) LEFT JOIN best USING (r)"""
+
+
+@query("op5_license_scan", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))[0].withColumnRenamed("id", "doc_id")
+
+
+# ---------------------------------------------------------------- 10 archives
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+o AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS owner FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1, 1) FOR i IN range(32)], '')
+    AS payload_digest,
+  CASE WHEN page_id = owner OR owner IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM o"""
+
+
+@query("op10_warc", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_packages(table(spark, sf_dir, "pages"), scratch_dir(spark, "packages"))
+    return warc.read_records(warc.locate(manifest), with_payload=False).drop("url", "payload")
