@@ -90,12 +90,14 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     known_before = index.read().select("digest", F.lit(True).alias("old"))
     old = staged(groups.select("digest").hint("merge").join(known_before.hint("merge"), "digest", "left_semi"), "digests-known")
     index.append(groups)
-    stays = (
+    stays = staged(
         groups.select("digest", "group_size")
         .hint("merge")
         .join(index.read().select("digest", "keep_id").hint("merge"), "digest")
-        .join(old.withColumn("old", F.lit(True)), "digest", "left")
+        .join(old.withColumn("old", F.lit(True)), "digest", "left"),
+        "digest-stays",
     )
+    # one row per digest against all rows: a join that Spark can split where a digest is frequent
     kept = F.col("old").isNull() & F.col("id").eqNullSafe(F.col("keep_id"))
     return facts.join(stays, "digest").select("id", "digest", "keep_id", "group_size", kept.alias("kept"))
 
