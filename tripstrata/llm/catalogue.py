@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm import chat, exact_dedup, licenses, mixing, warc
+from tripstrata.llm import chat, exact_dedup, licenses, minhash, mixing, warc
 from tripstrata.llm.base import table
 from tripstrata.session import scratch_dir
 
@@ -32,6 +32,16 @@ def new_index(spark: SparkSession) -> exact_dedup.DigestIndex:
     return exact_dedup.DigestIndex(spark, f"{scratch_dir(spark, 'digest-index')}/index", width)
 
 
+# ---------------------------------------------------------------- 1 near-duplicates
+
+
+@query("op1_minhash_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
+
+
 # ---------------------------------------------------------------- 3 exact dedup
 
 OP3_SQL = r"""
