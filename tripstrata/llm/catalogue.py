@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm import chat, exact_dedup, licenses, minhash, mixing, warc
+from tripstrata.llm import chat, embeddings, exact_dedup, licenses, minhash, mixing, warc
 from tripstrata.llm.base import table
 from tripstrata.session import scratch_dir
 
@@ -202,3 +202,11 @@ FROM o"""
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_packages(table(spark, sf_dir, "pages"), scratch_dir(spark, "packages"))
     return warc.read_records(warc.locate(manifest), with_payload=False).drop("url", "payload")
+
+
+# ---------------------------------------------------------------- 9 embeddings
+
+@query("op9_embedding_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return rows.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
