@@ -1,13 +1,14 @@
 """License scan by diagonal voting.
 
-Every rolling word k-gram of a document is joined with the template positions that hold
-the same k-gram. A hit votes for the diagonal document place - template place; votes are
-summed per diagonal, diagonals a few words apart are merged into one span (words put in
-or left out shift the diagonal), and a span counts when enough of the template's words
-are found again at their places, compared word by word.
+Every rolling word k-gram of a document is hashed and kept where the hash is one of the
+templates'; the k-grams kept are joined with the template places that hold the same words.
+A hit votes for the diagonal document place - template place; votes are summed per diagonal,
+diagonals a few words apart are merged into one span (words put in or left out shift the
+diagonal), and a span counts when enough of the template's words are found at their places.
 
-The templates are a parameter of bounded size (``MAX_GRAMS``, checked), so their k-grams
-are broadcast and no document text is shuffled, but for the few documents with votes.
+The texts are read once and not shuffled: a row goes on with its words only where it has a
+hit. The templates are a parameter of bounded size (``MAX_GRAMS``, checked); their k-grams are
+the set that hashes are looked up in, and the broadcast side of the join.
 
 Defined cases: NULL and empty texts have no words; rows that repeat id and text get the
 same result each; equal scores are the same label's; an empty input gives an empty result.
@@ -60,7 +61,7 @@ TEMPLATES = (
     ),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
-MAX_GRAMS = 1_000_000
+MAX_GRAMS = 10_000
 
 
 @dataclass(frozen=True)
@@ -74,84 +75,77 @@ class Scan:
     templates: tuple[tuple[str, str], ...] = TEMPLATES
 
 
-def normalized(text: Column) -> Column:
-    """Words in lower case, one blank before, between and after them."""
-    words = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
-
-
-def words_of(norm: Column) -> Column:
-    return F.when(F.length(norm) > 2, F.split(F.trim(norm), " ")).otherwise(F.array().cast("array<string>"))
+def words_of(text: Column) -> Column:
+    """Words of the text in lower case."""
+    plain = F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
 def template_grams(spark: SparkSession, scan: Scan) -> DataFrame:
-    """``(gram, template, tpos)``."""
+    """``(gram, words, template, label, length, tpos)`` of every template place."""
     rows = []
-    for number, (_, text) in enumerate(scan.templates):
+    for number, (label, text) in enumerate(scan.templates):
         words = text.split(" ")
         if len(words) < scan.k:
             raise ValueError(f"template {number} has fewer than {scan.k} words")
-        rows += [(words[i : i + scan.k], number, i) for i in range(len(words) - scan.k + 1)]
+        rows += [(words[i : i + scan.k], number, label, len(words), i) for i in range(len(words) - scan.k + 1)]
     if len(rows) > MAX_GRAMS:
         raise ValueError(f"more than {MAX_GRAMS} template k-grams")
-    grams = spark.createDataFrame(rows, "words array<string>, template int, tpos int")
-    return grams.select(F.xxhash64("words").alias("gram"), "template", "tpos")
+    grams = spark.createDataFrame(rows, "words array<string>, template int, label string, length int, tpos int")
+    return grams.withColumn("gram", F.xxhash64("words"))
+
+
+def base_places(words: Column) -> Column:
+    """``(place, label)`` of every base phrase, as an array."""
+    nowhere = F.array().cast("array<struct<place:int,label:string>>")
+
+    def places(phrase: str, label: str) -> Column:
+        parts = phrase.split(" ")
+        here = F.filter(
+            F.sequence(F.lit(0), F.size(words) - len(parts)),
+            lambda i: reduce(Column.__and__, [F.get(words, i + j) == part for j, part in enumerate(parts)]),
+        )
+        found = F.transform(here, lambda i: F.struct(i.alias("place"), F.lit(label).alias("label")))
+        return F.when(F.array_contains(words, parts[0]) & (F.size(words) >= len(parts)), found).otherwise(nowhere)
+
+    return F.concat(*[places(phrase, label) for phrase, label in PHRASES.items()])
+
+
+def scanned(docs: DataFrame, grams: DataFrame, scan: Scan, id_col: str, text_col: str) -> DataFrame:
+    """``(id, text_hash, n_words, base, hits, words)``; words only where a template's k-gram hash occurs."""
+    known = [row[0] for row in grams.select("gram").distinct().collect()]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), words_of(text).alias("words"))
+    starts = F.sequence(F.lit(1), F.size("words") - (scan.k - 1))
+    at = F.filter(starts, lambda i: F.xxhash64(F.slice("words", i, scan.k)).isin(known))
+    hits = F.when(F.size("words") >= scan.k, at).otherwise(F.array().cast("array<int>"))
+    marked = rows.select("id", "text_hash", F.size("words").cast("bigint").alias("n_words"), base_places(F.col("words")).alias("base"), hits.alias("hits"), "words")
+    return marked.withColumn("words", F.when(F.size("hits") > 0, F.col("words")))
 
 
-def votes(docs: DataFrame, scan: Scan) -> DataFrame:
-    """``(id, text_hash, template, dpos, tpos)`` of every hit in ``(id, text_hash, norm)``."""
-    words = docs.select("id", "text_hash", words_of(F.col("norm")).alias("words")).where(F.size("words") >= scan.k)
-    gram = F.transform(F.sequence(F.lit(1), F.size("words") - (scan.k - 1)), lambda i: F.xxhash64(F.slice("words", i, scan.k)))
-    grams = words.select("id", "text_hash", F.posexplode(gram).alias("dpos", "gram"))
-    return grams.join(F.broadcast(template_grams(docs.sparkSession, scan)), "gram").drop("gram").distinct()
+def votes(rows: DataFrame, grams: DataFrame, scan: Scan) -> DataFrame:
+    """``(id, text_hash, template, label, length, dpos, tpos)`` where k words of a document stand in a template."""
+    places = rows.where(F.size("hits") > 0).select("id", "text_hash", "words", F.explode("hits").alias("at"))
+    cut = places.select("id", "text_hash", (F.col("at") - 1).alias("dpos"), F.slice("words", F.col("at"), F.lit(scan.k)).alias("words"))
+    same = cut.withColumn("gram", F.xxhash64("words")).join(F.broadcast(grams), ["gram", "words"])
+    return same.drop("gram", "words").distinct()
 
 
 def spans(hits: DataFrame, scan: Scan) -> DataFrame:
-    """One row per merged group of neighbouring diagonals, with its votes as ``(diagonal, tpos)``."""
-    key = ["id", "text_hash", "template"]
+    """``(id, text_hash, label, first, last, coverage)`` of the spans that hold enough of a template."""
+    key = ["id", "text_hash", "template", "label", "length"]
     diagonals = hits.groupBy(*key, (F.col("dpos") - F.col("tpos")).alias("diagonal")).agg(
         F.collect_set("tpos").alias("places"), F.min("dpos").alias("low"), F.max("dpos").alias("high")
     )
     order = Window.partitionBy(*key).orderBy("diagonal")
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > scan.slack, F.lit(True))
     numbered = diagonals.withColumn("far", far.cast("int")).withColumn("span", F.sum("far").over(order))
-    return numbered.groupBy(*key, "span").agg(
-        F.collect_list(F.struct("diagonal", "places")).alias("lines"), F.min("low").alias("first"), (F.max("high") + scan.k - 1).alias("last")
+    merged = numbered.groupBy(*key, "span").agg(
+        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("low").alias("first"), (F.max("high") + scan.k - 1).alias("last")
     )
-
-
-def verified(found: DataFrame, docs: DataFrame, scan: Scan) -> DataFrame:
-    """``(id, text_hash, label, first, last, coverage)`` of the spans that hold."""
-    spark = docs.sparkSession
-    rows = [(n, label, text.split(" ")) for n, (label, text) in enumerate(scan.templates)]
-    library = F.broadcast(spark.createDataFrame(rows, "template int, label string, wanted array<string>"))
-    texts = docs.select("id", "text_hash", words_of(F.col("norm")).alias("words")).alias("d")
-    spot = found.alias("s").join(
-        texts, F.col("s.id").eqNullSafe(F.col("d.id")) & (F.col("s.text_hash") == F.col("d.text_hash"))
-    ).select("s.*", "d.words").join(library, "template")
-    at = lambda line: F.flatten(
-        F.transform(line["places"], lambda t: F.transform(F.sequence(t, t + scan.k - 1), lambda j: F.struct((line["diagonal"] + j).alias("d"), j.alias("t"))))
-    )
-    same = F.filter(F.flatten(F.transform("lines", at)), lambda p: F.get("words", p["d"]) == F.get("wanted", p["t"]))
-    coverage = F.size(F.array_distinct(F.transform(same, lambda p: p["t"]))) / F.size("wanted")
-    return spot.select("id", "text_hash", "label", "first", "last", coverage.alias("coverage")).where(F.col("coverage") >= scan.coverage).distinct()
-
-
-def base_places(norm: Column) -> Column:
-    """``(place, label)`` of every base phrase, as an array; costs nothing where there is none."""
-    words = F.split(F.trim(norm), " ")
-
-    def places(phrase: str, label: str) -> Column:
-        parts = phrase.split(" ")
-        here = F.filter(
-            F.sequence(F.lit(0), F.size(words) - 1),
-            lambda i: reduce(Column.__and__, [F.get(words, i + j) == part for j, part in enumerate(parts)]),
-        )
-        return F.transform(here, lambda i: F.struct(i.alias("place"), F.lit(label).alias("label")))
-
-    found = [places(phrase, label) for phrase, label in PHRASES.items()]
-    some = reduce(Column.__or__, [F.contains(norm, F.lit(f" {phrase} ")) for phrase in PHRASES])
-    return F.when(some, F.concat(*found)).otherwise(F.array().cast("array<struct<place:int,label:string>>"))
+    words = F.array_distinct(F.flatten(F.transform("places", lambda t: F.sequence(t, t + scan.k - 1))))
+    held = merged.select("id", "text_hash", "label", "first", "last", (F.size(words) / F.col("length")).alias("coverage"))
+    return held.where(F.col("coverage") >= scan.coverage).distinct()
 
 
 def scan_licenses(docs: DataFrame, scan: Scan = Scan(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -159,14 +153,11 @@ def scan_licenses(docs: DataFrame, scan: Scan = Scan(), id_col: str = "doc_id",
 
     ``score`` is the best span's coverage, or 1 where a base phrase stands.
     """
-    keyed = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"), normalized(F.col(text_col)).alias("norm")
-    )
-    hits = staged(votes(keyed, scan), "license-votes")
-    kept = staged(verified(spans(hits, scan), keyed, scan), "license-spans")
+    grams = template_grams(docs.sparkSession, scan)
+    rows = staged(scanned(docs, grams, scan, id_col, text_col), "license-rows")
+    kept = staged(spans(votes(rows, grams, scan), scan), "license-spans")
     best = kept.groupBy("id", "text_hash").agg(F.collect_set("label").alias("found"), F.max("coverage").alias("coverage"))
-    n_words = F.when(F.length("norm") > 2, F.size(F.split(F.trim("norm"), " "))).otherwise(0).cast("bigint")
-    facts = keyed.select("id", "text_hash", n_words.alias("n_words"), base_places(F.col("norm")).alias("base"))
+    facts = rows.select("id", "text_hash", "n_words", "base")
     joined = facts.alias("f").join(
         best.alias("b"), F.col("f.id").eqNullSafe(F.col("b.id")) & (F.col("f.text_hash") == F.col("b.text_hash")), "left"
     )
