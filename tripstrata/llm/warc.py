@@ -1,5 +1,7 @@
 """Web archives: write page records into ZIP packages, find and range-read them again.
 
+Records are compressed one by one, and the members that hold them are stored as they are.
+
 Each Spark task streams its pages into packages of bounded size on shared storage; a retried
 task writes new files, and only those of the attempt that won are in the manifest, which is
 staged. Reading goes manifest -> central directory -> index -> byte ranges; ranges are
@@ -14,6 +16,7 @@ the largest id of their payload are all stored; an empty input gives no package
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import uuid
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from tripstrata.llm.base import staged
 from tripstrata.llm.zip_archive import data_offset, index_lines, members, open_path
 
-DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 256 << 20
 REGION_BYTES = 16 << 20
 RECORD = "urn:page:"
@@ -85,13 +88,18 @@ def sha1_base32(payload: bytes) -> str:
 
 
 def with_owner(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """``(page_id, url, html, owner)``; the owner of a payload is the largest id that has it."""
+    """``(page_id, url, html, owner)``; the owner of a payload that occurs more than once is its largest id.
+
+    Payloads that occur once need no owner: the table of owners holds repeated ones only, and Spark
+    broadcasts it where it is small, so that no html is shuffled.
+    """
     payload = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("html"), F.unhex(F.sha1(payload)).alias("digest")
     )
-    owners = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("owner"))
-    return rows.join(owners, "digest", "left").select("page_id", "url", "html", "owner")
+    owners = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n"))
+    repeated = staged(owners.where("n > 1").select("digest", "owner"), "payload-owners")
+    return rows.join(repeated, "digest", "left").select("page_id", "url", "html", "owner")
 
 
 def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
@@ -130,7 +138,7 @@ class PackageWriter:
 
     def add(self, page_id: int | None, url: str, payload: bytes, owner: int | None) -> None:
         revisit = owner is not None and page_id != owner
-        record = record_bytes(page_id, url, payload, sha1_base32(payload), owner, revisit)
+        record = gzip.compress(record_bytes(page_id, url, payload, sha1_base32(payload), owner, revisit), 6, mtime=0)
         self.data.write(record)
         self.lines.append(json.dumps({"offset": self.size, "length": len(record)}))
         self.size += len(record)
@@ -177,7 +185,7 @@ def read_records(ranges: DataFrame, with_payload: bool = True, batch_bytes: int
                 with files.open_input_file(place) as source:
                     rows, size = [], 0
                     for start, length in zip(own.start, own.length, strict=True):
-                        row = parse_record(source.read_at(length, start))
+                        row = parse_record(gzip.decompress(source.read_at(length, start)))
                         rows.append(row if with_payload else row | {"payload": None})
                         size += length
                         if size >= batch_bytes:
