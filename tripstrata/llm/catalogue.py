@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm import chat, embeddings, exact_dedup, licenses, minhash, mixing, warc
+from tripstrata.llm import chat, embeddings, exact_dedup, licenses, minhash, mixing, pieces, warc
 from tripstrata.llm.base import table
 from tripstrata.session import scratch_dir
 
@@ -42,6 +42,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
 
 
+# ---------------------------------------------------------------- 2 pieces
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.Vocabulary.load()
+    done = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    back = pieces.decode(F.col("tokens"), vocabulary)
+    restored = back == F.translate("text", pieces.MARK, " ")
+    return done.select("doc_id", F.size("tokens").alias("n_tokens"), "tokens", restored.alias("restored"))
+
+
 # ---------------------------------------------------------------- 3 exact dedup
 
 OP3_SQL = r"""
