@@ -39,3 +39,22 @@ def ascii_lower(text: Column) -> Column:
 def same(left: str, right: str, keys: list[str]) -> Column:
     """Null-safe equality of ``keys`` between two aliased frames."""
     return reduce(Column.__and__, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
+
+
+def keep_one(docs: DataFrame, marks: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``marks`` keeps; one row of those with equal keys.
+
+    ``keys`` are expressions over ``docs``; ``marks`` holds them as columns, and ``kept``, which
+    rows with equal keys share. Only the keys of dropped and of repeated rows are joined, which
+    Spark broadcasts where they are few.
+    """
+    names = list(keys)
+    dropped = staged(marks.where(~F.col("kept")).select(*names).distinct(), "dropped")
+    repeated = marks.where("kept").groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    repeated = staged(repeated.select(*names), "repeated")
+    # operators see the rows of ``docs`` as one struct, so that names cannot clash
+    inner = docs.select(F.struct("*").alias("_row"), *[value.alias(name) for name, value in keys.items()])
+    left = inner.alias("l").join(dropped.alias("r"), same("l", "r", names), "left_anti")
+    once = left.alias("l").join(repeated.alias("r"), same("l", "r", names), "left_anti")
+    again = left.alias("l").join(repeated.alias("r"), same("l", "r", names), "left_semi").dropDuplicates(names)
+    return once.unionByName(again).select("_row.*")

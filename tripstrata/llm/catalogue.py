@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm import chat, embeddings, exact_dedup, licenses, minhash, mixing, pieces, warc
+from tripstrata.llm import chat, embeddings, exact_dedup, licenses, likelihood, minhash, mixing, pieces, quality, warc
 from tripstrata.llm.base import table
 from tripstrata.session import scratch_dir
 
@@ -222,3 +222,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
     return rows.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+# ---------------------------------------------------------------- 6 likelihood
+
+
+@query("op6_lm_scoring")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = likelihood.scores(table(spark, sf_dir, "documents"), pieces.Vocabulary.load())
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+# ---------------------------------------------------------------- 4 quality
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
+    return quality.classify(table(spark, sf_dir, "documents"), trusted).withColumnRenamed("id", "doc_id")

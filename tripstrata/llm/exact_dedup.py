@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm.base import SPACES, staged
+from tripstrata.llm.base import SPACES, keep_one, staged
 
 INDEX_SCHEMA = "digest binary, keep_id {id}, chars int"
 
@@ -104,7 +104,6 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 def new_rows(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text the index did not have; one per text."""
-    stays = deduplicate(docs, index, id_col, text_col).where("kept").select("id", "digest").distinct()
-    inner = docs.select(F.struct("*").alias("row"), text_digest(F.col(text_col)).alias("digest"))
-    matched = inner.alias("d").join(stays.alias("s"), (F.col("d.digest") == F.col("s.digest")) & F.col(f"d.row.{id_col}").eqNullSafe(F.col("s.id")))
-    return matched.select("row", F.col("d.digest").alias("digest")).dropDuplicates(["digest"]).select("row.*")
+    marks = staged(deduplicate(docs, index, id_col, text_col).select("id", "digest", "kept"), "digest-marks")
+    # rows with the winner's id and digest but another spacing are marked too: one of them stays
+    return keep_one(docs, marks, {"id": F.col(id_col), "digest": text_digest(F.col(text_col))})

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripstrata.llm.base import staged
+from tripstrata.llm.base import keep_one, staged
 from tripstrata.llm.blocks import by_block
 from tripstrata.llm.components import components
 from tripstrata.llm.shingles import MinHash, WordHashes, band_keys, shingle_set
@@ -69,7 +69,7 @@ def least_matches(plan: NearDup) -> list[int]:
 
 
 def text_facts(docs: DataFrame, plan: NearDup, id_col: str, text_col: str) -> DataFrame:
-    """``(id, n_shingles, node, signature)``; node is a 128-bit key of the set, NULL for the empty one."""
+    """``(id, text_hash, n_shingles, node, signature)``; node is a 128-bit key of the set, NULL for the empty one."""
     id_type = dict(docs.dtypes)[id_col]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,10 +84,11 @@ def text_facts(docs: DataFrame, plan: NearDup, id_col: str, text_col: str) -> Da
                     sizes.append(len(shingles))
                     nodes.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
                     signatures.append(minhash.of(shingles).tobytes() if len(shingles) else None)
-                yield pd.DataFrame({"id": part.id, "n_shingles": sizes, "node": nodes, "signature": signatures})
+                yield pd.DataFrame({"id": part.id, "text_hash": part.text_hash, "n_shingles": sizes, "node": nodes, "signature": signatures})
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        scan, f"id {id_type}, n_shingles bigint, node binary, signature binary"
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInPandas(
+        scan, f"id {id_type}, text_hash bigint, n_shingles bigint, node binary, signature binary"
     )
 
 
@@ -230,7 +231,7 @@ def rest_blocks(sized: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, plan: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_shingles, node, component_id)`` per row; ``component_id`` is the smallest id of its component."""
+    """``(id, text_hash, n_shingles, node, component, component_id)`` per row; ``component_id`` is the smallest id of its component."""
     facts = staged(text_facts(docs, plan, id_col, text_col), "signatures")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))
     grouped = facts.where("node is not null").groupBy("node").agg(first.alias("f"), F.max("signature").alias("signature"))
@@ -245,15 +246,17 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup(), id_col: str = "d
         labels = components(links.unionByName(late), "a", "b")
     labels = nodes.select("node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labels.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = labels.join(smallest, "component").select("node", "component_id")
-    joined = facts.select("id", "n_shingles", "node").join(named, "node", "left")
+    named = labels.join(smallest, "component").select("node", "component", "component_id")
+    joined = facts.select("id", "text_hash", "n_shingles", "node").join(named, "node", "left")
     return joined.withColumn("component_id", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, plan: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of which one per component stays: the smallest id's."""
-    found = near_duplicates(docs, plan, id_col, text_col)
-    stays = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    inner = docs.select(F.struct("*").alias("row"))
-    kept = inner.alias("d").join(stays.alias("s"), F.col(f"d.row.{id_col}").eqNullSafe(F.col("s.id")))
-    return kept.select("row.*")
+    found = staged(near_duplicates(docs, plan, id_col, text_col).select("id", "text_hash", "component"), "near-duplicates")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    first = found.where("component is not null").groupBy("component").agg(F.min(order).alias("first"))
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    marks = found.join(first, "component", "left").withColumn("kept", F.col("component").isNull() | (own == F.col("first")))
+    # a key with an empty text has no component and stays; keys are equal in all their rows
+    return keep_one(docs, marks.select("id", "text_hash", "kept"), {"id": F.col(id_col), "text_hash": F.xxhash64(text_col)})

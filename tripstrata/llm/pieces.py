@@ -27,11 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripstrata.llm.textblocks import Places, slices
+
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNKNOWN_PENALTY = 10.0
-SLICE_CHARS = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -122,14 +123,6 @@ class SharedViterbi:
             yield ids
 
 
-class Places(dict):
-    """Word -> place, in order of first sight."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = place = len(self)
-        return place
-
-
 def encode_slice(texts: list[str], viterbi: SharedViterbi) -> list[np.ndarray]:
     """Ids of each text of one slice."""
     places = Places()
@@ -154,14 +147,6 @@ def encode_slice(texts: list[str], viterbi: SharedViterbi) -> list[np.ndarray]:
     return np.split(ids, bounds) if len(counts) else []
 
 
-def slices(batch: pd.DataFrame, column: str, most: int = SLICE_CHARS) -> Iterator[pd.DataFrame]:
-    """Consecutive rows of about ``most`` characters; a longer text is a slice of its own."""
-    sizes = batch[column].map(lambda t: len(t) if isinstance(t, str) else 0).to_numpy()
-    group = np.cumsum(sizes) // most
-    for number in np.unique(group):
-        yield batch[group == number]
-
-
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", token_col: str = "tokens") -> DataFrame:
     """``docs`` with the piece ids of ``text_col`` in a new column ``token_col``."""
     if token_col in docs.columns:
