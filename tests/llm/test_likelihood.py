@@ -56,7 +56,7 @@ def test_held_out_texts_gain_from_training(spark, sf_dir):
     alone = checked(spark, [r for r in rows if r[0] in ids])
     assert sum(r.score for r in trained) > 0.7 * sum(r.score for r in alone)
     known = [r for r in trained if r.n_known == r.n_tokens]
-    assert sum(r.score for r in known) > 1.02 * sum(r.base_score for r in known)
+    assert sum(r.score for r in known) > 1.1 * sum(r.base_score for r in known)
 
 
 def test_empty_table_and_no_training(spark):
