@@ -108,7 +108,9 @@ def banded(nodes: DataFrame, plan: NearDup) -> DataFrame:
 
 
 def plausible(blocks: DataFrame, nodes: DataFrame, plan: NearDup) -> DataFrame:
-    """``(block, node, partners)`` that survive the sequential comparison of signatures.
+    """``(block, node, partners, needs)`` that survive the sequential comparison of signatures.
+
+    ``partners`` are keys side by side; ``needs``, in one row a block, all distinct keys of the block's pairs.
 
     ``blocks`` has ``(block, left, band, node, component, outside)``. Rows with ``left`` are compared
     with the others of their block and of another component. Where both are ``outside`` the
@@ -124,7 +126,7 @@ def plausible(blocks: DataFrame, nodes: DataFrame, plan: NearDup) -> DataFrame:
         to_matrix = lambda side: np.frombuffer(b"".join(side.signature), np.uint32).reshape(len(side), -1)
         a, b = to_matrix(left), to_matrix(right)
         (la, ca, oa), (lb, cb, ob) = ((s.node.to_numpy(), s.component.to_numpy(), s.outside.to_numpy()) for s in (left, right))
-        rows = []
+        rows, used = [], np.zeros(len(b), bool)
         for i in range(len(a)):
             stay = np.flatnonzero((cb != ca[i]) & (~(ob & oa[i]) | (lb > la[i])))
             matches = np.zeros(len(stay), np.int32)
@@ -140,10 +142,14 @@ def plausible(blocks: DataFrame, nodes: DataFrame, plan: NearDup) -> DataFrame:
                 stay = stay[shared.argmax(axis=1) == left.band.iloc[0]]
             if len(stay):
                 rows.append((block.block.iloc[0], la[i], b"".join(lb[stay])))
-        return pd.DataFrame(rows, columns=["block", "node", "partners"]) if rows else None
+                used[stay] = True
+        if not rows:
+            return None
+        found = pd.DataFrame(rows, columns=["block", "node", "partners"])
+        return found.assign(needs=[b"".join({*found.node, *lb[used]}), *[None] * (len(rows) - 1)])
 
     signed = blocks.join(nodes.select("node", "signature"), "node")
-    return by_block(signed, ["left", "node"], compare, "block bigint, node binary, partners binary")
+    return by_block(signed, ["left", "node"], compare, "block bigint, node binary, partners binary, needs binary")
 
 
 def verify(found: DataFrame, nodes: DataFrame, docs: DataFrame, plan: NearDup, id_col: str, text_col: str) -> DataFrame:
@@ -152,9 +158,9 @@ def verify(found: DataFrame, nodes: DataFrame, docs: DataFrame, plan: NearDup, i
     Only the texts of nodes in ``found`` are cut into shingles again, and each block gets each
     set it needs once.
     """
-    starts = F.sequence(F.lit(1), F.octet_length("partners"), F.lit(16))
-    partners = F.transform(starts, lambda i: F.substring("partners", i, F.lit(16)))
-    needed = found.select("block", F.explode(F.array_union(F.array("node"), partners)).alias("node")).distinct()
+    starts = F.sequence(F.lit(1), F.octet_length("needs"), F.lit(16))
+    keys = F.transform(starts, lambda i: F.substring("needs", i, F.lit(16)))
+    needed = found.where("needs is not null").select("block", F.explode(keys).alias("node"))
     wanted = needed.select("node").distinct().join(nodes.select("node", "id"), "node")
     wanted = staged(wanted, "wanted-sets")
     id_type = dict(docs.dtypes)[id_col]
