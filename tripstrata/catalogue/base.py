@@ -135,8 +135,8 @@ _LAYERS = """
   SELECT *, strftime(pickup_ts, '%Y%m') AS month_key,
     md5(coalesce(CAST(vendor_id AS VARCHAR), '') || '|' || coalesce(CAST(pickup_ts AS VARCHAR), '') || '|' ||
         coalesce(CAST(dropoff_ts AS VARCHAR), '') || '|' || coalesce(CAST(pu_location_id AS VARCHAR), '') || '|' ||
-        coalesce(CAST(do_location_id AS VARCHAR), '') || '|' || coalesce(CAST(trip_distance AS VARCHAR), '') || '|' ||
-        coalesce(CAST(total_amount AS VARCHAR), '')) AS row_fingerprint
+        coalesce(CAST(do_location_id AS VARCHAR), '') || '|' || coalesce(regexp_replace(CAST(trip_distance AS VARCHAR), '\\.?0+$', ''), '') || '|' ||
+        coalesce(regexp_replace(CAST(total_amount AS VARCHAR), '\\.?0+$', ''), '')) AS row_fingerprint
   FROM {kind}_stg
   WHERE pickup_ts IS NOT NULL AND dropoff_ts IS NOT NULL AND dropoff_ts >= pickup_ts
     AND pu_location_id IS NOT NULL AND do_location_id IS NOT NULL

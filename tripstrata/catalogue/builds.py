@@ -26,6 +26,7 @@ from tripstrata.operators.batches import batch_list, changed_batches, delete_bat
 from tripstrata.operators.windows import window_bounds
 from tripstrata.plans.builds import build_clean, build_marts, build_quarantine, row_counts
 from tripstrata.plans.run import run_all
+from tripstrata.schemas import AMOUNT
 from tripstrata.sources.trips import raw_from_batched
 from tripstrata.storage.warehouse import ALL, Warehouse
 
@@ -199,7 +200,7 @@ def b11_emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
     build_clean(warehouse)
     build_marts(warehouse, full=True, only=["hourly_peak"])
     refunded = F.when(F.expr("tpep_pickup_datetime >= timestamp_ntz'2000-12-01'"), F.lit(-1)).otherwise(F.col("total_amount"))
-    load_frame(warehouse, early.withColumn("total_amount", refunded.cast("decimal(18,2)")), ALL)
+    load_frame(warehouse, early.withColumn("total_amount", refunded.cast(AMOUNT)), ALL)
     build_clean(warehouse, "2000-01, 2001-01")
     build_marts(warehouse, lookback=2, only=["hourly_peak"])
     return warehouse.read("hourly_peak").drop("trip_month")

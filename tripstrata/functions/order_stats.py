@@ -2,7 +2,8 @@
 
 Values are turned into integer codes, repeated codes are counted before the
 shuffle, and the wanted rank is narrowed down over three histograms of at most
-2**20 buckets each (the first one spans the value range). Only bucket counts are
+2**20 buckets each (the first one spans all 64-bit codes). Counts are summed per bucket
+before they meet the wanted ranks. Only bucket counts are
 ever ordered, so a group of any size, or of one repeated value, costs the same.
 """
 
@@ -12,21 +13,26 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SHIFTS = (40, 20, 0)
 
 
 def order_statistics(
-    df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], scale: int = 3
+    df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]
 ) -> DataFrame:
     """One row per group and entry of ``ranks``: ``(*keys, stat, n, value)``.
 
     ``ranks`` maps a statistic's name to its zero-based rank, an expression over the
-    group size ``n``. ``value`` needs a decimal of at most ``scale`` places; NULLs are left out.
+    group size ``n``. ``value`` is a decimal of at most 18 digits, of any scale; NULLs are left out.
     """
     if not keys:
         raise ValueError("order_statistics needs at least one group column")
-    code = (F.col(value).cast(f"decimal(18,{scale})") * (10**scale)).cast("bigint")
+    kind = df.schema[value].dataType
+    if not isinstance(kind, T.DecimalType) or kind.precision > 18:
+        raise TypeError(f"order_statistics needs a decimal of at most 18 digits, not {kind.simpleString()}")
+    scale = kind.scale
+    code = (F.col(value) * F.lit(10**scale)).cast("bigint")
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, code.alias("_code"))
@@ -41,19 +47,14 @@ def order_statistics(
     in_order = Window.partitionBy(*keys, "stat").orderBy("_bucket")
     for level, shift in enumerate(_SHIFTS):
         bucket = F.shiftright(F.col("_code"), shift).alias("_bucket")
+        left = counts.groupBy(*keys, bucket).agg(F.sum("_rows").alias("_rows")).alias("c")
+        right = targets.alias("t")
+        same = [F.col(f"c.{key}").eqNullSafe(F.col(f"t.{key}")) for key in keys]
         if level:
-            # only codes of the bucket the rank lies in
-            left, right = counts.alias("c"), targets.alias("t")
-            same = [F.col(f"c.{key}").eqNullSafe(F.col(f"t.{key}")) for key in keys]
-            same.append(F.shiftright(F.col("c._code"), shift + 20) == F.col("t._bucket"))
-            narrowed = left.join(right, reduce(Column.__and__, same)).select("t.*", "c._code", "c._rows").drop("_bucket")
-            histogram = narrowed.groupBy(*keys, "stat", "n", "rank", bucket).agg(F.sum("_rows").alias("_rows"))
-        else:
-            # all codes count here, so they are reduced before anything is joined
-            left = counts.groupBy(*keys, bucket).agg(F.sum("_rows").alias("_rows")).alias("c")
-            right = targets.alias("t")
-            same = [F.col(f"c.{key}").eqNullSafe(F.col(f"t.{key}")) for key in keys]
-            histogram = left.join(right, reduce(Column.__and__, same)).select("t.*", "c._bucket", "c._rows")
+            # only buckets inside the one the rank lies in
+            same.append(F.shiftright(F.col("c._bucket"), 20) == F.col("t._bucket"))
+        wanted_ranks = [F.col(f"t.{name}") for name in (*keys, "stat", "n", "rank")]
+        histogram = left.join(right, reduce(Column.__and__, same)).select(*wanted_ranks, "c._bucket", "c._rows")
         cumulated = histogram.withColumn("_upto", F.sum("_rows").over(in_order))
         below = F.col("_upto") - F.col("_rows")
         targets = cumulated.where((F.col("_upto") > F.col("rank")) & (below <= F.col("rank"))).select(

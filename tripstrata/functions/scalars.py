@@ -15,7 +15,7 @@ FINGERPRINT_COLUMNS = (
     "trip_distance",
     "total_amount",
 )
-_TWO_DECIMALS = {"trip_distance", "total_amount"}
+_AMOUNTS = {"trip_distance", "total_amount"}
 
 
 def speed(distance: Column, seconds: Column) -> Column:
@@ -28,27 +28,32 @@ def text(column: Column) -> Column:
     return column.cast("string")
 
 
+def plain_number(amount: Column) -> Column:
+    """An amount's text without trailing zeros."""
+    return F.regexp_replace(text(amount), r"\.0*$|(\.[0-9]*[1-9])0+$", "$1")
+
+
 def blank_to_null(column: Column) -> Column:
     return F.nullif(F.trim(column), F.lit(""))
 
 
 def row_fingerprint() -> Column:
-    """md5 over the seven key columns' text. Amounts are written with two decimals."""
+    """md5 over the seven key columns' text. Amounts are written without trailing zeros."""
     parts = []
     for name in FINGERPRINT_COLUMNS:
-        column = F.col(name).cast("decimal(18,2)") if name in _TWO_DECIMALS else F.col(name)
-        parts.append(F.coalesce(text(column), F.lit("")))
+        written = plain_number(F.col(name)) if name in _AMOUNTS else text(F.col(name))
+        parts.append(F.coalesce(written, F.lit("")))
     return F.md5(F.concat_ws("|", *parts))
 
 
 def exact_sum(column: Column) -> Column:
-    """Order-independent sum of a two-decimal amount."""
-    return F.sum(column.cast("decimal(18,2)"))
+    """Order-independent sum of a decimal amount."""
+    return F.sum(column)
 
 
-def exact_avg(column: Column, kind: str = "decimal(18,2)") -> Column:
+def exact_avg(column: Column) -> Column:
     """Mean as the exact decimal sum over the number of non-NULL values; NULL without any."""
-    return F.sum(column.cast(kind)).cast("double") / F.nullif(F.count(column), F.lit(0)).cast("double")
+    return F.sum(column).cast("double") / F.nullif(F.count(column), F.lit(0)).cast("double")
 
 
 def _rounded(value: Column, places: int) -> Column:

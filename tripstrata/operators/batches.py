@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tripstrata.sources.trips import conform, ingest_errors, read_trip_file, rejected_codes, run_moment, tag
+from tripstrata.sources.trips import conform, ingest_errors, read_trip_file, rejected, run_moment, tag
 from tripstrata.storage.warehouse import Warehouse
 
 DATASET = "yellow"
@@ -76,8 +76,9 @@ def load_batch(
 ) -> LoadResult:
     """Load one month unless it is there; with ``replace``, put the new rows in its place.
 
-    One write job: rows and rejected codes are counted on the way. Only when a code was
-    rejected does a second scan write the error rows. A failed load leaves the old batch.
+    One write job: rows and rejected values are counted on the way. Only when a value was
+    rejected does a second scan write the error rows. They take the place of the batch's
+    earlier ones before the batch itself is swapped in. A failed load leaves the old batch.
     """
     moment = moment or run_moment()
     present = batch_id in warehouse.values("raw")
@@ -87,11 +88,15 @@ def load_batch(
 
     source = read_trip_file(warehouse.spark, path)
     seen = Observation()
-    rejected = F.size(rejected_codes(source)) > 0
-    counted = source.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(rejected).alias("rejected"))
-    warehouse.publish("raw", tag(conform(counted), F.lit(batch_id), moment), [batch_id])
-    if seen.get["rejected"]:
-        warehouse.append("ingest_errors", ingest_errors(source, batch_id, path, moment))
+    counted = source.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(rejected(source)).alias("rejected"))
+
+    def replace_errors() -> None:
+        if seen.get["rejected"]:
+            warehouse.publish("ingest_errors", ingest_errors(source, batch_id, path, moment), [batch_id])
+        elif batch_id in warehouse.values("ingest_errors"):
+            warehouse.publish("ingest_errors", warehouse.read("ingest_errors").limit(0), [batch_id])
+
+    warehouse.publish("raw", tag(conform(counted), F.lit(batch_id), moment), [batch_id], replace_errors)
     action = "replaced" if present else "loaded"
     return LoadResult(batch_id, action, deleted, seen.get["rows"], seen.get["rejected"])
 

@@ -33,7 +33,7 @@ def daily_zone(clean: DataFrame) -> DataFrame:
         exact_avg(F.col("total_amount")).alias("avg_total_amount"),
         exact_avg(F.col("tip_amount")).alias("avg_tip_amount"),
         exact_avg(F.col("trip_distance")).alias("avg_distance"),
-        exact_avg(F.col("trip_duration_sec"), "decimal(18,6)").alias("avg_duration_sec"),
+        exact_avg(F.col("trip_duration_sec")).alias("avg_duration_sec"),
     )
 
 

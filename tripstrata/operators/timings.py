@@ -19,7 +19,7 @@ def summarize(log: DataFrame) -> DataFrame:
         F.count(elapsed).alias("count"),
         F.min(elapsed).cast("double").alias("min"),
         F.max(elapsed).cast("double").alias("max"),
-        (F.sum(elapsed.cast("decimal(18,3)")).cast("double") / F.nullif(F.count(elapsed), F.lit(0))).alias("mean"),
+        (F.sum(elapsed).cast("double") / F.nullif(F.count(elapsed), F.lit(0))).alias("mean"),
     )
     return basic.join(median(log, _GROUP, "elapsed_ms", "median"), _GROUP, "left")
 

@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 2)
+# wide enough for the shortest text of a double, so that nothing is rounded on load
+AMOUNT = T.DecimalType(38, 18)
 TS = T.TimestampNTZType()
 
 # Names of the monthly trip files' columns.
@@ -16,25 +17,27 @@ SOURCE_TYPES: dict[str, T.DataType] = {
     "vendorid": T.LongType(),
     "tpep_pickup_datetime": TS,
     "tpep_dropoff_datetime": TS,
-    "passenger_count": T.DecimalType(9, 1),
-    "trip_distance": MONEY,
+    "passenger_count": AMOUNT,
+    "trip_distance": AMOUNT,
     "ratecodeid": T.LongType(),
     "store_and_fwd_flag": T.StringType(),
     "pulocationid": T.LongType(),
     "dolocationid": T.LongType(),
     "payment_type": T.LongType(),
-    "fare_amount": MONEY,
-    "extra": MONEY,
-    "mta_tax": MONEY,
-    "tip_amount": MONEY,
-    "tolls_amount": MONEY,
-    "improvement_surcharge": MONEY,
-    "total_amount": MONEY,
-    "congestion_surcharge": MONEY,
-    "airport_fee": MONEY,
-    "cbd_congestion_fee": MONEY,
+    "fare_amount": AMOUNT,
+    "extra": AMOUNT,
+    "mta_tax": AMOUNT,
+    "tip_amount": AMOUNT,
+    "tolls_amount": AMOUNT,
+    "improvement_surcharge": AMOUNT,
+    "total_amount": AMOUNT,
+    "congestion_surcharge": AMOUNT,
+    "airport_fee": AMOUNT,
+    "cbd_congestion_fee": AMOUNT,
 }
 
+AMOUNT_COLUMNS = tuple(name for name, kind in SOURCE_TYPES.items() if kind is AMOUNT)
+
 # Staged name -> raw name. The four raw columns missing here
 # (extra, mta_tax, tolls_amount, improvement_surcharge) stop at the raw layer.
 STAGE_COLUMNS = {
@@ -94,7 +97,7 @@ DAILY_REVENUE = _struct(
     {
         "trip_date": T.DateType(),
         "trips": T.LongType(),
-        "revenue": T.DecimalType(28, 2),
+        "revenue": AMOUNT,
         "trip_month": T.StringType(),
     }
 )
@@ -125,7 +128,7 @@ RUN_LOG = _struct(
         "phase": T.StringType(),
         "query": T.StringType(),
         "iter": T.IntegerType(),
-        "elapsed_ms": T.DecimalType(18, 3),
+        "elapsed_ms": T.DecimalType(18, 6),
     }
 )
 RUN_LOG_OLD = T.StructType(RUN_LOG.fields[1:])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripstrata.schemas import CODE_COLUMNS, RAW, SOURCE_TYPES
+from tripstrata.schemas import AMOUNT, AMOUNT_COLUMNS, CODE_COLUMNS, RAW, SOURCE_TYPES
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -50,6 +50,25 @@ def _whole_number(value: Column, kind: T.DataType) -> Column:
     return F.lit(None).cast("bigint")
 
 
+def _amount(value: Column, kind: T.DataType) -> Column:
+    """The value as it is written, exactly; NULL when its digits do not fit the amount type.
+
+    Doubles go through their shortest text, so 0.1 is a tenth. Text that is no number fails.
+    """
+    if isinstance(kind, (T.StringType, T.FloatType, T.DoubleType)):
+        written = F.trim(value.cast("string"))
+        number = value.cast("double")
+        exact = written.try_cast(AMOUNT.simpleString())
+        # a text with more digits than fit is rounded by the cast, which its own text gives away
+        digits = F.length(F.regexp_replace(F.regexp_extract(written, r"\.([0-9]*)", 1), "0+$", ""))
+        power = F.coalesce(F.regexp_extract(written, "[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+        return F.when(number.isNotNull() & (digits - power <= AMOUNT.scale), exact)
+    if isinstance(kind, T.DecimalType) and (kind.scale > AMOUNT.scale or kind.precision - kind.scale > AMOUNT.precision - AMOUNT.scale):
+        exact = value.try_cast(AMOUNT.simpleString())
+        return F.when(exact == value, exact)
+    return value.cast(AMOUNT)
+
+
 def _moment(value: Column, kind: T.DataType) -> Column:
     """Wall-clock time; instants are read as UTC whatever the session zone."""
     if isinstance(kind, T.TimestampType):
@@ -67,6 +86,8 @@ def _conformed(df: DataFrame, name: str, spelling: str | None) -> Column:
         return _whole_number(present, kind)
     if isinstance(target, T.TimestampNTZType):
         return _moment(present, kind)
+    if name in AMOUNT_COLUMNS:
+        return _amount(present, kind)
     return present.cast(target)
 
 
@@ -76,33 +97,43 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*[_conformed(df, name, spelled.get(name)).alias(name) for name in SOURCE_TYPES])
 
 
-def rejected_codes(df: DataFrame) -> Column:
-    """Names of the code columns whose value is present but not a whole number."""
+def _lost(df: DataFrame, names: tuple[str, ...], convert) -> Column:
+    """Those of ``names`` whose value is present in the source but not kept by ``convert``."""
     spelled = known_columns(df)
     flags = []
-    for name in CODE_COLUMNS:
+    for name in names:
         if name in spelled:
             value, kind = _source(df, spelled[name])
             present = _present(value, kind)
-            lost = present.isNotNull() & _whole_number(present, kind).isNull()
-            flags.append(F.when(lost, F.lit(name)))
-    if not flags:
-        return F.array().cast("array<string>")
-    return F.array_compact(F.array(*flags))
+            flags.append(F.when(present.isNotNull() & convert(present, kind).isNull(), F.lit(name)))
+    return F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
+
+
+def rejected_codes(df: DataFrame) -> Column:
+    """Names of the code columns whose value is present but not a whole number."""
+    return _lost(df, CODE_COLUMNS, _whole_number)
+
+
+def rejected_amounts(df: DataFrame) -> Column:
+    """Names of the amount columns whose value has more digits than an amount holds."""
+    return _lost(df, AMOUNT_COLUMNS, _amount)
+
+
+def rejected(df: DataFrame) -> Column:
+    """True for source rows that lose a value."""
+    return (F.size(rejected_codes(df)) > 0) | (F.size(rejected_amounts(df)) > 0)
 
 
 def ingest_errors(df: DataFrame, batch_id: str, source_file: str, created_at: datetime) -> DataFrame:
-    """One row per source row that lost a code, with the whole source row as JSON."""
-    return (
-        df.select(rejected_codes(df).alias("_lost"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("raw_payload"))
-        .where(F.size("_lost") > 0)
-        .select(
-            F.lit(batch_id).alias("batch_id"),
-            F.lit(source_file).alias("source_file"),
-            F.concat(F.lit("not a whole number: "), F.array_join("_lost", ", ")).alias("error_reason"),
-            "raw_payload",
-            F.lit(created_at).alias("created_at"),
-        )
+    """One row per source row that lost a value, with the whole source row as JSON."""
+    reason = lambda what, names: F.when(F.size(names) > 0, F.concat(F.lit(f"{what}: "), F.array_join(names, ", ")))
+    reasons = F.concat_ws("; ", reason("not a whole number", rejected_codes(df)), reason("too many digits", rejected_amounts(df)))
+    return df.where(rejected(df)).select(
+        F.lit(batch_id).alias("batch_id"),
+        F.lit(source_file).alias("source_file"),
+        reasons.alias("error_reason"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("raw_payload"),
+        F.lit(created_at).alias("created_at"),
     )
 
 

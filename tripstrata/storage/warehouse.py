@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -70,7 +70,9 @@ class Warehouse:
         """A folder for one write; the underscore keeps it out of table listings."""
         return f"{self.root.rstrip('/')}/_staging/{uuid.uuid4().hex}"
 
-    def publish(self, layer: str, df: DataFrame, replace: Iterable[str | Slice] | str) -> list[Slice]:
+    def publish(
+        self, layer: str, df: DataFrame, replace: Iterable[str | Slice] | str, before_swap: Callable[[], None] | None = None
+    ) -> list[Slice]:
         """Write ``df`` beside the table in one job, then swap whole folders in.
 
         ``replace`` lists what is replaced: values of the leading partition column, or
@@ -78,7 +80,8 @@ class Warehouse:
         rows in ``df`` disappears, so months a batch no longer touches and marts'
         emptied months go away. A job that fails leaves the table as it was. The swap
         itself is one rename per folder: replaced folders stay in the staging area until
-        all new ones are in place, and are put back if a rename fails.
+        all new ones are in place, and are put back if a rename fails. ``before_swap`` runs
+        between the two; when it fails the table stays as it was.
         """
         partition_by = LAYERS[layer].partition_by
         listed = [] if replace == ALL else [v if isinstance(v, tuple) else (v,) for v in replace]
@@ -91,6 +94,8 @@ class Warehouse:
             wanted = set(arrived) | set(present) if replace == ALL else set(listed)
             if not set(arrived) <= wanted:
                 raise ValueError(f"{layer}: rows outside the replaced slices: {sorted(set(arrived) - wanted)}")
+            if before_swap:
+                before_swap()
         except Exception:
             self.files.delete(staged)
             raise
