@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helpers import source, trip
 from tripstrata.operators.batches import batch_list, load_batch, load_months
+from tripstrata.operators.staging import stage, with_reason
 from tripstrata.schemas import RUN_LOG, SOURCE_TYPES
 from tripstrata.session import scratch_dir, shuffle_partitions_for
 from tripstrata.sources.runlog import read_run_logs, write_run_log
@@ -128,3 +129,35 @@ def test_shuffle_width():
     assert shuffle_partitions_for(1) == 8
     assert shuffle_partitions_for(100 << 40, cores=4000) == 200_000
     assert shuffle_partitions_for(1 << 40) == 4096
+
+
+def test_amounts_are_kept_exactly(spark, warehouse, tmp_path):
+    """No digit is rounded; what an amount cannot hold is an error row."""
+    rows = [
+        trip("2024-01", 1, "2024-01-01 10:00:00", trip_distance=0.004),
+        trip("2024-01", 2, "2024-01-01 10:00:00", total_amount=-0.004),
+        trip("2024-01", 3, "2024-01-01 10:00:00", Passenger_Count=8.04),
+        trip("2024-01", 4, "2024-01-01 10:00:00", total_amount=16.300000000000001),
+        trip("2024-01", 5, "2024-01-01 10:00:00", total_amount=1e-25),
+        trip("2024-01", 6, "2024-01-01 10:00:00", trip_distance=1e30),
+    ]
+    path = str(tmp_path / "month")
+    source(spark, rows).drop("batch_id").write.parquet(path)
+    done = load_batch(warehouse, "2024-01", path)
+    assert (done.rows, done.rejected) == (6, 2)
+    errors = {r.error_reason for r in warehouse.read("ingest_errors").collect()}
+    assert errors == {"too many digits: total_amount", "too many digits: trip_distance"}
+    reasons = {r.vendor_id: r.reason_code for r in with_reason(stage(warehouse.read("raw"))).collect()}
+    assert reasons == {1: None, 2: "invalid_total_amount", 3: None, 4: None, 5: "invalid_total_amount", 6: "invalid_distance"}
+    kept = {r.vendorid: r for r in warehouse.read("raw").collect()}
+    assert str(kept[3].passenger_count).rstrip("0") == "8.04"
+    assert str(kept[4].total_amount).rstrip("0") == "16.3"
+
+
+def test_errors_go_with_their_batch(spark, warehouse, tmp_path):
+    bad, good = str(tmp_path / "bad"), str(tmp_path / "good")
+    source(spark, [trip("2024-01", 1, "2024-01-01 10:00:00", RatecodeID=1.5)]).drop("batch_id").write.parquet(bad)
+    source(spark, [trip("2024-01", 1, "2024-01-01 10:00:00")]).drop("batch_id").write.parquet(good)
+    for path, left in ((bad, 1), (bad, 1), (good, 0)):
+        load_batch(warehouse, "2024-01", path, replace=True)
+        assert warehouse.read("ingest_errors").count() == left

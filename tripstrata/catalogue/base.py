@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripstrata.operators.batches import load_frame
@@ -90,12 +90,14 @@ def doubles(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) if kinds[c].startswith("decimal") else F.col(c) for c in df.columns])
 
 
-def with_place(ordered: DataFrame) -> DataFrame:
-    """Position in an ordered report of a few rows."""
-    return ordered.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+def with_place(report: DataFrame, *order: Column | str) -> DataFrame:
+    """Position in a report of a few aggregated rows."""
+    return report.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
 # ---------------------------------------------------------------- SQL
+# Reasons, their order, code sets and fingerprint columns are those of ``rules``
+# and ``scalars``, written again so that a fault there shows.
 
 _EV_RAW = """
 ev_raw AS (

@@ -26,11 +26,11 @@ from tripstrata.functions.temporal import BATCH_PATTERN
 from tripstrata.operators.audit import missing_rows, surplus
 from tripstrata.operators.batches import batch_list, changed_batches, has_batch, trips_of
 from tripstrata.operators.layout import list_partitions
-from tripstrata.operators.staging import quarantined_trips, valid_trips
+from tripstrata.operators.staging import quarantined_trips, valid_trips, with_reason
 from tripstrata.operators.windows import anchor_month, in_window
 from tripstrata.operators.zoning import with_zone
 from tripstrata.plans import workload as W
-from tripstrata.rules import PAYMENT_TYPES
+from tripstrata.rules import PAYMENT_TYPES, is_valid
 from tripstrata.sources.tables import nation_zones, table
 
 # ---------------------------------------------------------------- filters
@@ -176,14 +176,14 @@ def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j05(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = staged(spark, sf_dir, "li")
-    trips.createOrReplaceTempView("j05_stg")
-    anchor_month(trips).createOrReplaceTempView("j05_anchor")
-    clean(spark, sf_dir, "li").createOrReplaceTempView("j05_clean")
-    quarantined_trips(trips).createOrReplaceTempView("j05_quarantine")
-    return spark.sql("""SELECT (SELECT anchor FROM j05_anchor) AS anchor,
-        (SELECT count(*) FROM j05_stg) AS raw_rows, (SELECT count(*) FROM j05_clean) AS clean_rows,
-        (SELECT count(*) FROM j05_quarantine) AS quarantine_rows,
-        (SELECT count(DISTINCT batch_id) FROM j05_stg) AS batches""")
+    counted = with_reason(trips).agg(
+        F.count(F.lit(1)).alias("raw_rows"),
+        F.count_if(is_valid()).alias("clean_rows"),
+        F.count("reason_code").alias("quarantine_rows"),
+        F.count_distinct("batch_id").alias("batches"),
+    )
+    anchor = F.lit(anchor_month(trips).first()[0]).cast("timestamp_ntz")
+    return counted.select(anchor.alias("anchor"), "raw_rows", "clean_rows", "quarantine_rows", "batches")
 
 
 @query(
@@ -205,7 +205,7 @@ def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT payment_type, count(*) AS trips, {exact_avg_sql('tip_amount')} AS avg_tip FROM li_clean GROUP BY 1)"""),
 )
 def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_place(W.payment_stats(clean(spark, sf_dir, "li")))
+    return with_place(W.payment_stats(clean(spark, sf_dir, "li")), F.desc("trips"), "payment_type")
 
 
 @query(
@@ -215,17 +215,16 @@ def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM li_clean GROUP BY 1)"""),
 )
 def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doubles(with_place(W.revenue_by_day(clean(spark, sf_dir, "li"))))
+    return doubles(with_place(W.revenue_by_day(clean(spark, sf_dir, "li")), "trip_date"))
 
 
 @query(
     "T03_top_20",
     sql("li", """SELECT pu_location_id, count(*) AS trips FROM li_clean
-        WHERE pickup_ts >= TIMESTAMP '1996-01-01' AND pickup_ts < TIMESTAMP '1999-01-01'
         GROUP BY 1 ORDER BY trips DESC, pu_location_id LIMIT 20"""),
 )
 def t03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.top_pickup_zones(clean(spark, sf_dir, "li"), datetime(1996, 1, 1), datetime(1999, 1, 1))
+    return W.top_pickup_zones(clean(spark, sf_dir, "li"), datetime(1900, 1, 1), datetime(2100, 1, 1))
 
 
 # ---------------------------------------------------------------- set operations

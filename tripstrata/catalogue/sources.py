@@ -18,6 +18,7 @@ from tripstrata.catalogue.base import (
 )
 from tripstrata.operators.batches import load_batch, load_frame
 from tripstrata.operators.checks import Policy, evaluate, suite_summary, suites, write_results
+from tripstrata.operators.staging import stage, with_reason
 from tripstrata.schemas import RUN_LOG, SOURCE_TYPES
 from tripstrata.session import scratch_dir
 from tripstrata.sources.runlog import PHASES, log_name, read_run_logs, write_run_log
@@ -90,6 +91,26 @@ def s03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.inline(F.array(*entries)))
 
 
+@query(
+    "S03_exact_amounts",
+    """SELECT event_id, CAST((event_id % 7 - 3) / 2500.0 AS DOUBLE) AS trip_distance,
+         CAST(CAST((event_id % 5 - 2) AS DECIMAL(10,0)) * 0.001234 AS DOUBLE) AS total_amount,
+         CAST(8 + (event_id % 3) * 0.02 AS DOUBLE) AS passenger_count,
+         CASE WHEN event_id % 7 <= 3 THEN 'invalid_distance' WHEN event_id % 5 < 2 THEN 'invalid_total_amount' END AS reason_code
+       FROM events""",
+)
+def s03_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubles and decimals of four and more places around zero decide by their exact value."""
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "event_id AS VendorID", "ts AS tpep_pickup_datetime", "ts + INTERVAL 60 SECONDS AS tpep_dropoff_datetime",
+        "1 AS PULocationID", "2 AS DOLocationID", "CAST(event_id % 7 - 3 AS DOUBLE) / 2500 AS trip_distance",
+        "CAST(event_id % 5 - 2 AS DECIMAL(10,0)) * 0.001234BD AS total_amount",
+        "CAST(CAST(8 + (event_id % 3) * 0.02BD AS STRING) AS DOUBLE) AS passenger_count",
+    )
+    found = with_reason(stage(tag(conform(rows), F.lit("2024-01"), LOADED_AT)))
+    return doubles(found.select(F.col("vendor_id").alias("event_id"), "trip_distance", "total_amount", "passenger_count", "reason_code"))
+
+
 def _odd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes as text and fractions, with words and halves among them."""
     return table(spark, sf_dir, "events").selectExpr(
@@ -117,16 +138,14 @@ def s04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "S05_empty_text_to_null",
-    """SELECT event_type, count(*) AS trips, count(CASE WHEN event_id % 3 <> 0 THEN 1 END) AS flags
+    """SELECT user_id % 25 AS pulocationid, count(*) AS trips, count(CASE WHEN event_id % 3 <> 0 THEN 1 END) AS flags
        FROM events GROUP BY 1""",
 )
 def s05(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").selectExpr(
-        "event_id AS VendorID", "CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS Store_And_Fwd_Flag", "event_type"
+        "user_id % 25 AS PULocationID", "CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS Store_And_Fwd_Flag"
     )
-    conformed = conform(rows).select("vendorid", "store_and_fwd_flag")
-    joined = conformed.join(rows.select("VendorID", "event_type"), "vendorid")
-    return joined.groupBy("event_type").agg(F.count(F.lit(1)).alias("trips"), F.count("store_and_fwd_flag").alias("flags"))
+    return conform(rows).groupBy("pulocationid").agg(F.count(F.lit(1)).alias("trips"), F.count("store_and_fwd_flag").alias("flags"))
 
 
 @query(
@@ -184,10 +203,12 @@ def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM events WHERE value <> floor(value) OR event_id % 6 IN (0, 2)""",
 )
 def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loaded twice: the errors of the second load take the place of the first one's."""
     warehouse = new_warehouse(spark, "rejected")
     source = scratch_dir(spark, "odd-codes")
     _odd_codes(spark, sf_dir).write.mode("overwrite").parquet(source)
-    load_batch(warehouse, "2024-01", source, moment=LOADED_AT)
+    for replace in (False, True):
+        load_batch(warehouse, "2024-01", source, replace, moment=LOADED_AT)
     event_id = F.get_json_object("raw_payload", "$.VendorID").cast("bigint").alias("event_id")
     return warehouse.read("ingest_errors").select(event_id, "batch_id", "error_reason")
 
@@ -208,8 +229,9 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LOG_RUN_SQL = f"CASE WHEN day(ts) <= 15 THEN '{LOG_RUNS[0]}' ELSE '{LOG_RUNS[1]}' END"
 LOG_SQL = f"""log AS (
-  SELECT CASE WHEN day(ts) <= 15 THEN '{LOG_RUNS[0]}' ELSE '{LOG_RUNS[1]}' END AS run_id,
+  SELECT {LOG_RUN_SQL} AS run_id,
     CASE WHEN user_id % 2 = 0 THEN 'before' ELSE 'after' END AS phase, event_type AS query,
     CAST(event_id AS INTEGER) AS iter, CAST(CAST(value AS DECIMAL(18,3)) AS DOUBLE) AS elapsed_ms FROM events)"""
 

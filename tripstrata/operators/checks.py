@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -269,8 +270,38 @@ def enforce(summary: DataFrame, policy: Policy = Policy()) -> None:
         raise QualityError("; ".join(reasons))
 
 
+def settled(results: DataFrame) -> DataFrame:
+    """The result rows, worked out once: a handful, one per expectation."""
+    return results.sparkSession.createDataFrame(results.collect(), results.schema)
+
+
 def write_results(results: DataFrame, summary: DataFrame, folder: str) -> None:
     """Per-expectation rows, one JSON folder per suite, and the summary."""
     results.repartition("severity").write.mode("overwrite").partitionBy("severity").json(f"{folder}/results")
     summary.coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
 
+
+def write_run(df: DataFrame, results: DataFrame, folder: str, table: str, moment: datetime, policy: Policy = Policy()) -> str:
+    """One quality run below its own stamp: results, per-suite decision, and values that broke an expectation.
+
+    ``results`` are settled ones of ``df``, which is read again only where an expectation found
+    unexpected values. Earlier runs stay. Returns the run's folder.
+    """
+    path = f"{folder}/{moment:%Y%m%dT%H%M%S%f}"
+    summary = suite_summary(results)
+    write_results(results, summary, path)
+    decided = fail_decision(summary, policy)
+    run = decided.groupBy().agg(
+        F.lit(f"{moment:%Y-%m-%dT%H:%M:%S}").alias("run_time"),
+        F.lit(table).alias("table_name"),
+        F.lit(policy.fail_on_critical).alias("fail_on_critical"),
+        F.lit(policy.fail_on_warning).alias("fail_on_warning"),
+        F.bool_and("success").alias("success"),
+        F.bool_or("blocks_run").alias("blocked"),
+        F.sort_array(F.collect_list(F.struct("severity", "suite", "evaluated_expectations", "failed_expectations", "blocks_run"))).alias("suites"),
+    )
+    run.write.json(f"{path}/run")
+    if not results.where("unexpected_count > 0").isEmpty():
+        unexpected_sample(df, suites(policy)).coalesce(1).write.json(f"{path}/unexpected")
+    return path
+

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tripstrata.operators.audit import assert_in_sync
 from tripstrata.operators.batches import DATASET, LoadResult, batch_list, load_months
-from tripstrata.operators.checks import Policy, QualityError, enforce, write_results
+from tripstrata.operators.checks import Policy, QualityError, enforce, settled, suite_summary, write_run
 from tripstrata.operators.marts import MARTS
 from tripstrata.operators.windows import DEFAULT_LOOKBACK
 from tripstrata.plans.builds import (
@@ -21,6 +21,8 @@ from tripstrata.plans.builds import (
     run_schema_tests,
     staged,
 )
+from tripstrata.schemas import LAYERS
+from tripstrata.sources.trips import run_moment
 from tripstrata.sources.zones import load_zones, read_zones
 from tripstrata.storage.warehouse import Warehouse
 
@@ -101,8 +103,8 @@ def run_all(
     if not skip_audit:
         assert_in_sync(staged(warehouse), warehouse.read("clean"), report.clean_batches)
     if not skip_checks:
-        results, summary = check_clean(warehouse, policy)
+        results = settled(check_clean(warehouse, policy)[0])
         if report_folder:
-            write_results(results, summary, report_folder)
-        enforce(summary, policy)
+            write_run(warehouse.read("clean"), results, report_folder, LAYERS["clean"].relation, run_moment(), policy)
+        enforce(suite_summary(results), policy)
     return report
