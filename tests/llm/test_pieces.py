@@ -75,7 +75,8 @@ def test_round_trip(spark, sf_dir):
         "doc_id bigint, text string",
     )
     docs = docs.unionByName(odd, allowMissingColumns=True)
-    done = pieces.encode(docs, VOCABULARY)
+    done = pieces.encode(docs, VOCABULARY, restored_col="restored")
+    assert {r.restored for r in done.select("restored").distinct().collect()} == {True, None}
     rows = done.select("doc_id", "text", "tokens", pieces.decode(done.tokens, VOCABULARY).alias("back")).collect()
     assert len(rows) == docs.count()
     for row in rows:

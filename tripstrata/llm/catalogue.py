@@ -47,11 +47,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_sentencepiece")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = pieces.Vocabulary.load()
-    done = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    back = pieces.decode(F.col("tokens"), vocabulary)
-    restored = back == F.translate("text", pieces.MARK, " ")
-    return done.select("doc_id", F.size("tokens").alias("n_tokens"), "tokens", restored.alias("restored"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pieces.encode(docs, pieces.Vocabulary.load(), restored_col="restored")
+    return done.select("doc_id", F.size("tokens").alias("n_tokens"), "tokens", "restored")
 
 
 # ---------------------------------------------------------------- 3 exact dedup

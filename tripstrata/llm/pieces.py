@@ -33,6 +33,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNKNOWN_PENALTY = 10.0
+SLICE_CHARS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -124,12 +125,14 @@ class SharedViterbi:
 
 
 def encode_slice(texts: list[str], viterbi: SharedViterbi) -> list[np.ndarray]:
-    """Ids of each text of one slice."""
+    """Ids of each text of one slice; of its words only the distinct ones are held."""
     places = Places()
-    found = [marked(text) for text in texts]
+    found = []
+    for text in texts:
+        words = marked(text)
+        found.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
     counts = np.fromiter(map(len, found), np.int64, len(found))
-    index = np.fromiter((places[w] for words in found for w in words), np.int64, int(counts.sum()))
-    del found
+    index = np.concatenate(found) if found else np.zeros(0, np.int32)
     words = sorted(places)
     segments = list(viterbi.segment(words))
     sizes = np.zeros(len(words), np.int64)
@@ -147,34 +150,48 @@ def encode_slice(texts: list[str], viterbi: SharedViterbi) -> list[np.ndarray]:
     return np.split(ids, bounds) if len(counts) else []
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", token_col: str = "tokens") -> DataFrame:
-    """``docs`` with the piece ids of ``text_col`` in a new column ``token_col``."""
-    if token_col in docs.columns:
-        raise ValueError(f"{token_col} is a column already")
-    schema = T.StructType([*docs.schema.fields, T.StructField(token_col, T.ArrayType(T.IntegerType()))])
+def encode(
+    docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", token_col: str = "tokens", restored_col: str | None = None
+) -> DataFrame:
+    """``docs`` with the piece ids of ``text_col`` in a new column ``token_col``.
+
+    With ``restored_col``, another one tells whether the ids decode to the text again.
+    """
+    new = [T.StructField(token_col, T.ArrayType(T.IntegerType()))]
+    new += [T.StructField(restored_col, T.BooleanType())] if restored_col else []
+    if clash := {f.name for f in new} & set(docs.columns):
+        raise ValueError(f"{sorted(clash)} are columns already")
+    schema = T.StructType([*docs.schema.fields, *new])
+    held = vocabulary.piece_bytes() if restored_col else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         viterbi = SharedViterbi(vocabulary)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE_CHARS):
                 known = part[text_col].notna().to_numpy()
-                ids = iter(encode_slice(part[text_col][known].tolist(), viterbi))
-                yield part.assign(**{token_col: [next(ids) if k else None for k in known]})
+                texts = part[text_col][known].tolist()
+                ids = encode_slice(texts, viterbi)
+                place = np.cumsum(known) - 1
+                added = {token_col: [ids[i] if k else None for i, k in zip(place, known, strict=True)]}
+                if restored_col:
+                    same = [text_of(one, held) == text.replace(MARK, " ") for one, text in zip(ids, texts, strict=True)]
+                    added[restored_col] = [same[i] if k else None for i, k in zip(place, known, strict=True)]
+                yield part.assign(**added)
 
     return docs.mapInPandas(run, schema)
 
 
+def text_of(ids: np.ndarray, held: list[bytes]) -> str:
+    """Text of piece ids, given what each piece decodes to."""
+    return b"".join([held[i] for i in ids.tolist()]).decode("utf-8", "replace").removeprefix(" ")
+
+
 def decode(tokens: Column, vocabulary: Vocabulary) -> Column:
     """Text of an array of piece ids; NULL for NULL. Bytes that are no UTF-8 become U+FFFD."""
     held = vocabulary.piece_bytes()
 
     @F.pandas_udf("string")
     def run(ids: pd.Series) -> pd.Series:
-        def text(one) -> str | None:
-            if one is None:
-                return None
-            return b"".join([held[i] for i in one.tolist()]).decode("utf-8", "replace").removeprefix(" ")
-
-        return ids.map(text, na_action=None)
+        return ids.map(lambda one: None if one is None else text_of(one, held), na_action=None)
 
     return run(tokens)
