@@ -46,4 +46,4 @@ def raw_trips(spark: SparkSession, trips: list[dict], loaded_at: datetime = FIRS
 
 
 def folders(warehouse, layer: str) -> set[tuple[str, ...]]:
-    return set(warehouse._slices(warehouse.path(layer), 2))
+    return warehouse.slices(layer, 2)

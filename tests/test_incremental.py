@@ -113,7 +113,7 @@ def test_failed_load_keeps_the_old_batch(spark, warehouse):
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         load_batch(warehouse, "2024-01", bad, replace=True)
     assert warehouse.read("raw").count() == 2
-    assert warehouse.files.folders(f"{warehouse.root}/_staging") == []
+    assert warehouse.recover() == {}
 
 
 def test_failed_swap_is_undone(warehouse, monkeypatch):
@@ -122,21 +122,52 @@ def test_failed_swap_is_undone(warehouse, monkeypatch):
     put(warehouse, JAN + FEB, ALL)
     build_clean(warehouse)
     before = folders(warehouse, "clean")
-    move, calls = Files.move, []
 
-    def breaks_once(self, origin, target):
-        calls.append(target)
-        if len(calls) == 4:
-            raise OSError("lost the file system")
-        move(self, origin, target)
+    def breaks(self, origin, target):
+        raise OSError("lost the file system")
 
-    monkeypatch.setattr(Files, "move", breaks_once)
+    monkeypatch.setattr(Files, "move", breaks)
     with pytest.raises(OSError):
         build_clean(warehouse, ALL)
     monkeypatch.undo()
     assert folders(warehouse, "clean") == before
     assert vendors(warehouse) == [1, 2, 3, 4]
-    assert warehouse.files.folders(f"{warehouse.root}/_staging") == []
+    assert warehouse.recover() == {}
+
+
+@pytest.mark.parametrize("step", ["_point", "_drop"])
+def test_killed_before_or_after_the_swap(warehouse, monkeypatch, step):
+    """Readers see the old or the new table; recovery removes what is left over."""
+    put(warehouse, JAN + FEB, ALL)
+    build_clean(warehouse)
+    put(warehouse, [JAN[0] | {"VendorID": 9}], ["2024-01"], LATER)
+
+    class Killed(BaseException):
+        pass
+
+    def stop(self, *args):
+        raise Killed
+
+    monkeypatch.setattr(type(warehouse), step, stop)
+    with pytest.raises(Killed):
+        build_clean(warehouse)
+    monkeypatch.undo()
+    assert vendors(warehouse) == ([1, 2, 3, 4] if step == "_point" else [3, 4, 9])
+    assert list(warehouse.recover()) == ["clean"]
+    assert warehouse.recover() == {}
+    assert vendors(warehouse) == ([1, 2, 3, 4] if step == "_point" else [3, 4, 9])
+    build_clean(warehouse)
+    assert vendors(warehouse) == [3, 4, 9]
+
+
+def test_one_rename_whatever_the_number_of_slices(warehouse, monkeypatch):
+    from tripstrata.storage.files import Files
+
+    moves, move = [], Files.move
+    monkeypatch.setattr(Files, "move", lambda self, a, b: (moves.append(b), move(self, a, b)))
+    put(warehouse, [trip(f"2024-{m:02d}", m, f"2024-{m:02d}-05 10:00") for m in range(1, 13)], ALL)
+    put(warehouse, [trip(f"2024-{m:02d}", m, f"2024-{m:02d}-06 10:00") for m in range(1, 13)], ALL)
+    assert len(moves) == 2
 
 
 def test_rows_outside_the_replaced_slices_are_refused(warehouse):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tripstrata.functions.temporal import month_key
 from tripstrata.operators.windows import DEFAULT_MONTH, batch_month_bounds, in_window, months_between
 from tripstrata.schemas import CLEAN, CLEAN_STORED
-from tripstrata.storage.warehouse import Warehouse
+from tripstrata.storage.warehouse import ALL, Warehouse
 
 
 @dataclass(frozen=True)
@@ -113,22 +113,22 @@ def rehome_default(warehouse: Warehouse, span: Span) -> list[str]:
 def convert_flat_clean(warehouse: Warehouse, flat: DataFrame | None = None) -> bool:
     """Give an unpartitioned clean table the folder layout; False when it has it already.
 
-    The flat files are read from the clean folder itself unless ``flat`` is given. The new
-    copy is complete before the old one is moved aside.
+    The flat files are read from the clean folder itself unless ``flat`` is given. They are
+    removed once the new table counts.
     """
     path, files = warehouse.path("clean"), warehouse.files
-    if flat is None:
-        if not warehouse.exists("clean") or files.folders(path):
+    if warehouse.exists("clean"):
+        return False
+    own = flat is None
+    if own:
+        if not files.exists(path):
             return False
         flat = warehouse.spark.read.schema(CLEAN).parquet(path)
     span = batch_span(flat.select("batch_id").distinct())
-    staged = warehouse.new_staging()
-    rows = arranged(routed(flat.select(*CLEAN.fieldNames()), span))
-    rows.write.partitionBy("batch_id", "pickup_month").parquet(f"{staged}/new")
-    if files.exists(path):
-        files.move(path, f"{staged}/old")
-    files.move(f"{staged}/new", path)
-    files.delete(staged)
+    write_clean(warehouse, flat.select(*CLEAN.fieldNames()), span, ALL)
+    for name in files.names(path) if own else []:
+        if name.startswith(("part-", "_SUCCESS")):
+            files.delete(f"{path}/{name}")
     return True
 
 

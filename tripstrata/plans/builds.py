@@ -69,27 +69,26 @@ def build_quarantine(warehouse: Warehouse, full: bool = True) -> list[str]:
     return redo
 
 
-# A mart holds at most a few rows per day, hour or zone, but one file per month: several
-# tasks write the files, each month in one of them.
-MART_WRITERS = 32
-
-
-def _by_month(rows: DataFrame) -> DataFrame:
-    writers = min(MART_WRITERS, rows.sparkSession.sparkContext.defaultParallelism)
-    return rows.repartition(writers, "trip_month")
+def _months(mart_rows: DataFrame) -> list[str]:
+    return sorted(row[0] for row in mart_rows.select("trip_month").distinct().collect())
 
 
 def build_mart(warehouse: Warehouse, name: str, window: MartWindow | None) -> list[str]:
     """Rebuild one mart in full, or replace the window's months; returns the months replaced.
 
-    A mart that was never built is built in full.
+    A mart holds few rows, so it is written whole, as few files: the months outside the window
+    are copied. A mart that was never built is built in full.
     """
     clean = warehouse.read("clean")
     if window is None or not warehouse.exists(name):
-        warehouse.publish(name, _by_month(mart(name, clean)), ALL)
-        return warehouse.values(name)
+        warehouse.publish_whole(name, mart(name, clean).hint("rebalance"))
+        return _months(warehouse.read(name))
     rows = mart(name, in_window(clean, window.start, window.end))
-    warehouse.publish(name, _by_month(rows), window.months)
+    fields = LAYERS[name].schema.fieldNames()
+    others = warehouse.read(name).where(~F.col("trip_month").isin(window.months))
+    # rows of the window alone count: the mart's month is its own time column's
+    fresh = rows.where(F.col("trip_month").isin(window.months))
+    warehouse.publish_whole(name, others.select(*fields).unionByName(fresh.select(*fields)).hint("rebalance"))
     return window.months
 
 

@@ -150,8 +150,8 @@ LAYERS = {
     "ingest_errors": Layer("raw.ingest_errors", INGEST_ERRORS, ("batch_id",)),
     "clean": Layer("clean.clean_yellow_trips", CLEAN_STORED, ("batch_id", "pickup_month")),
     "quarantine": Layer("quarantine.quarantine_yellow_trips", QUARANTINE, ("batch_id",)),
-    "daily_revenue": Layer("marts.marts_daily_revenue", DAILY_REVENUE, ("trip_month",)),
-    "hourly_peak": Layer("marts.marts_hourly_peak", HOURLY_PEAK, ("trip_month",)),
-    "daily_zone": Layer("marts.daily_zone_metrics", DAILY_ZONE, ("trip_month",)),
+    "daily_revenue": Layer("marts.marts_daily_revenue", DAILY_REVENUE),
+    "hourly_peak": Layer("marts.marts_hourly_peak", HOURLY_PEAK),
+    "daily_zone": Layer("marts.daily_zone_metrics", DAILY_ZONE),
 }
 STAGE_RELATION = "stg.stg_yellow_trips"

@@ -32,6 +32,38 @@ class Files:
         names = [s.getPath().getName() for s in fs.listStatus(handle) if s.isDirectory()]
         return sorted(n for n in names if not n.startswith(("_", ".")))
 
+    def names(self, path: str) -> list[str]:
+        """Names of the direct entries, leaving out hidden ones."""
+        fs, handle = self._open(path)
+        if not fs.exists(handle):
+            return []
+        return sorted(n for s in fs.listStatus(handle) if not (n := s.getPath().getName()).startswith("."))
+
+    def leaves(self, path: str, depth: int) -> list[str]:
+        """Relative folders ``depth`` levels below ``path`` that are partition values; "" for depth 0 when there are files."""
+        fs, handle = self._open(path)
+        if not depth:
+            return [""] if any(n.startswith("part-") for n in self.names(path)) else []
+        root = fs.makeQualified(handle).toUri().getPath().rstrip("/") + "/"
+        found = fs.globStatus(self._jvm.org.apache.hadoop.fs.Path(handle, "/".join(["*=*"] * depth))) or []
+        return sorted(s.getPath().toUri().getPath().removeprefix(root) for s in found)
+
+    def read_text(self, path: str) -> str:
+        fs, handle = self._open(path)
+        stream = fs.open(handle)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write_text(self, path: str, text: str) -> None:
+        fs, handle = self._open(path)
+        stream = fs.create(handle, True)
+        try:
+            stream.write(text.encode())
+        finally:
+            stream.close()
+
     def glob(self, pattern: str) -> list[str]:
         fs, handle = self._open(pattern)
         return sorted(s.getPath().toString() for s in (fs.globStatus(handle) or []))

@@ -1,7 +1,14 @@
-"""The layers under one root folder, and how a slice of a layer is replaced."""
+"""The layers under one root folder, and how a slice of a layer is replaced.
+
+A layer's rows lie in generations, one folder per write. A small numbered file, the layer's
+pointer, lists the folders that count; the highest number is the current one. A write adds a
+generation and then one pointer file by a single rename, so readers see the table before or
+after it and never a mix, whatever the number of slices replaced.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -14,6 +21,13 @@ from tripstrata.storage.files import Files
 
 ALL = "ALL"
 Slice = tuple[str, ...]
+# generation -> partition folders of it that count ("" for an unpartitioned layer)
+Live = dict[str, list[str]]
+
+
+def _values(folder: str) -> Slice:
+    """Partition values of a folder, as Spark escaped them in its name."""
+    return tuple(unquote(part.split("=", 1)[1]) for part in folder.split("/") if part)
 
 
 @dataclass(frozen=True)
@@ -28,113 +42,115 @@ class Warehouse:
     def path(self, layer: str) -> str:
         return f"{self.root.rstrip('/')}/{layer}"
 
+    def _data(self, layer: str) -> str:
+        return f"{self.path(layer)}/_data"
+
+    def _pointers(self, layer: str) -> str:
+        return f"{self.path(layer)}/_pointer"
+
     def exists(self, layer: str) -> bool:
-        return self.files.exists(self.path(layer))
+        return bool(self.files.names(self._pointers(layer)))
+
+    def _current(self, layer: str) -> tuple[int, Live]:
+        """Number and content of the layer's pointer; 0 and nothing when it was never written."""
+        numbers = [int(name) for name in self.files.names(self._pointers(layer)) if name.isdigit()]
+        if not numbers:
+            return 0, {}
+        return max(numbers), json.loads(self.files.read_text(f"{self._pointers(layer)}/{max(numbers):020d}"))
 
     def read(self, layer: str) -> DataFrame:
-        """The layer in declared column order; an empty frame when it was never written.
+        """The layer in declared column order; an empty frame when it has no rows.
 
-        The schema is always given: inference would turn month keys into numbers
-        and fail on an empty table.
+        The schema is always given: inference would turn month keys into numbers.
         """
         schema = LAYERS[layer].schema
-        if not self.exists(layer):
+        live = self._current(layer)[1]
+        paths = [f"{self._data(layer)}/gen={generation}/{folder}" for generation, folders in live.items() for folder in folders]
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(layer)).select(*schema.fieldNames())
+        reader = self.spark.read.schema(schema).option("basePath", self._data(layer))
+        return reader.parquet(*paths).select(*schema.fieldNames())
 
-    def values(self, layer: str) -> list[str]:
-        """Values of the leading partition column, from the folder listing.
+    def slices(self, layer: str, depth: int = 1) -> set[Slice]:
+        """Leading partition values of the layer, from its pointer."""
+        return {_values(folder)[:depth] for folders in self._current(layer)[1].values() for folder in folders}
 
-        Every such folder holds at least one row, because a write only creates a
-        folder for a value it has rows for.
-        """
-        return [values[0] for values in sorted(self._slices(self.path(layer)))]
+    def values(self, layer: str) -> list[str]:
+        """Values of the leading partition column. Each has at least one row."""
+        return sorted(values[0] for values in self.slices(layer))
 
     def second_values(self, layer: str) -> list[str]:
         """Values of the second partition column over all leading folders."""
-        return sorted({values[1] for values in self._slices(self.path(layer), 2)})
-
-    def _slices(self, path: str, depth: int = 1) -> dict[Slice, str]:
-        """Partition values -> relative folder, as Spark escaped it."""
-        found: dict[Slice, str] = {(): ""}
-        for _ in range(depth):
-            found = {
-                (*values, unquote(name.split("=", 1)[1])): f"{folder}/{name}"
-                for values, folder in found.items()
-                for name in self.files.folders(f"{path}{folder}")
-                if "=" in name
-            }
-        return found
-
-    def new_staging(self) -> str:
-        """A folder for one write; the underscore keeps it out of table listings."""
-        return f"{self.root.rstrip('/')}/_staging/{uuid.uuid4().hex}"
+        return sorted({values[1] for values in self.slices(layer, 2)})
 
     def publish(
         self, layer: str, df: DataFrame, replace: Iterable[str | Slice] | str, before_swap: Callable[[], None] | None = None
     ) -> list[Slice]:
-        """Write ``df`` beside the table in one job, then swap whole folders in.
+        """Write ``df`` as a new generation in one job, then make it count by one rename.
 
         ``replace`` lists what is replaced: values of the leading partition column, or
         value pairs to replace single subfolders, or ``ALL``. Something listed without
-        rows in ``df`` disappears, so months a batch no longer touches and marts'
-        emptied months go away. A job that fails leaves the table as it was. The swap
-        itself is one rename per folder: replaced folders stay in the staging area until
-        all new ones are in place, and are put back if a rename fails. ``before_swap`` runs
-        between the two; when it fails the table stays as it was.
+        rows in ``df`` disappears. A job that fails leaves the table as it was, and so does
+        ``before_swap``, which runs before the rename. A driver that is killed leaves at most
+        a generation that no pointer lists; ``recover`` removes such.
         """
         partition_by = LAYERS[layer].partition_by
         listed = [] if replace == ALL else [v if isinstance(v, tuple) else (v,) for v in replace]
         depth = max((len(v) for v in listed), default=1)
-        staged = self.new_staging()
+        generation = f"g{uuid.uuid4().hex}"
+        target = f"{self._data(layer)}/gen={generation}"
         try:
-            df.select(*LAYERS[layer].schema.fieldNames()).write.partitionBy(*partition_by).parquet(f"{staged}/new")
-            arrived = self._slices(f"{staged}/new", depth)
-            present = self._slices(self.path(layer), depth)
-            wanted = set(arrived) | set(present) if replace == ALL else set(listed)
-            if not set(arrived) <= wanted:
-                raise ValueError(f"{layer}: rows outside the replaced slices: {sorted(set(arrived) - wanted)}")
+            writer = df.select(*LAYERS[layer].schema.fieldNames()).write
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(target)
+            arrived = self.files.leaves(target, len(partition_by))
+            outside = {_values(f)[:depth] for f in arrived} - set(listed)
+            if replace != ALL and outside:
+                raise ValueError(f"{layer}: rows outside the replaced slices: {sorted(outside)}")
             if before_swap:
                 before_swap()
+            number, live = self._current(layer)
+            keep = lambda folder: replace != ALL and _values(folder)[:depth] not in listed
+            kept = {g: left for g, folders in live.items() if (left := [f for f in folders if keep(f)])}
+            self._point(layer, number + 1, kept | ({generation: arrived} if arrived else {}))
         except Exception:
-            self.files.delete(staged)
-            raise
-        self.files.make(self.path(layer))
-        self._swap(self.path(layer), staged, {v: f for v, f in present.items() if v in wanted}, arrived)
-        return sorted(arrived)
-
-    def _swap(self, table: str, staged: str, old: dict[Slice, str], new: dict[Slice, str]) -> None:
-        files = self.files
-        moved_out: list[str] = []
-        moved_in: list[str] = []
-        try:
-            for values in sorted(set(old) | set(new)):
-                if values in old:
-                    files.move(f"{table}{old[values]}", f"{staged}/old{old[values]}")
-                    moved_out.append(old[values])
-                if values in new:
-                    files.move(f"{staged}/new{new[values]}", f"{table}{new[values]}")
-                    moved_in.append(new[values])
-        except Exception:
-            for folder in moved_in:
-                files.move(f"{table}{folder}", f"{staged}/undone{folder}")
-            for folder in moved_out:
-                files.move(f"{staged}/old{folder}", f"{table}{folder}")
-            files.delete(staged)
+            self.files.delete(target)
             raise
-        files.delete(staged)
+        self._drop(layer, [f"gen={g}/{f}" for g in kept for f in set(live[g]) - set(kept[g])] + [f"gen={g}" for g in set(live) - set(kept)])
+        return sorted({_values(folder)[:depth] for folder in arrived})
+
+    def _point(self, layer: str, number: int, live: Live) -> None:
+        """The rename that makes a table's new state count."""
+        pointers = self._pointers(layer)
+        draft = f"{pointers}/.draft-{uuid.uuid4().hex}"
+        self.files.write_text(draft, json.dumps(live))
+        self.files.move(draft, f"{pointers}/{number:020d}")
+
+    def _drop(self, layer: str, folders: Iterable[str]) -> None:
+        """Remove data that does not count any more, and earlier pointers."""
+        for folder in folders:
+            self.files.delete(f"{self._data(layer)}/{folder}")
+        for name in sorted(n for n in self.files.names(self._pointers(layer)) if n.isdigit())[:-1]:
+            self.files.delete(f"{self._pointers(layer)}/{name}")
+
+    def recover(self) -> dict[str, list[str]]:
+        """Remove what interrupted writes left: generations and folders that no pointer lists. Returns them per layer."""
+        removed: dict[str, list[str]] = {}
+        for layer in LAYERS:
+            live = self._current(layer)[1]
+            gone = []
+            for name in self.files.folders(self._data(layer)):
+                generation = name.split("=", 1)[1]
+                whole = f"{self._data(layer)}/{name}"
+                if generation not in live:
+                    dead = [""]
+                else:
+                    dead = [f for f in self.files.leaves(whole, len(LAYERS[layer].partition_by)) if f not in live[generation]]
+                gone += [f"{name}/{folder}".rstrip("/") for folder in dead]
+            self._drop(layer, gone)
+            if gone:
+                removed[layer] = sorted(gone)
+        return removed
 
     def publish_whole(self, layer: str, df: DataFrame) -> None:
         """Replace an unpartitioned table."""
-        staged, table = self.new_staging(), self.path(layer)
-        df.select(*LAYERS[layer].schema.fieldNames()).write.parquet(f"{staged}/new")
-        if self.exists(layer):
-            self.files.move(table, f"{staged}/old")
-        self.files.move(f"{staged}/new", table)
-        self.files.delete(staged)
-
-    def append(self, layer: str, df: DataFrame) -> None:
-        schema = LAYERS[layer].schema
-        df.select(*schema.fieldNames()).write.mode("append").partitionBy(*LAYERS[layer].partition_by).parquet(
-            self.path(layer)
-        )
+        self.publish(layer, df, ALL)
