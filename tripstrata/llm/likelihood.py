@@ -54,7 +54,7 @@ class Counts:
     ends: int
 
 
-def lowered_words(text: str, *_) -> list[bytes]:
+def lowered_words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 

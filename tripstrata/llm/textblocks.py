@@ -86,21 +86,32 @@ class Block:
         return np.bincount(self.document, weights=values[self.places] * self.times, minlength=len(self.sizes))
 
 
-def text_blocks(docs: DataFrame, carried: list[str], words_of: Callable[..., list[bytes]], text_col: str = "text") -> DataFrame:
-    """``(block, payload)``, staged. ``words_of(text, *carried)`` gives a document's words, without line breaks."""
+def text_blocks(
+    docs: DataFrame, carried: list[str], words_of: Callable[[str], list[bytes]], group_of: Callable[..., bytes] | None = None, text_col: str = "text"
+) -> DataFrame:
+    """``(block, payload)``, staged. ``words_of(text)`` gives a document's words, without line breaks.
+
+    Words of different groups, ``group_of(*carried)``, are different words and begin with their group.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in slices(batch, text_col):
-                places, sizes, index, times, rows = Places(), [], [], [], []
+                groups, owner, sizes, index, times, rows = {}, [], [], [], [], []
                 for text, *rest in zip(part[text_col], *(part[c] for c in carried), strict=True):
-                    words = words_of(text or "", *rest)
+                    words = words_of(text or "")
+                    group = group_of(*rest) if group_of else b""
+                    places = groups.setdefault(group, Places())
+                    owner.append(group)
                     found, count = np.unique(np.fromiter(map(places.__getitem__, words), np.int64, len(words)), return_counts=True)
                     sizes.append(len(found))
                     index.append(found)
                     times.append(count)
                     rows.append(tuple(None if pd.isna(v) else v for v in rest))
-                block = Block(rows, list(places), np.array(sizes), np.concatenate(index), np.concatenate(times))
+                before = dict(zip(groups, np.cumsum([0, *map(len, groups.values())]), strict=False))
+                words = [group + word for group, places in groups.items() for word in places]
+                index = [found + before[group] for found, group in zip(index, owner, strict=True)]
+                block = Block(rows, words, np.array(sizes), np.concatenate(index), np.concatenate(times))
                 yield pd.DataFrame({"block": [uuid.uuid4().int >> 65], "payload": [block.pack()]})
 
     return staged(docs.select(*carried, text_col).mapInPandas(scan, "block bigint, payload binary"), "text-blocks")
