@@ -76,6 +76,7 @@ def main() -> None:
         "q5_hourly_peak": lambda: W.hourly_ranking(clean).collect(),
         "q5_mart_hourly_peak": lambda: W.hourly_ranking_from_mart(hours).collect(),
         "window_revenue_pruned": lambda: W.window_revenue(spread, datetime(1998, 3, 1), datetime(1998, 5, 1)).collect(),
+        "day_zones_pruned": lambda: W.top_pickup_zones(spread, datetime(1998, 3, 3), datetime(1998, 3, 4)).collect(),
         "full_revenue": lambda: W.revenue_by_day(spread).collect(),
         "one_row_floor": lambda: spark.range(1).groupBy("id").count().orderBy("id").collect(),
         "quality_suites": lambda: check_clean(ev)[0].collect(),

@@ -127,7 +127,7 @@ def test_phase_is_checked(spark, tmp_path):
 
 def test_shuffle_width():
     assert shuffle_partitions_for(1) == 8
-    assert shuffle_partitions_for(100 << 40, cores=4000) == 200_000
+    assert shuffle_partitions_for(100 << 40, cores=4000) == 409_600
     assert shuffle_partitions_for(1 << 40) == 4096
 
 

@@ -59,12 +59,14 @@ def new_warehouse(spark: SparkSession, label: str) -> Warehouse:
     return Warehouse(spark, scratch_dir(spark, label))
 
 
-_built: dict[tuple[str, str, str], Warehouse] = {}
+_built: dict[tuple, Warehouse] = {}
+READ_TABLES = ("events", "lineitem", "orders", "nation", "region")
 
 
 def built_warehouse(spark: SparkSession, sf_dir: str, kind: str = "yr") -> Warehouse:
-    """A warehouse with all layers of one mapping, shared by the queries that only read it."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    """A warehouse with all layers of one mapping, shared by the queries that only read it while the input files stay the same."""
+    seen = tuple(Files(spark).stamp(f"{sf_dir}/{name}.parquet") for name in READ_TABLES)
+    key = (spark.sparkContext.applicationId, sf_dir, kind, seen)
     if key not in _built:
         warehouse = new_warehouse(spark, f"built-{kind}")
         load_zones(warehouse, nation_zones(spark, sf_dir))

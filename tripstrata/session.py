@@ -26,7 +26,7 @@ BASE_CONF = {
 
 def shuffle_partitions_for(input_bytes: int, target_bytes: int = 256 << 20, cores: int = 8) -> int:
     """Initial shuffle width for one job over ``input_bytes``; AQE coalesces downwards from it."""
-    return max(cores, min(200_000, -(-input_bytes // target_bytes)))
+    return max(cores, -(-input_bytes // target_bytes))
 
 
 def build_session(

@@ -39,6 +39,11 @@ class Files:
             return []
         return sorted(n for s in fs.listStatus(handle) if not (n := s.getPath().getName()).startswith("."))
 
+    def stamp(self, path: str) -> tuple:
+        """Name, size and time of a file, or of the direct entries of a folder: differs when they are written anew."""
+        fs, handle = self._open(path)
+        return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(handle)))
+
     def leaves(self, path: str, depth: int) -> list[str]:
         """Relative folders ``depth`` levels below ``path`` that are partition values; "" for depth 0 when there are files."""
         fs, handle = self._open(path)
