@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tripstrata.catalogue.base import doubles, query, raw, sql, staged
 from tripstrata.catalogue.relations import ODD_BATCH_SQL, odd_batches
 from tripstrata.functions import temporal as TS
-from tripstrata.functions.scalars import blank_to_null, improvement_pct, row_fingerprint, speedup, text
+from tripstrata.functions.scalars import blank_to_null, improvement_pct, plain_number, row_fingerprint, speedup, text
 from tripstrata.operators.staging import valid_trips, with_reason
 from tripstrata.operators.windows import anchor_month
 from tripstrata.sources.runlog import phase_of, run_id_of
@@ -145,11 +145,13 @@ def p15(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "P16_text_cast",
     sql("ev", """SELECT CAST(vendor_id AS VARCHAR) AS vendor_id, CAST(pickup_ts AS VARCHAR) AS pickup_ts,
-        CAST(total_amount AS VARCHAR) AS total_amount FROM ev_stg"""),
+        regexp_replace(CAST(total_amount AS VARCHAR), '\\.?0+$', '') AS total_amount FROM ev_stg"""),
 )
 def p16(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(spark, sf_dir, "ev")
-    return rows.select(*[text(F.col(c)).alias(c) for c in ("vendor_id", "pickup_ts", "total_amount")])
+    written = [text(F.col(c)).alias(c) for c in ("vendor_id", "pickup_ts")]
+    # an amount has the digits of its source, not those of its type
+    return rows.select(*written, plain_number(F.col("total_amount")).alias("total_amount"))
 
 
 @query(
