@@ -94,25 +94,33 @@ def text_blocks(
     Words of different groups, ``group_of(*carried)``, are different words and begin with their group.
     """
 
+    def packed(groups, owner, sizes, index, times, rows) -> pd.DataFrame:
+        before = dict(zip(groups, np.cumsum([0, *map(len, groups.values())]), strict=False))
+        words = [group + word for group, places in groups.items() for word in places]
+        index = [found + before[group] for found, group in zip(index, owner, strict=True)]
+        block = Block(rows, words, np.array(sizes), np.concatenate(index), np.concatenate(times))
+        return pd.DataFrame({"block": [uuid.uuid4().int >> 65], "payload": [block.pack()]})
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        groups, owner, sizes, index, times, rows, chars = {}, [], [], [], [], [], 0
         for batch in batches:
-            for part in slices(batch, text_col):
-                groups, owner, sizes, index, times, rows = {}, [], [], [], [], []
-                for text, *rest in zip(part[text_col], *(part[c] for c in carried), strict=True):
-                    words = words_of(text or "")
-                    group = group_of(*rest) if group_of else b""
-                    places = groups.setdefault(group, Places())
-                    owner.append(group)
-                    found, count = np.unique(np.fromiter(map(places.__getitem__, words), np.int64, len(words)), return_counts=True)
-                    sizes.append(len(found))
-                    index.append(found)
-                    times.append(count)
-                    rows.append(tuple(None if pd.isna(v) else v for v in rest))
-                before = dict(zip(groups, np.cumsum([0, *map(len, groups.values())]), strict=False))
-                words = [group + word for group, places in groups.items() for word in places]
-                index = [found + before[group] for found, group in zip(index, owner, strict=True)]
-                block = Block(rows, words, np.array(sizes), np.concatenate(index), np.concatenate(times))
-                yield pd.DataFrame({"block": [uuid.uuid4().int >> 65], "payload": [block.pack()]})
+            for text, *rest in zip(batch[text_col], *(batch[c] for c in carried), strict=True):
+                text = text or ""
+                words = words_of(text)
+                group = group_of(*rest) if group_of else b""
+                places = groups.setdefault(group, Places())
+                found, count = np.unique(np.fromiter(map(places.__getitem__, words), np.int64, len(words)), return_counts=True)
+                owner.append(group)
+                sizes.append(len(found))
+                index.append(found.astype(np.int32))
+                times.append(count.astype(np.int32))
+                rows.append(tuple(None if pd.isna(v) else v for v in rest))
+                chars += len(text)
+                if chars >= SLICE_CHARS:
+                    yield packed(groups, owner, sizes, index, times, rows)
+                    groups, owner, sizes, index, times, rows, chars = {}, [], [], [], [], [], 0
+        if rows:
+            yield packed(groups, owner, sizes, index, times, rows)
 
     return staged(docs.select(*carried, text_col).mapInPandas(scan, "block bigint, payload binary"), "text-blocks")
 
