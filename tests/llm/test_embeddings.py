@@ -58,3 +58,20 @@ def test_embeddings_table(spark, sf_dir):
 
 def test_empty_table(spark):
     assert found(spark, []) == []
+
+
+def test_block_keeps_its_components(spark):
+    """Two dense groups and one bridge: the bridge is no best neighbour of its ends, nor the first link of either."""
+    turn = lambda degrees, n: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees))), 1e-4 * n]
+    angles = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 10.0, 27.0, 36.0, 36.1, 36.2, 36.3, 36.4, 36.5]
+    # keys in the order of the angles, then the bridge's ends last, so that neither is the first link of the other
+    order = [*range(6), *range(8, 14), 6, 7]
+    rows = [("b", bytes([n]), turn(angles[at], n)) for n, at in enumerate(order)]
+    nodes = spark.createDataFrame([(k, v) for _, k, v in rows], "node binary, vector array<double>")
+    blocks = spark.createDataFrame([(1, k) for _, k, _ in rows], "block bigint, node binary")
+    found = embeddings.compared(blocks, nodes, embeddings.Descent()).where("link").collect()
+    group = {bytes(k): n for n, (_, k, _) in enumerate(rows)}
+    for r in found:
+        old, new = group[bytes(r.src)], group[bytes(r.dst)]
+        group = {k: new if g == old else g for k, g in group.items()}
+    assert len(set(group.values())) == 1

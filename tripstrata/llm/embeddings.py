@@ -6,7 +6,7 @@
    and lists keep the best ``k``. A list that is full of links is saturated and may grow to
    twice its length each round.
 3. Every comparison with a cosine at the threshold or above is a link, also when it falls
-   out of a list. Components come from the links, and the links of a node are counted in
+   out of a list; a block emits a spanning forest of its links, which ties the same vectors. Components come from the links, and the links of a node are counted in
    double precision against all of its component, block by block, so that a saturated list
    hides none.
 4. The result is audited: for a sample of nodes (``audit``, at most) all nodes are compared.
@@ -89,8 +89,25 @@ def leaves(nodes: DataFrame, trees: int, bits: int, seed: int) -> DataFrame:
     return coded.join(sizes, leaf).select(block.alias("block"), "node")
 
 
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what the symmetric matrix ``linked`` connects, one fewer than each component has members."""
+    left, src, dst = np.ones(len(linked), bool), [], []
+    for root in range(len(linked)):
+        if not left[root]:
+            continue
+        left[root], reached = False, [root]
+        while reached:
+            at = reached.pop()
+            new = np.flatnonzero(linked[at] & left)
+            left[new] = False
+            src += [at] * len(new)
+            dst += new.tolist()
+            reached += new.tolist()
+    return np.array(src, np.int64), np.array(dst, np.int64)
+
+
 def compared(blocks: DataFrame, nodes: DataFrame, plan: Descent) -> DataFrame:
-    """Each block member's best candidates of its block, and one link per member that has any."""
+    """Each block member's best candidates of its block, and a spanning forest of the block's links."""
 
     def best(block: pd.DataFrame) -> pd.DataFrame | None:
         if len(block) < 2:
@@ -101,14 +118,13 @@ def compared(blocks: DataFrame, nodes: DataFrame, plan: Descent) -> DataFrame:
         take = min(plan.per_block, len(block) - 1)
         top = np.argpartition(-sims, take - 1, axis=1)[:, :take]
         rows = np.arange(len(block))
-        # the first linked node of the block, which ties all linked ones of it together
         linked = sims >= plan.threshold
-        has = linked.any(axis=1)
-        first = linked.argmax(axis=1)[has]
-        src = np.concatenate([rows.repeat(take), rows[has]])
-        dst = np.concatenate([top.ravel(), first])
+        one, two = forest(linked | linked.T)
+        src = np.concatenate([rows.repeat(take), one, two])
+        dst = np.concatenate([top.ravel(), two, one])
         value = sims[src, dst]
-        return pd.DataFrame({"src": keys[src], "dst": keys[dst], "sim": value, "link": value >= plan.threshold})
+        tied = np.arange(len(src)) >= rows.size * take
+        return pd.DataFrame({"src": keys[src], "dst": keys[dst], "sim": value, "link": tied | (value >= plan.threshold)})
 
     return by_block(blocks.join(nodes.select("node", "vector"), "node"), ["node"], best, CANDIDATES)
 
