@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm import chat, embeddings, exact_dedup, licenses, likelihood, minhash, mixing, pieces, quality, warc
-from tripstrata.llm.base import table
+from tripstrata.llm import chat, embeddings, exact_dedup, licenses, likelihood, minhash, mixing, pieces, quality, repair, warc
+from tripstrata.llm.base import same, table
 from tripstrata.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,3 +238,19 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
     return quality.classify(table(spark, sf_dir, "documents"), trusted).withColumnRenamed("id", "doc_id")
+
+
+# ---------------------------------------------------------------- 13 conversation repair
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    facts, repaired = repair.repair(repair.damaged(turns))
+    found = facts.alias("f").join(repair.digests(repaired).alias("d"), same("f", "d", ["conv"]))
+    found = found.select(F.col("f.conv").alias("conv_id"), "gaps", *repair.COUNTS, "cost", "audit", "repaired_sha256")
+    ids = turns.select("conv_id").distinct()
+    none = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    rows = ids.alias("i").join(found.alias("r"), same("i", "r", ["conv_id"]), "left")
+    values = [F.coalesce(f"r.{name}", none.get(name, F.lit(0))).alias(name) for name in found.columns[1:]]
+    return rows.select("i.conv_id", *values)
