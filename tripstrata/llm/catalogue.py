@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm import chat, embeddings, exact_dedup, licenses, likelihood, minhash, mixing, pieces, quality, repair, warc
-from tripstrata.llm.base import same, table
+from tripstrata.llm import chat, embeddings, exact_dedup, licenses, likelihood, minhash, mixing, periodic, pieces, quality, repair, warc
+from tripstrata.llm.base import same, staged, table
 from tripstrata.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,3 +254,30 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ids.alias("i").join(found.alias("r"), same("i", "r", ["conv_id"]), "left")
     values = [F.coalesce(f"r.{name}", none.get(name, F.lit(0))).alias(name) for name in found.columns[1:]]
     return rows.select("i.conv_id", *values)
+
+
+# ---------------------------------------------------------------- 11 periodic runs
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = periodic.find_runs(periodic.repeated_tails(docs))
+    line = lambda r: F.concat_ws(",", r.start, r.length, r.period)
+    written = F.concat(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))))
+    # greatest length first, then the smallest start and period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    marked = rows.select("id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.array_join(written, "").alias("written"), "collapsed")
+    length, period = F.col("best.length"), -F.col("best.period")
+    result = marked.select(
+        F.col("id").alias("doc_id"),
+        "n_runs",
+        (-F.col("best.start")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2("written", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    # written here, as texts go to the workers in small batches meanwhile
+    return staged(result, "runs")
