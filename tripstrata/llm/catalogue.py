@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm import chat, embeddings, exact_dedup, licenses, likelihood, minhash, mixing, periodic, pieces, quality, repair, warc
+from tripstrata.llm import chat, embeddings, exact_dedup, licenses, likelihood, minhash, mixing, periodic, pieces, quality, repair, repeats, warc
 from tripstrata.llm.base import same, staged, table
 from tripstrata.session import scratch_dir
 
@@ -281,3 +281,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # written here, as texts go to the workers in small batches meanwhile
     return staged(result, "runs")
+
+
+# ---------------------------------------------------------------- 12 repeated strings
+
+
+@query("op12_suffix_array_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.cut_repeats(table(spark, sf_dir, "documents"))
+    spans = F.size("spans").cast("bigint").alias("n_spans")
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", spans, F.sha2("kept", 256).alias("kept_sha256"))
