@@ -22,9 +22,10 @@ from tripstrata.catalogue.base import (
     staged,
 )
 from tripstrata.catalogue.relations import IS_CHANGED, stale_clean
+from tripstrata.functions.temporal import ts_literal
 from tripstrata.operators.batches import batch_list, changed_batches, delete_batch, load_frame, load_months, trips_of
-from tripstrata.operators.windows import window_bounds
-from tripstrata.plans.builds import build_clean, build_marts, build_quarantine, row_counts
+from tripstrata.operators.windows import month_window, window_bounds
+from tripstrata.plans.builds import build_clean, build_mart, build_marts, build_quarantine, row_counts
 from tripstrata.plans.run import run_all
 from tripstrata.schemas import AMOUNT
 from tripstrata.sources.trips import raw_from_batched
@@ -189,20 +190,22 @@ def b11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "B11_mart_month_emptied",
     sql("yr", """SELECT CAST(date_trunc('hour', pickup_ts) AS TIMESTAMP) AS pickup_hour, CAST(hour(pickup_ts) AS INTEGER) AS hr, count(*) AS trips
-        FROM yr_clean WHERE pickup_ts < TIMESTAMP '2000-12-01' GROUP BY 1, 2"""),
+        FROM yr_clean WHERE pickup_ts < (SELECT date_trunc('month', max(pickup_ts)) - INTERVAL 1 MONTH FROM yr_raw) GROUP BY 1, 2"""),
 )
 def b11_emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last two months of the window turn invalid, so their mart rows go."""
+    """Trips of the two newest months of the data turn invalid in a second load; their mart rows go."""
     warehouse = new_warehouse(spark, "emptied")
     rows = raw(spark, sf_dir, "yr")
-    early = rows.where("tpep_pickup_datetime < timestamp_ntz'2001-02-01'")
-    load_frame(warehouse, early, ALL)
+    load_frame(warehouse, rows, ALL)
     build_clean(warehouse)
     build_marts(warehouse, full=True, only=["hourly_peak"])
-    refunded = F.when(F.expr("tpep_pickup_datetime >= timestamp_ntz'2000-12-01'"), F.lit(-1)).otherwise(F.col("total_amount"))
-    load_frame(warehouse, early.withColumn("total_amount", refunded.cast(AMOUNT)), ALL)
-    build_clean(warehouse, "2000-01, 2001-01")
-    build_marts(warehouse, lookback=2, only=["hourly_peak"])
+    newest = rows.agg(F.max("tpep_pickup_datetime")).first()[0]
+    window = month_window(newest, 2)
+    late = F.col("tpep_pickup_datetime") >= ts_literal(window.start)
+    refunded = F.when(late, F.lit(-1)).otherwise(F.col("total_amount")).cast(AMOUNT)
+    load_frame(warehouse, rows.withColumn("total_amount", refunded).withColumn("ingested_at", F.lit(_LATER)), ALL)
+    build_clean(warehouse)
+    build_mart(warehouse, "hourly_peak", window)
     return warehouse.read("hourly_peak").drop("trip_month")
 
 

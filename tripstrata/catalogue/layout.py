@@ -76,7 +76,7 @@ def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
           FROM yr_clean GROUP BY 1, 2)"""),
 )
 def r05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_partitions(built_warehouse(spark, sf_dir).read("clean")).drop("files", "bytes")
+    return list_partitions(built_warehouse(spark, sf_dir)).drop("files", "bytes")
 
 
 @query(
@@ -85,8 +85,7 @@ def r05(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHERE pickup_ts >= TIMESTAMP '2000-12-20' AND pickup_ts < TIMESTAMP '2001-04-10' GROUP BY 1"""),
 )
 def r06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = built_warehouse(spark, sf_dir).read("clean")
-    return partition_hits(stored, datetime(2000, 12, 20), datetime(2001, 4, 10))
+    return partition_hits(built_warehouse(spark, sf_dir), datetime(2000, 12, 20), datetime(2001, 4, 10))
 
 
 @query("R07_flat_snapshot", sql("yr", "SELECT batch_id, count(*) AS n, count(DISTINCT row_fingerprint) AS fingerprints FROM yr_clean GROUP BY 1"))

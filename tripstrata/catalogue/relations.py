@@ -25,13 +25,14 @@ from tripstrata.catalogue.base import (
 from tripstrata.functions.temporal import BATCH_PATTERN
 from tripstrata.operators.audit import missing_rows, surplus
 from tripstrata.operators.batches import batch_list, changed_batches, has_batch, trips_of
-from tripstrata.operators.layout import list_partitions
+from tripstrata.operators.layout import list_partitions, manifest_differences
 from tripstrata.operators.staging import quarantined_trips, valid_trips, with_reason
 from tripstrata.operators.windows import anchor_month, in_window
 from tripstrata.operators.zoning import with_zone
 from tripstrata.plans import workload as W
 from tripstrata.rules import PAYMENT_TYPES, is_valid
 from tripstrata.sources.tables import nation_zones, table
+from tripstrata.storage.manifest import folder_values
 
 # ---------------------------------------------------------------- filters
 
@@ -189,11 +190,19 @@ def j05(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "J06_partition_inventory",
     sql("yr", """SELECT CASE WHEN month_key BETWEEN '199501' AND '200102' THEN month_key ELSE 'default' END AS pickup_month,
-        CAST(count(*) AS BIGINT) AS rows, true AS has_files FROM yr_clean GROUP BY 1"""),
+        CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS files_missed, CAST(0 AS BIGINT) AS bytes_missed FROM yr_clean GROUP BY 1"""),
 )
 def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = list_partitions(built_warehouse(spark, sf_dir).read("clean"))
-    return found.select("pickup_month", "rows", ((F.col("files") > 0) & (F.col("bytes") > 0)).alias("has_files"))
+    """Rows, files and bytes per month from the manifests, the latter two as differences from what the file system lists."""
+    warehouse = built_warehouse(spark, sf_dir)
+    if not manifest_differences(warehouse).isEmpty():
+        raise RuntimeError("a file differs from its manifest")
+    stored = [(folder_values(folder)[1], size) for folder, _, size in warehouse.listed("clean")]
+    listed = spark.createDataFrame(stored, "pickup_month string, size bigint").groupBy("pickup_month").agg(
+        F.count(F.lit(1)).alias("listed"), F.sum("size").alias("size")
+    )
+    both = list_partitions(warehouse).join(listed, "pickup_month", "full_outer")
+    return both.select("pickup_month", "rows", (F.col("files") - F.col("listed")).alias("files_missed"), (F.col("bytes") - F.col("size")).alias("bytes_missed"))
 
 
 # ---------------------------------------------------------------- sorts and top lists

@@ -23,7 +23,7 @@ from tripstrata.schemas import RUN_LOG, SOURCE_TYPES
 from tripstrata.session import scratch_dir
 from tripstrata.sources.runlog import PHASES, log_name, read_run_logs, write_run_log
 from tripstrata.sources.tables import event_trips, nation_zones, table
-from tripstrata.sources.trips import conform, known_columns, read_trip_file, tag
+from tripstrata.sources.trips import conform, known_columns, read_by_schema, tag
 from tripstrata.sources.zones import read_zones
 from tripstrata.storage.warehouse import ALL
 
@@ -34,12 +34,9 @@ from tripstrata.storage.warehouse import ALL
         CAST(sum(payment_type) AS BIGINT) AS codes FROM yr_raw GROUP BY 1"""),
 )
 def s01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = None
-    for batch, path in month_files(spark, sf_dir, "yr").items():
-        part = read_trip_file(spark, path).withColumn("batch_id", F.lit(batch))
-        parts = part if parts is None else parts.unionByName(part)
+    (trips,) = read_by_schema(spark, month_files(spark, sf_dir, "yr"))
     return doubles(
-        parts.groupBy("batch_id").agg(
+        trips.groupBy("batch_id").agg(
             F.count(F.lit(1)).alias("trips"),
             F.sum("Total_Amount").alias("total_amount"),
             F.sum("payment_type").alias("codes"),

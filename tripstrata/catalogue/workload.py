@@ -11,7 +11,6 @@ from tripstrata.catalogue.base import (
     Q1_END,
     Q1_START,
     built_warehouse,
-    clean,
     doubles,
     exact_avg_sql,
     exact_sum_sql,
@@ -19,13 +18,17 @@ from tripstrata.catalogue.base import (
     sql,
 )
 from tripstrata.operators.marts import daily_revenue, hourly_peak
-from tripstrata.operators.windows import in_window
 from tripstrata.plans import workload as W
-from tripstrata.sources.tables import nation_zones
+from tripstrata.plans.builds import trips_between
 
 WINDOW = (datetime(1998, 3, 1), datetime(1998, 6, 1))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean as it is stored, all of it."""
+    return built_warehouse(spark, sf_dir, "ev").read("clean")
+
+
 @query(
     "W01_top_pickup_zones_day",
     sql("ev", """SELECT pu_location_id, count(*) AS trips FROM ev_clean
@@ -33,7 +36,8 @@ WINDOW = (datetime(1998, 3, 1), datetime(1998, 6, 1))
         GROUP BY 1 ORDER BY trips DESC, pu_location_id LIMIT 20"""),
 )
 def w01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.top_pickup_zones(clean(spark, sf_dir, "ev"), Q1_START, Q1_END)
+    trips = trips_between(built_warehouse(spark, sf_dir, "ev"), Q1_START, Q1_END)
+    return W.top_pickup_zones(trips, Q1_START, Q1_END)
 
 
 _DAILY = "SELECT CAST(pickup_ts AS DATE) AS trip_date, count(*) AS trips, " + exact_sum_sql("total_amount") + " AS revenue"
@@ -41,7 +45,7 @@ _DAILY = "SELECT CAST(pickup_ts AS DATE) AS trip_date, count(*) AS trips, " + ex
 
 @query("W02_revenue_by_day", sql("ev", f"{_DAILY} FROM ev_clean GROUP BY 1 ORDER BY 1"))
 def w02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doubles(W.revenue_by_day(clean(spark, sf_dir, "ev")))
+    return doubles(W.revenue_by_day(stored(spark, sf_dir)))
 
 
 @query("W03_revenue_by_day_from_mart", sql("yr", f"{_DAILY} FROM yr_clean GROUP BY 1 ORDER BY 1"))
@@ -56,7 +60,7 @@ def w03(spark: SparkSession, sf_dir: str) -> DataFrame:
         GROUP BY 1, 2 ORDER BY trips DESC, borough, zone LIMIT 20""", zones=True),
 )
 def w04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.top_zones(clean(spark, sf_dir, "ev"), nation_zones(spark, sf_dir))
+    return W.top_zones(stored(spark, sf_dir), built_warehouse(spark, sf_dir, "ev").read("zones"))
 
 
 @query(
@@ -65,7 +69,7 @@ def w04(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM ev_clean GROUP BY 1 ORDER BY trips DESC"""),
 )
 def w05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.payment_stats(clean(spark, sf_dir, "ev"))
+    return W.payment_stats(stored(spark, sf_dir))
 
 
 _HOURS = "SELECT CAST(hour(pickup_ts) AS INTEGER) AS hr, count(*) AS trips"
@@ -73,7 +77,7 @@ _HOURS = "SELECT CAST(hour(pickup_ts) AS INTEGER) AS hr, count(*) AS trips"
 
 @query("W06_hourly_peak", sql("ev", f"{_HOURS} FROM ev_clean GROUP BY 1 ORDER BY trips DESC"))
 def w06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.hourly_ranking(clean(spark, sf_dir, "ev"))
+    return W.hourly_ranking(stored(spark, sf_dir))
 
 
 @query("W07_hourly_peak_from_mart", sql("ev", f"{_HOURS} FROM ev_clean GROUP BY 1 ORDER BY trips DESC"))
@@ -87,7 +91,7 @@ def w07(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHERE pickup_ts >= TIMESTAMP '1998-03-01' AND pickup_ts < TIMESTAMP '1998-06-01' GROUP BY 1 ORDER BY 1"""),
 )
 def w08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doubles(W.window_revenue(built_warehouse(spark, sf_dir).read("clean"), *WINDOW))
+    return doubles(W.window_revenue(trips_between(built_warehouse(spark, sf_dir), *WINDOW), *WINDOW))
 
 
 @query(
@@ -97,8 +101,8 @@ def w08(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def o01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window reaches past the batch span, so part of it lies in the default folder."""
-    stored = built_warehouse(spark, sf_dir).read("clean")
-    return in_window(stored, datetime(2000, 11, 15), datetime(2001, 5, 2)).select("batch_id", "row_fingerprint")
+    trips = trips_between(built_warehouse(spark, sf_dir), datetime(2000, 11, 15), datetime(2001, 5, 2))
+    return trips.select("batch_id", "row_fingerprint")
 
 
 @query(

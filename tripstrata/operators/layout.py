@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripstrata.functions.temporal import month_key
+from tripstrata.operators.batches import built_from
 from tripstrata.operators.windows import DEFAULT_MONTH, batch_month_bounds, in_window, months_between
 from tripstrata.schemas import CLEAN, CLEAN_STORED
 from tripstrata.storage.warehouse import ALL, Warehouse
@@ -86,8 +87,9 @@ def table_span(warehouse: Warehouse) -> Span:
 
 
 def write_clean(warehouse: Warehouse, clean: DataFrame, span: Span, batches: list[str] | str) -> list[str]:
-    """Replace whole batches, with every month they touched before."""
-    return warehouse.publish("clean", arranged(routed(clean, span)), batches)
+    """Replace whole batches, with every month they touched before; the ledger keeps what they were built from."""
+    built = built_from(warehouse, warehouse.values("raw") if batches == ALL else batches)
+    return warehouse.publish("clean", arranged(routed(clean, span)), batches, built=built)
 
 
 def rehome_default(warehouse: Warehouse, span: Span) -> list[str]:
@@ -125,7 +127,7 @@ def convert_flat_clean(warehouse: Warehouse, flat: DataFrame | None = None) -> b
             return False
         flat = warehouse.spark.read.schema(CLEAN).parquet(path)
     span = batch_span(flat.select("batch_id").distinct())
-    write_clean(warehouse, flat.select(*CLEAN.fieldNames()), span, ALL)
+    warehouse.publish("clean", arranged(routed(flat.select(*CLEAN.fieldNames()), span)), ALL)
     for name in files.names(path) if own else []:
         if name.startswith(("part-", "_SUCCESS")):
             files.delete(f"{path}/{name}")
@@ -138,18 +140,29 @@ def write_flat_snapshot(warehouse: Warehouse, path: str) -> DataFrame:
     return warehouse.spark.read.schema(CLEAN).parquet(path)
 
 
-def list_partitions(clean: DataFrame) -> DataFrame:
-    """One row per month: bounds, rows, files and bytes.
+def files_of(warehouse: Warehouse, layer: str = "clean") -> DataFrame:
+    """``(batch_id, pickup_month, path, rows, bytes, first_ts, last_ts)`` of the layer's files, from the manifests."""
+    files = [(*e.values, *[None] * (2 - len(e.values)), e.path, e.rows, e.bytes, e.first, e.last) for e in warehouse.entries(layer)]
+    listed = warehouse.spark.createDataFrame(files, "batch_id string, pickup_month string, path string, rows bigint, bytes bigint, first bigint, last bigint")
+    moment = lambda name: F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {name} / 1000000BD)")
+    return listed.select("batch_id", "pickup_month", "path", "rows", "bytes", moment("first").alias("first_ts"), moment("last").alias("last_ts"))
 
-    Rows are counted per file first, so the shuffle carries one row per file.
-    """
-    per_file = clean.groupBy(
-        "pickup_month", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size")
-    ).agg(F.count(F.lit(1)).alias("_rows"))
+
+def manifest_differences(warehouse: Warehouse, layer: str = "clean") -> DataFrame:
+    """Files that the manifests and the file system do not agree on, by presence or size."""
+    spark = warehouse.spark
+    stored = spark.createDataFrame([(f"{folder}/{name}", size) for folder, name, size in warehouse.listed(layer)], "path string, stored bigint")
+    both = files_of(warehouse, layer).join(stored, "path", "full_outer")
+    return both.where(~F.col("bytes").eqNullSafe(F.col("stored"))).select("path", "bytes", "stored")
+
+
+def list_partitions(warehouse: Warehouse) -> DataFrame:
+    """One row per month of clean: bounds, rows, files and bytes, without reading a trip."""
     start = F.try_to_date(F.concat(F.nullif(F.col("pickup_month"), F.lit(DEFAULT_MONTH)), F.lit("01")), "yyyyMMdd")
     return (
-        per_file.groupBy("pickup_month")
-        .agg(F.sum("_rows").alias("rows"), F.count(F.lit(1)).alias("files"), F.sum("_size").alias("bytes"))
+        files_of(warehouse)
+        .groupBy("pickup_month")
+        .agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
         .select(
             "pickup_month",
             start.cast("timestamp_ntz").alias("from_ts"),
@@ -161,7 +174,14 @@ def list_partitions(clean: DataFrame) -> DataFrame:
     )
 
 
-def partition_hits(clean: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    """Months that hold rows of a window, with their row counts."""
-    return in_window(clean, start, end).groupBy("pickup_month").agg(F.count(F.lit(1)).alias("rows_seen"))
+def partition_hits(warehouse: Warehouse, start: datetime, end: datetime) -> DataFrame:
+    """Months of clean that hold rows of a window, with their row counts.
+
+    Files that lie wholly in the window count by their manifest; only those at its ends are read.
+    """
+    whole = [(e.values[1], e.rows) for e in warehouse.entries("clean") if e.inside(start, end)]
+    ends = warehouse.read_files("clean", lambda e: e.touches(start, end) and not e.inside(start, end))
+    counted = in_window(ends, start, end).groupBy("pickup_month").agg(F.count(F.lit(1)).alias("rows_seen"))
+    known = warehouse.spark.createDataFrame(whole, "pickup_month string, rows_seen bigint")
+    return counted.unionByName(known).groupBy("pickup_month").agg(F.sum("rows_seen").alias("rows_seen"))
 

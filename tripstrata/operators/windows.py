@@ -79,6 +79,13 @@ def mart_window(batches: DataFrame, lookback: object = DEFAULT_LOOKBACK) -> Mart
     return MartWindow(start, end)
 
 
+def month_window(newest: datetime, months: int) -> MartWindow:
+    """The ``months`` calendar months that end with the one of ``newest``."""
+    last = newest.year * 12 + newest.month - 1
+    first = last + 1 - months
+    return MartWindow(datetime(first // 12, first % 12 + 1, 1), datetime((last + 1) // 12, (last + 1) % 12 + 1, 1))
+
+
 def batch_month_bounds(batches: DataFrame) -> DataFrame:
     month = batch_month("batch_id")
     return batches.agg(F.min(month).alias("first_month"), F.max(month).alias("last_month"))

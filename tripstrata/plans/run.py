@@ -7,19 +7,17 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
 
-from tripstrata.operators.audit import assert_in_sync
 from tripstrata.operators.batches import DATASET, LoadResult, batch_list, load_months
 from tripstrata.operators.checks import Policy, QualityError, enforce, settled, suite_summary, write_run
 from tripstrata.operators.marts import MARTS
 from tripstrata.operators.windows import DEFAULT_LOOKBACK
 from tripstrata.plans.builds import (
     build_clean,
-    build_mart,
+    build_marts,
     build_quarantine,
     check_clean,
-    rolling_window,
+    check_sync,
     run_schema_tests,
-    staged,
 )
 from tripstrata.schemas import LAYERS
 from tripstrata.sources.trips import run_moment
@@ -92,16 +90,15 @@ def run_all(
         if "quarantine" in builds:
             report.quarantine_batches = build_quarantine(warehouse)
         marts = [name for name in builds if name in MARTS]
-        window = None if full_refresh or not marts else rolling_window(warehouse, lookback)
-        for name in marts:
-            report.mart_months[name] = build_mart(warehouse, name, window)
+        if marts:
+            report.mart_months = build_marts(warehouse, lookback, full_refresh, marts)
     if not skip_tests:
         failures = run_schema_tests(warehouse).where(F.col("failures") > 0).orderBy("table_name", "test", "column_name").collect()
         report.failed_tests = len(failures)
         if failures:
             raise QualityError("; ".join(f"{r[0]}.{r[2]} {r[1]}: {r[3]}" for r in failures))
     if not skip_audit:
-        assert_in_sync(staged(warehouse), warehouse.read("clean"), report.clean_batches)
+        check_sync(warehouse, report.clean_batches)
     if not skip_checks:
         results = settled(check_clean(warehouse, policy)[0])
         if report_folder:

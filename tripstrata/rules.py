@@ -7,6 +7,7 @@ clean and listed in quarantine as well.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -51,3 +52,8 @@ def is_valid(rules: tuple[Rule, ...] = RULES) -> Column:
     so that the NULL and range parts reach the Parquet reader.
     """
     return F.expr(" AND ".join(f"NOT ({rule.broken})" for rule in rules if rule.blocks_clean))
+
+
+def rules_print(rules: tuple[Rule, ...] = RULES) -> str:
+    """Identifies a rule list: what was built by another one is to be built again."""
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]

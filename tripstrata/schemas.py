@@ -122,6 +122,22 @@ DAILY_ZONE = _struct(
     }
 )
 
+# What a batch adds to the marts, per day and zone, and per hour: sums and counts, which add up over batches.
+ZONE_STATE = _struct(
+    {
+        "batch_id": T.StringType(),
+        "trip_date": T.DateType(),
+        "pu_location_id": T.LongType(),
+        "trips": T.LongType(),
+        **{
+            f"{name}_{part}": (T.DecimalType(38, 18) if kind is AMOUNT else T.DecimalType(28, 6)) if part == "sum" else T.LongType()
+            for name, kind in (("total_amount", AMOUNT), ("tip_amount", AMOUNT), ("trip_distance", AMOUNT), ("trip_duration_sec", None))
+            for part in ("sum", "count")
+        },
+    }
+)
+HOUR_STATE = _struct({"batch_id": T.StringType(), "pickup_hour": TS, "hr": T.IntegerType(), "trips": T.LongType()})
+
 RUN_LOG = _struct(
     {
         "run_id": T.StringType(),
@@ -136,22 +152,25 @@ RUN_LOG_OLD = T.StructType(RUN_LOG.fields[1:])
 
 @dataclass(frozen=True)
 class Layer:
-    """A stored table: its relation name, schema and directory partition columns."""
+    """A stored table: its relation name, schema, directory partition columns and the time its files are chosen by."""
 
     relation: str
     schema: T.StructType
     partition_by: tuple[str, ...] = ()
+    time: str | None = None
 
 
 # The relation names queries use.
 LAYERS = {
-    "raw": Layer("raw.yellow_trips", RAW, ("batch_id",)),
+    "raw": Layer("raw.yellow_trips", RAW, ("batch_id",), "tpep_pickup_datetime"),
     "zones": Layer("raw.taxi_zone_lookup", ZONES),
     "ingest_errors": Layer("raw.ingest_errors", INGEST_ERRORS, ("batch_id",)),
-    "clean": Layer("clean.clean_yellow_trips", CLEAN_STORED, ("batch_id", "pickup_month")),
-    "quarantine": Layer("quarantine.quarantine_yellow_trips", QUARANTINE, ("batch_id",)),
+    "clean": Layer("clean.clean_yellow_trips", CLEAN_STORED, ("batch_id", "pickup_month"), "pickup_ts"),
+    "quarantine": Layer("quarantine.quarantine_yellow_trips", QUARANTINE, ("batch_id",), "pickup_ts"),
     "daily_revenue": Layer("marts.marts_daily_revenue", DAILY_REVENUE),
     "hourly_peak": Layer("marts.marts_hourly_peak", HOURLY_PEAK),
     "daily_zone": Layer("marts.daily_zone_metrics", DAILY_ZONE),
+    "zone_state": Layer("state.batch_day_zone", ZONE_STATE),
+    "hour_state": Layer("state.batch_hour", HOUR_STATE),
 }
 STAGE_RELATION = "stg.stg_yellow_trips"

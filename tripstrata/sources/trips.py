@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripstrata.schemas import AMOUNT, AMOUNT_COLUMNS, CODE_COLUMNS, RAW, SOURCE_TYPES
+from tripstrata.storage.files import Files
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -18,6 +21,40 @@ def read_trip_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+# what a source frame of several files carries beside the files' own columns
+BATCH, FILE = "batch_id", "_source_file"
+
+
+def read_by_schema(spark: SparkSession, paths: Mapping[str, str]) -> list[DataFrame]:
+    """The months' files as one frame per schema, each row with its ``batch_id`` and ``_source_file``.
+
+    Only footers are looked at to sort the files by schema, several at a time.
+    """
+    files = Files(spark)
+    with ThreadPoolExecutor(16) as pool:
+        schemas = list(pool.map(files.parquet_schema, paths.values()))
+    alike: dict[tuple[str, int], dict[str, str]] = {}
+    for (batch, path), schema in zip(paths.items(), schemas, strict=True):
+        # a file given for several months is read for each
+        again = sum(path in group.values() for (other, _), group in alike.items() if other == schema)
+        alike.setdefault((schema, again), {})[batch] = path
+    return [_read_alike(spark, group) for group in alike.values()]
+
+
+def _read_alike(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    files = Files(spark)
+    rows = spark.read.parquet(*paths.values())
+    # a path is a file, or a folder of files
+    owners = [F.lit(x) for batch, path in paths.items() for x in (files.encoded_path(path), batch)]
+    given = [F.lit(x) for path in paths.values() for x in (files.encoded_path(path), path)]
+    file = F.regexp_replace("_metadata.file_path", "^[^/]*:(//[^/]*)?(?=/)", "")
+    folder = F.regexp_replace(file, "/[^/]*$", "")
+    find = lambda pairs: F.coalesce(F.try_element_at(F.create_map(*pairs), file), F.try_element_at(F.create_map(*pairs), folder))
+    # the batch is the file's, whatever the file says about itself
+    own = [F.col(f"`{c}`") for c in rows.columns if c.strip().lower() not in (BATCH, FILE)]
+    return rows.select(*own, find(owners).alias(BATCH), find(given).alias(FILE))
+
+
 def known_columns(df: DataFrame) -> dict[str, str]:
     """Known column -> its spelling in ``df``; names match without regard to case and padding."""
     spelled = {name.strip().lower(): name for name in df.columns}
@@ -124,15 +161,15 @@ def rejected(df: DataFrame) -> Column:
     return (F.size(rejected_codes(df)) > 0) | (F.size(rejected_amounts(df)) > 0)
 
 
-def ingest_errors(df: DataFrame, batch_id: str, source_file: str, created_at: datetime) -> DataFrame:
-    """One row per source row that lost a value, with the whole source row as JSON."""
+def ingest_errors(df: DataFrame, created_at: datetime) -> DataFrame:
+    """One row per source row that lost a value, with the whole source row as JSON; ``df`` comes from :func:`read_by_schema`."""
     reason = lambda what, names: F.when(F.size(names) > 0, F.concat(F.lit(f"{what}: "), F.array_join(names, ", ")))
     reasons = F.concat_ws("; ", reason("not a whole number", rejected_codes(df)), reason("too many digits", rejected_amounts(df)))
     return df.where(rejected(df)).select(
-        F.lit(batch_id).alias("batch_id"),
-        F.lit(source_file).alias("source_file"),
+        BATCH,
+        F.col(FILE).alias("source_file"),
         reasons.alias("error_reason"),
-        F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("raw_payload"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (BATCH, FILE)])).alias("raw_payload"),
         F.lit(created_at).alias("created_at"),
     )
 

@@ -69,6 +69,27 @@ class Files:
         finally:
             stream.close()
 
+    def encoded_path(self, path: str) -> str:
+        """The absolute path as it stands in URIs, without its file system."""
+        fs, handle = self._open(path)
+        return fs.makeQualified(handle).toUri().getRawPath().rstrip("/")
+
+    def parquet_schema(self, path: str) -> str:
+        """The schema in the footer of a Parquet file, or of the first one in a folder."""
+        fs, handle = self._open(path)
+        status = fs.getFileStatus(handle)
+        if status.isDirectory():
+            data = [s for s in fs.listStatus(handle) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+            if not data:
+                return ""
+            status = min(data, key=lambda s: s.getPath().getName())
+        source = self._jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromStatus(status, self._conf)
+        reader = self._jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        try:
+            return reader.getFooter().getFileMetaData().getSchema().toString()
+        finally:
+            reader.close()
+
     def glob(self, pattern: str) -> list[str]:
         fs, handle = self._open(pattern)
         return sorted(s.getPath().toString() for s in (fs.globStatus(handle) or []))
