@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import raw_trips, trip
+from helpers import raw_trips, source, trip
+from tripstrata.operators import checks
 from tripstrata.operators.checks import (
     Policy,
     QualityError,
@@ -17,12 +21,19 @@ from tripstrata.operators.checks import (
     in_set,
     null_counts,
     pair_not_below,
+    read_runs,
+    run_results,
+    settled,
     suite_summary,
     suites,
     unexpected_sample,
     write_results,
+    write_run,
 )
 from tripstrata.operators.staging import clean_trips, quarantined_trips, stage, with_reason
+from tripstrata.plans.builds import build_clean
+from tripstrata.plans.run import run_all
+from tripstrata.storage.warehouse import ALL
 
 META = {"severity": "critical", "domain": "d", "rationale": "r"}
 
@@ -164,3 +175,60 @@ def test_zero_duration_has_no_speed(spark):
     staged = stage(raw_trips(spark, [trip("2024-01", 1, "2024-01-01 10:00", minutes=0)]))
     row = only(clean_trips(staged))
     assert row.avg_speed_kmh is None and row.trip_duration_sec == 0
+
+
+# ---------------------------------------------------------------- run documents
+
+
+def scans(df) -> int:
+    return len(re.findall(r"Scan parquet|FileScan", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_run_document(spark, warehouse, tmp_path):
+    rows = [trip("2024-01", n, f"2024-01-{n:02d} 10:00", payment_type=0 if n % 2 else 1) for n in range(1, 11)]
+    warehouse.publish("raw", raw_trips(spark, rows), ALL)
+    build_clean(warehouse)
+    clean, policy, folder = warehouse.read("clean"), Policy(), str(tmp_path / "reports")
+    results = evaluate(clean, suites(policy), policy)
+    assert scans(results) == 1
+    results = settled(results)
+    assert scans(results) == 0
+    first = write_run(clean, results, folder, "t", datetime(2024, 6, 1), policy)
+    with pytest.raises(FileExistsError):
+        write_run(clean, results, folder, "t", datetime(2024, 6, 1), policy)
+    write_run(clean, results, folder, "t", datetime(2024, 6, 2, 3), Policy(fail_on_warning=True))
+    (tmp_path / "reports" / ".draft-x").mkdir()
+    runs = {r.run: r for r in read_runs(spark, folder).collect()}
+    assert list(runs) == ["20240601T000000000000", "20240602T030000000000"] and first.endswith("run=20240601T000000000000")
+    one = runs["20240601T000000000000"]
+    assert (one.run_time, one.table_name, one.success, one.blocked) == ("2024-06-01T00:00:00", "t", False, False)
+    assert runs["20240602T030000000000"].blocked
+    assert [(s.severity, s.evaluated_expectations, s.failed_expectations, len(s.results)) for s in one.suites] == [("critical", 6, 0, 6), ("warning", 3, 1, 3)]
+    payment = one.suites[1].results[2]
+    assert [(v.value, v.sample_count) for v in payment.unexpected] == [("0", 5)] and payment.unexpected_percent == 50.0
+    assert all(r.unexpected == [] for s in one.suites for r in s.results if r.position != payment.position)
+    table = run_results(read_runs(spark, folder))
+    assert table.count() == 18 and {"suite_success", "success", "blocks_run", "unexpected"} <= set(table.columns)
+
+
+def test_report_of_a_whole_run(spark, warehouse, tmp_path):
+    path, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    source(spark, [trip("2024-01", 1, "2024-01-05 10:00")]).drop("batch_id").write.parquet(path)
+    run_all(warehouse, "2024-01", {"2024-01": path}, report_folder=folder)
+    (run,) = read_runs(spark, folder).collect()
+    assert run.success and not run.blocked and run.table_name == "clean.clean_yellow_trips"
+
+
+def test_unexpected_lists_need_no_second_scan_when_there_are_none(spark, tmp_path, monkeypatch):
+    trips = clean_trips(stage(raw_trips(spark, [trip("2024-01", 1, "2024-01-01 10:00")])))
+    monkeypatch.setattr(checks, "unexpected_sample", lambda *a: pytest.fail("read again"))
+    write_run(trips, settled(evaluate(trips, suites(Policy()))), str(tmp_path), "t", datetime(2024, 6, 1))
+
+
+def test_merges_of_the_sample_are_bounded(spark):
+    rows = spark.range(0, 5000, 1, 40).select((F.col("id") % 977).alias("code"))
+    found = unexpected_sample(rows, (between("code", high=-1, **META),), 3)
+    assert [(r.value, r.sample_count) for r in found.orderBy("value").collect()] == [("0", 3)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # a limit per task, per merger, and in all
+    assert plan.count("WindowGroupLimit") >= 3 and "hashpartitioning(position" in plan

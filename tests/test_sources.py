@@ -10,7 +10,8 @@ from tripstrata.operators.batches import batch_list, load_batch, load_months
 from tripstrata.operators.staging import stage, with_reason
 from tripstrata.schemas import RUN_LOG, SOURCE_TYPES
 from tripstrata.session import scratch_dir, shuffle_partitions_for
-from tripstrata.sources.runlog import read_run_logs, write_run_log
+from tripstrata.operators.timings import compare_files, resolve_files
+from tripstrata.sources.runlog import list_run_logs, parse_log_name, read_run_logs, write_run_log
 from tripstrata.sources.trips import conform
 from tripstrata.sources.zones import conform_zones, load_zones, read_zones
 
@@ -161,3 +162,39 @@ def test_errors_go_with_their_batch(spark, warehouse, tmp_path):
     for path, left in ((bad, 1), (bad, 1), (good, 0)):
         load_batch(warehouse, "2024-01", path, replace=True)
         assert warehouse.read("ingest_errors").count() == left
+
+
+def test_logs_by_file(spark, tmp_path):
+    here, there = tmp_path / "here", tmp_path / "there"
+    here.mkdir()
+    there.mkdir()
+    new = "run_id,phase,query,iter,elapsed_ms\n"
+    (here / "benchmarks_r1_before.csv").write_text(f"{new}r1,before,q1,1,10\nr1,before,q1,2,30\n")
+    (here / "benchmarks_r1_after.csv").write_text(f"{new}r1,after,q1,1,5\n")
+    (here / "benchmarks_r2_before.csv").write_text(f"{new}r2,before,q1,1,7\n")
+    (here / "notes.csv").write_text("x\n")
+    (there / "benchmarks_after_r1.csv").write_text("phase,query,iter,elapsed_ms\nafter,q1,1,4\nafter,q2,1,9\n")
+    (there / "mine.csv").write_text(f"{new}r9,after,q1,1,2\n")
+    assert [(log.run_id, log.phase, log.older) for log in list_run_logs(spark, str(there))] == [("r1", "after", True)]
+    assert parse_log_name("/a/benchmarks_x_y_after.csv/").run_id == "x_y" and parse_log_name("benchmarks_x.csv") is None
+
+    def result(**choice):
+        return {r.query: (r.before_ms, r.after_ms, r.speedup_x) for r in compare_files(spark, **choice).collect()}
+
+    before, older, odd = str(here / "benchmarks_r1_before.csv"), str(there / "benchmarks_after_r1.csv"), str(there / "mine.csv")
+    assert result(folder=str(here)) == result(folder=str(here), run_id=" r1 ") == {"q1": (20.0, 5.0, 4.0)}
+    assert result(before_file=before, after_file=older) == {"q1": (20.0, 4.0, 5.0), "q2": (None, 9.0, None)}
+    assert result(folder=str(here), run_id="r1", after_file=older)["q1"] == (20.0, 4.0, 5.0)
+    assert result(before_file=before, after_file=odd, allow_mismatched=True) == {"q1": (20.0, 2.0, 10.0)}
+    for choice, error, text in (
+        (dict(before_file=before), ValueError, "both"),
+        (dict(before_file=before, after_file=odd), ValueError, "neither run nor phase"),
+        (dict(before_file=older, after_file=before), ValueError, "no before log"),
+        (dict(before_file=str(here / "benchmarks_r2_before.csv"), after_file=older), ValueError, "different runs"),
+        (dict(folder=str(here), run_id="r2"), FileNotFoundError, "no after log"),
+        (dict(folder=str(here), run_id="r1", before_file=str(here / "benchmarks_r2_before.csv")), ValueError, "not of run r1"),
+        (dict(folder=str(there)), FileNotFoundError, "both a before and an after"),
+        (dict(before_file=before, after_file=f"{older}x"), FileNotFoundError, "no after log at"),
+    ):
+        with pytest.raises(error, match=text):
+            resolve_files(spark, **choice)

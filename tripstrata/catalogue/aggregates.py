@@ -20,16 +20,17 @@ from tripstrata.catalogue.base import (
     staged,
     with_place,
 )
-from tripstrata.catalogue.sources import LOG_RUN_SQL, LOG_SQL, event_log, write_event_logs
+from tripstrata.catalogue.sources import LOG_RUN_SQL, LOG_RUNS, LOG_SQL, event_log, write_event_logs
 from tripstrata.functions.order_stats import median, percentile_nearest
 from tripstrata.operators.batches import distinct_batches
 from tripstrata.operators.marts import daily_revenue, daily_zone, hourly_peak
-from tripstrata.operators.timings import compare, compare_runs, complete_runs, phase_medians, summarize
+from tripstrata.operators.timings import compare, compare_files, compare_runs, complete_runs, phase_medians, summarize
 from tripstrata.operators.windows import batch_month_bounds
 from tripstrata.operators.zoning import zone_totals
 from tripstrata.plans.builds import row_counts
 from tripstrata.plans.workload import hourly_ranking_from_mart
-from tripstrata.sources.runlog import read_run_logs
+from tripstrata.session import scratch_dir
+from tripstrata.sources.runlog import log_name, read_run_logs
 from tripstrata.sources.tables import nation_zones
 
 
@@ -197,6 +198,16 @@ def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_runs(read_run_logs(spark, write_event_logs(spark, sf_dir)))
 
 
+@query("W10_compare_named_files", _comparison("'20240101_000000'", "'20240102_000000'"))
+def w10_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of the older kind in one folder against one of the current kind in another."""
+    folder, elsewhere = write_event_logs(spark, sf_dir), scratch_dir(spark, "logs-older")
+    old = event_log(spark, sf_dir).where(f"run_id = '{LOG_RUNS[0]}' AND phase = 'before'").drop("run_id")
+    before = f"{elsewhere}/benchmarks_before_{LOG_RUNS[0]}.csv"
+    old.write.option("header", True).csv(before)
+    return compare_files(spark, before_file=before, after_file=f"{folder}/{log_name(LOG_RUNS[1], 'after')}", allow_mismatched=True)
+
+
 @query("W10_compare_named_pair", _comparison("'20240101_000000'", "'20240102_000000'"))
 def w10_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)

@@ -1,11 +1,12 @@
-"""Quality operators: K01-K15."""
+"""Quality operators: K01-K15, and S12, the run document."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.catalogue.base import built_warehouse, clean, query, sql, staged
+from tripstrata.catalogue.base import LOADED_AT, built_warehouse, clean, query, sql, staged
+from tripstrata.functions.scalars import plain_number
 from tripstrata.operators.audit import audit_batches
 from tripstrata.operators.checks import (
     NOT_NULL,
@@ -18,13 +19,18 @@ from tripstrata.operators.checks import (
     not_null,
     null_counts,
     pair_not_below,
+    read_runs,
+    run_results,
+    settled,
     suite_summary,
     suites,
     unexpected_sample,
+    write_run,
 )
 from tripstrata.operators.staging import clean_trips, with_reason
 from tripstrata.plans.builds import run_schema_tests
 from tripstrata.rules import is_valid
+from tripstrata.session import scratch_dir
 
 _META = {"severity": "critical", "domain": "test", "rationale": "test"}
 
@@ -252,3 +258,57 @@ def k15(spark: SparkSession, sf_dir: str) -> DataFrame:
         "in_clean",
         F.col("reason_code").isNotNull().alias("in_quarantine"),
     ).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- the run document
+
+_NUMBER = "regexp_replace(CAST({} AS VARCHAR), '(\\.0*|(\\.[0-9]*[1-9])0+)$', '\\2')"
+_VALUES = {
+    **{c: "CAST(NULL AS VARCHAR)" for c in ("pickup_ts", "dropoff_ts", "pu_location_id", "do_location_id")},
+    "total_amount": "CAST(total_amount AS VARCHAR)",
+    "dropoff_ts,pickup_ts": "CAST(dropoff_ts AS VARCHAR) || ',' || CAST(pickup_ts AS VARCHAR)",
+    "trip_distance": "CAST(trip_distance AS VARCHAR)",
+    "passenger_count": "''",
+    "payment_type": "CAST(payment_type AS VARCHAR)",
+}
+# Expectation types and limits, in suite order.
+_KINDS = (
+    ["expect_column_values_to_not_be_null"] * 4
+    + ["expect_column_values_to_be_between", "expect_column_pair_values_A_to_be_greater_than_B"]
+    + ["expect_column_values_to_be_between"] * 2
+    + ["expect_column_values_to_be_in_set"]
+)
+_LIMITS = {4: (0.0, None), 6: (0.0, None), 7: (0.0, 8.0)}
+
+
+def _document_sql(position: int, column: str, missing: str, bad: str, mostly: float) -> str:
+    low, high = _LIMITS.get(position, (None, None))
+    number = lambda v: "CAST(NULL AS DOUBLE)" if v is None else f"CAST({v} AS DOUBLE)"
+    written = _NUMBER.format("value") if column in ("total_amount", "trip_distance") else "value"
+    severity = "critical" if position < 6 else "warning"
+    return f"""SELECT {position} AS position, '{severity}' AS severity, 'clean_yellow_trips__{severity}__v1' AS suite,
+        '{_KINDS[position]}' AS expectation_type, {number(low)} AS min_value, {number(high)} AS max_value, CAST({mostly} AS DOUBLE) AS mostly,
+        CAST(m AS DOUBLE) / nullif(n, 0) * 100 AS missing_percent, r.* EXCLUDE (m, n),
+        coalesce((SELECT string_agg(coalesce(v, 'NULL') || ':' || k, ';' ORDER BY v NULLS FIRST) FROM (
+          SELECT {written} AS v, count(*) AS k FROM (
+            SELECT {_VALUES[column]} AS value FROM ev_stg WHERE NOT ({missing}) AND ({bad}) ORDER BY value NULLS FIRST LIMIT 20) GROUP BY value)), '') AS unexpected
+      FROM (SELECT *, missing_count AS m, element_count AS n FROM ({_expect_sql("ev_stg", column, missing, bad, mostly)})) AS r"""
+
+
+@query(
+    "S12_write_quality_json",
+    sql("ev", f"""SELECT *, (SELECT NOT bool_and(success) FROM ({_ALL}) WHERE severity = 'critical') AS blocked,
+        severity = 'critical' AND NOT bool_and(success) OVER (PARTITION BY severity) AS blocks_run,
+        CAST(count(*) OVER (PARTITION BY severity) AS BIGINT) AS evaluated_expectations,
+        CAST(count(CASE WHEN NOT success THEN 1 END) OVER (PARTITION BY severity) AS BIGINT) AS failed_expectations
+      FROM ({" UNION ALL ".join(_document_sql(i, *e) for i, e in enumerate(_SUITE))})"""),
+)
+def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over unfiltered trips, written as a nested document and read back from the history: results, values and decision."""
+    folder, policy, trips = scratch_dir(spark, "quality"), Policy(), staged(spark, sf_dir, "ev")
+    write_run(trips, settled(evaluate(trips, suites(policy), policy)), folder, "staged trips", LOADED_AT, policy)
+    amount = F.col("column_name").isin("total_amount", "trip_distance")
+    written = F.transform("unexpected", lambda v: F.concat(F.coalesce(F.when(amount, plain_number(v.value)).otherwise(v.value), F.lit("NULL")), F.lit(":"), v.sample_count))
+    kept = ("position", "severity", "suite", "expectation_type", "min_value", "max_value", "mostly", "missing_percent", *_RESULT)
+    decision = ("blocked", "blocks_run", "evaluated_expectations", "failed_expectations")
+    return run_results(read_runs(spark, folder)).select(*kept, F.array_join(written, ";").alias("unexpected"), *decision)

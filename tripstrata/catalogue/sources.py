@@ -1,4 +1,4 @@
-"""Sources and sinks: S01-S13 (S09, the fixed sample, is covered by the tests)."""
+"""Sources and sinks: S01-S13 (S09, the fixed sample, is covered by the tests; S12 is among the quality queries)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tripstrata.catalogue.base import (
     LOADED_AT,
-    clean,
     doubles,
     exact_sum_sql,
     month_files,
@@ -17,7 +16,6 @@ from tripstrata.catalogue.base import (
     sql,
 )
 from tripstrata.operators.batches import load_batch, load_frame
-from tripstrata.operators.checks import Policy, evaluate, suite_summary, suites, write_results
 from tripstrata.operators.staging import stage, with_reason
 from tripstrata.schemas import RUN_LOG, SOURCE_TYPES
 from tripstrata.session import scratch_dir
@@ -249,19 +247,6 @@ def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(spark.read.schema(RUN_LOG).option("header", True).csv(paths))
 
 
-@query(
-    "S12_write_quality_json",
-    sql("ev", """SELECT 'critical' AS severity, CAST(6 AS BIGINT) AS expectations, count(*) * 6 AS element_count FROM ev_clean
-        UNION ALL SELECT 'warning', 3, count(*) * 3 FROM ev_clean"""),
-)
-def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch_dir(spark, "quality")
-    results = evaluate(clean(spark, sf_dir, "ev"), suites(Policy()))
-    write_results(results, suite_summary(results), folder)
-    back = spark.read.schema("severity string, element_count bigint").json(f"{folder}/results")
-    return back.groupBy("severity").agg(F.count(F.lit(1)).alias("expectations"), F.sum("element_count").alias("element_count"))
-
-
 @query(
     "S13_read_run_logs",
     f"""WITH {LOG_SQL}, both_kinds AS (

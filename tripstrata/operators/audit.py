@@ -35,7 +35,9 @@ def repeated(counted: DataFrame, copies_per_task: int = COPIES_PER_TASK) -> Data
     """
     columns = [c for c in counted.columns if c != "n"]
     chunks = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / copies_per_task)))
-    dealt = counted.select("*", chunks.alias("_chunk")).repartition(*columns, "_chunk")
+    # the number is given, as few bytes before the copies are many after them
+    width = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counted.select("*", chunks.alias("_chunk")).repartition(width, *columns, "_chunk")
     size = F.least(F.lit(copies_per_task), F.col("n") - F.col("_chunk") * copies_per_task).cast("int")
     return dealt.select(*columns, F.explode(F.sequence(F.lit(1), size)).alias("_copy")).drop("_copy")
 

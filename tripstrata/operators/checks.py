@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripstrata.functions.scalars import text
+from tripstrata.schemas import RUN_DOCUMENT, RUN_RESULT, RUN_SUITE
+from tripstrata.storage.files import Files
 
 SAMPLE_SIZE = 20
+SAMPLE_MERGERS = 256
 
 # Columns that must hold a value, and keys that must not repeat.
 NOT_NULL = {
@@ -137,19 +142,19 @@ def suites(policy: Policy) -> tuple[Expectation, ...]:
     integrity = {"severity": "critical", "domain": "integrity"}
     realism = {"severity": "warning", "domain": "realism"}
     return (
-        not_null("pickup_ts", rationale="Windows, lineage and joins all start from the pickup time.", **integrity),
-        not_null("dropoff_ts", rationale="Durations cannot be computed without the dropoff time.", **integrity),
-        not_null("pu_location_id", rationale="Zone marts group by the pickup zone.", **integrity),
-        not_null("do_location_id", rationale="Zone analyses need the dropoff zone.", **integrity),
+        not_null("pickup_ts", rationale="Every mart and every folder is chosen by the pickup time.", **integrity),
+        not_null("dropoff_ts", rationale="daily_zone averages the trip duration.", **integrity),
+        not_null("pu_location_id", rationale="daily_zone has one row per day and pickup zone.", **integrity),
+        not_null("do_location_id", rationale="The row fingerprint covers both zones.", **integrity),
         between("total_amount", low=0.0, severity="critical", domain="financial_validity",
-                rationale="A total below zero is not a fare."),
+                rationale="daily_revenue adds totals up; refunds belong to quarantine."),
         pair_not_below("dropoff_ts", "pickup_ts", mostly=policy.mostly, severity="critical", domain="temporal_integrity",
-                       rationale="A trip ends no earlier than it starts; rare source errors are tolerated."),
-        between("trip_distance", low=0.0, rationale="Distances below zero point to a source problem.", **realism),
+                       rationale="Speed and duration are computed from the two times; clean filters by the same rule."),
+        between("trip_distance", low=0.0, rationale="daily_zone averages distances, and speeds divide by them.", **realism),
         between("passenger_count", low=0, high=8, mostly=policy.mostly,
-                rationale="Counts outside 0 to 8 are unusual but occur in unclean extracts.", **realism),
+                rationale="No mart uses the count, so a few odd ones only warn.", **realism),
         in_set("payment_type", (1, 2, 3, 4, 5, 6), mostly=policy.payment_mostly, severity="warning",
-               domain="domain_monitoring", rationale="Codes 1 to 6 are documented; code 0 is watched as an anomaly."),
+               domain="domain_monitoring", rationale="Clean lets code 0 through; this shows how much of it there is."),
     )
 
 
@@ -217,12 +222,19 @@ def evaluate(df: DataFrame, expectations: tuple[Expectation, ...], policy: Polic
     )
 
 
+def _least(rows: DataFrame, size: int, *keys: str) -> DataFrame:
+    """The ``size`` smallest values of each group."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("value").asc_nulls_first()))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= size).drop("_rank")
+
+
 def unexpected_sample(df: DataFrame, expectations: tuple[Expectation, ...], size: int = SAMPLE_SIZE) -> DataFrame:
     """Up to ``size`` unexpected values per expectation, counted within that sample.
 
     The smallest values are taken, so the sample does not depend on how the data is
-    split. Spark limits every task to ``size`` rows per expectation before the shuffle
-    (WindowGroupLimit), so a column with many bad rows is no burden.
+    split. Every task keeps ``size`` rows per expectation (WindowGroupLimit), and so does
+    each of ``SAMPLE_MERGERS`` tasks they are first sent to, so the last merge sees at most
+    ``size`` rows from each of these, whatever the number of tasks and of bad rows.
     """
     found = [
         F.when(
@@ -231,11 +243,9 @@ def unexpected_sample(df: DataFrame, expectations: tuple[Expectation, ...], size
         )
         for i, e in enumerate(expectations)
     ]
-    smallest = Window.partitionBy("position").orderBy(F.col("value").asc_nulls_first())
+    listed = df.select(F.inline(F.array_compact(F.array(*found))), (F.spark_partition_id() % SAMPLE_MERGERS).alias("_merger"))
     return (
-        df.select(F.inline(F.array_compact(F.array(*found))))
-        .withColumn("_rank", F.row_number().over(smallest))
-        .where(F.col("_rank") <= size)
+        _least(_least(listed, size, "position", "_merger"), size, "position")
         .groupBy("position", "column_name", "value")
         .agg(F.count(F.lit(1)).alias("sample_count"))
     )
@@ -281,27 +291,52 @@ def write_results(results: DataFrame, summary: DataFrame, folder: str) -> None:
     summary.coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
 
 
-def write_run(df: DataFrame, results: DataFrame, folder: str, table: str, moment: datetime, policy: Policy = Policy()) -> str:
-    """One quality run below its own stamp: results, per-suite decision, and values that broke an expectation.
-
-    ``results`` are settled ones of ``df``, which is read again only where an expectation found
-    unexpected values. Earlier runs stay. Returns the run's folder.
-    """
-    path = f"{folder}/{moment:%Y%m%dT%H%M%S%f}"
-    summary = suite_summary(results)
-    write_results(results, summary, path)
-    decided = fail_decision(summary, policy)
-    run = decided.groupBy().agg(
+def run_document(results: DataFrame, unexpected: DataFrame, table: str, moment: datetime, policy: Policy = Policy()) -> DataFrame:
+    """One quality run as one nested row: decision, suites, their results, and in each the values that broke it."""
+    names = RUN_RESULT.fieldNames()[:-1]
+    values = unexpected.groupBy("position").agg(F.sort_array(F.collect_list(F.struct("value", "sample_count"))).alias("unexpected"))
+    listed = F.coalesce("unexpected", F.array().cast(RUN_RESULT["unexpected"].dataType)).alias("unexpected")
+    detail = results.join(values, "position", "left").select("severity", F.struct(*names, listed).alias("result"))
+    nested = detail.groupBy("severity").agg(F.sort_array(F.collect_list("result")).alias("results"))
+    suite = fail_decision(suite_summary(results), policy).join(nested, "severity")
+    suites_of = F.sort_array(F.collect_list(F.struct(*RUN_SUITE.fieldNames())))
+    return suite.groupBy().agg(
         F.lit(f"{moment:%Y-%m-%dT%H:%M:%S}").alias("run_time"),
         F.lit(table).alias("table_name"),
         F.lit(policy.fail_on_critical).alias("fail_on_critical"),
         F.lit(policy.fail_on_warning).alias("fail_on_warning"),
         F.bool_and("success").alias("success"),
         F.bool_or("blocks_run").alias("blocked"),
-        F.sort_array(F.collect_list(F.struct("severity", "suite", "evaluated_expectations", "failed_expectations", "blocks_run"))).alias("suites"),
+        suites_of.alias("suites"),
     )
-    run.write.json(f"{path}/run")
-    if not results.where("unexpected_count > 0").isEmpty():
-        unexpected_sample(df, suites(policy)).coalesce(1).write.json(f"{path}/unexpected")
+
+
+def write_run(df: DataFrame, results: DataFrame, folder: str, table: str, moment: datetime, policy: Policy = Policy()) -> str:
+    """One quality run as a nested JSON document below its own stamp.
+
+    ``results`` are settled ones of ``df``, which is read again only where an expectation found
+    unexpected values. The document is written aside and put in place by one rename, so a reader
+    of the history sees whole runs only. Earlier runs stay. Returns the run's folder.
+    """
+    files = Files(df.sparkSession)
+    path, draft = f"{folder}/run={moment:%Y%m%dT%H%M%S%f}", f"{folder}/.draft-{uuid.uuid4().hex}"
+    if files.exists(path):
+        raise FileExistsError(f"there is a run at {path}")
+    broken = not results.where("unexpected_count > 0").isEmpty()
+    found = unexpected_sample(df, suites(policy)) if broken else df.sparkSession.createDataFrame([], "position int, value string, sample_count bigint")
+    run_document(results, found, table, moment, policy).coalesce(1).write.json(draft)
+    files.move(draft, path)
     return path
 
+
+def read_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """All runs of a report folder as one table, a row per run, with ``run`` its stamp."""
+    return spark.read.schema(T.StructType([*RUN_DOCUMENT.fields, T.StructField("run", T.StringType())])).json(folder)
+
+
+def run_results(runs: DataFrame) -> DataFrame:
+    """The history as one row per run and expectation."""
+    about = ["run", "run_time", "table_name", "blocked"]
+    each = runs.select(*about, F.explode("suites").alias("s"))
+    named = [F.col(f"s.{name}").alias("suite_success" if name == "success" else name) for name in RUN_SUITE.fieldNames()[:-1]]
+    return each.select(*about, *named, F.explode("s.results").alias("r")).select("*", "r.*").drop("r")

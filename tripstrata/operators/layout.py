@@ -12,6 +12,7 @@ from tripstrata.functions.temporal import month_key
 from tripstrata.operators.batches import built_from
 from tripstrata.operators.windows import DEFAULT_MONTH, batch_month_bounds, in_window, months_between
 from tripstrata.schemas import CLEAN, CLEAN_STORED
+from tripstrata.storage.manifest import FileEntry
 from tripstrata.storage.warehouse import ALL, Warehouse
 
 
@@ -24,6 +25,18 @@ class Span:
     def plus(self, more: list[str]) -> Span:
         return Span(tuple(sorted(set(self.months) | set(more))))
 
+    @property
+    def text(self) -> str:
+        return ",".join(f"{low}-{high}" for low, high in _runs(self.months))
+
+    def touches(self, entry: FileEntry) -> bool:
+        """May a file of ``default`` hold trips of a month that has a range?"""
+        return any(entry.touches(_month_start(low), _next_month(_month_start(high), 1)) for low, high in _runs(self.months))
+
+
+def _month_start(key: str) -> datetime:
+    return datetime(int(key[:4]), int(key[4:]), 1)
+
 
 def _next_month(moment: datetime, count: int) -> datetime:
     month = moment.month - 1 + count
@@ -88,17 +101,32 @@ def table_span(warehouse: Warehouse) -> Span:
 
 def write_clean(warehouse: Warehouse, clean: DataFrame, span: Span, batches: list[str] | str) -> list[str]:
     """Replace whole batches, with every month they touched before; the ledger keeps what they were built from."""
-    built = built_from(warehouse, warehouse.values("raw") if batches == ALL else batches)
+    built = built_from(warehouse, warehouse.batches("raw") if batches == ALL else batches)
+    built = {batch: facts | {"span": span.text} for batch, facts in built.items()}
     return warehouse.publish("clean", arranged(routed(clean, span)), batches, built=built)
 
 
 def rehome_default(warehouse: Warehouse, span: Span) -> list[str]:
     """Move ``default`` trips whose month now has a range; returns the batches touched.
 
-    Reads the ``default`` folders and rewrites only those of affected batches, together
-    with the month folders their trips move to.
+    Reads only ``default`` files that may hold such trips, of batches that were routed by another
+    span, and rewrites the folders of affected batches only, together with the month folders
+    their trips move to.
     """
-    clean = warehouse.read("clean")
+    ledger = warehouse.state("clean").ledger
+    older = {batch for batch, facts in ledger.items() if facts.get("span") != span.text}
+    if not older:
+        return []
+    moved = _rehome(warehouse, span, older, ledger)
+    warehouse.annotate("clean", {batch: {"span": span.text} for batch in older})
+    return moved
+
+
+def _rehome(warehouse: Warehouse, span: Span, older: set[str], ledger: dict[str, dict]) -> list[str]:
+    doubtful = lambda e: e.values[0] in older and e.values[1] == DEFAULT_MONTH and span.touches(e)
+    if not any(doubtful(entry) for entry in warehouse.entries("clean")):
+        return []
+    clean = warehouse.read_files("clean", doubtful)
     stray = clean.where((F.col("pickup_month") == DEFAULT_MONTH) & (route_month(span) != DEFAULT_MONTH))
     moves = [(row[0], row[1]) for row in stray.select("batch_id", route_month(span)).distinct().collect()]
     if moves:
@@ -106,9 +134,8 @@ def rehome_default(warehouse: Warehouse, span: Span) -> list[str]:
         slices = sorted({*moves, *((batch, DEFAULT_MONTH) for batch in batches)})
         months = sorted({month for _, month in slices})
         touched = F.struct("batch_id", "pickup_month").isin([F.struct(F.lit(b), F.lit(m)) for b, m in slices])
-        in_folders = F.col("batch_id").isin(batches) & F.col("pickup_month").isin(months)
-        rows = clean.where(in_folders & touched).select(*CLEAN.fieldNames())
-        warehouse.publish("clean", arranged(routed(rows, span)), slices)
+        rows = warehouse.read("clean", batches=batches).where(F.col("pickup_month").isin(months) & touched).select(*CLEAN.fieldNames())
+        warehouse.publish("clean", arranged(routed(rows, span)), slices, built={b: ledger[b] for b in batches})
     return sorted({batch for batch, _ in moves})
 
 

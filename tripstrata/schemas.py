@@ -150,6 +150,37 @@ RUN_LOG = _struct(
 RUN_LOG_OLD = T.StructType(RUN_LOG.fields[1:])
 
 
+# A quality run as one document: suites, their results, and in each the values that broke it.
+RUN_RESULT = _struct(
+    {
+        "position": T.IntegerType(),
+        **dict.fromkeys(("expectation_type", "domain", "rationale", "column_name"), T.StringType()),
+        **dict.fromkeys(("min_value", "max_value"), T.DoubleType()),
+        "value_set": T.StringType(),
+        "mostly": T.DoubleType(),
+        **dict.fromkeys(("element_count", "missing_count", "unexpected_count"), T.LongType()),
+        **dict.fromkeys(("missing_percent", "unexpected_percent", "unexpected_percent_total"), T.DoubleType()),
+        "success": T.BooleanType(),
+        "unexpected": T.ArrayType(_struct({"value": T.StringType(), "sample_count": T.LongType()})),
+    }
+)
+RUN_SUITE = _struct(
+    {
+        **dict.fromkeys(("severity", "suite", "suite_version"), T.StringType()),
+        **dict.fromkeys(("evaluated_expectations", "failed_expectations"), T.LongType()),
+        **dict.fromkeys(("success", "blocks_run"), T.BooleanType()),
+        "results": T.ArrayType(RUN_RESULT),
+    }
+)
+RUN_DOCUMENT = _struct(
+    {
+        **dict.fromkeys(("run_time", "table_name"), T.StringType()),
+        **dict.fromkeys(("fail_on_critical", "fail_on_warning", "success", "blocked"), T.BooleanType()),
+        "suites": T.ArrayType(RUN_SUITE),
+    }
+)
+
+
 @dataclass(frozen=True)
 class Layer:
     """A stored table: its relation name, schema, directory partition columns and the time its files are chosen by."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +36,44 @@ def phase_of(path: Column) -> Column:
     return F.coalesce(F.nullif(current, F.lit("")), F.nullif(older, F.lit("")))
 
 
+@dataclass(frozen=True)
+class RunLog:
+    """One log: its path and what its name says. ``run_id`` of the older kind is its stamp."""
+
+    path: str
+    run_id: str
+    phase: str
+    older: bool = False
+
+
+def parse_log_name(path: str) -> RunLog | None:
+    """What a log's name says; None for other names."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    if found := re.fullmatch(NAME, name):
+        return RunLog(path, found[1], found[2])
+    if found := re.fullmatch(OLD_NAME, name):
+        return RunLog(path, found[2], found[1], True)
+    return None
+
+
+def list_run_logs(spark: SparkSession, folder: str) -> list[RunLog]:
+    """The logs of a folder, both generations, by run and phase."""
+    found = [parse_log_name(path) for path in Files(spark).glob(f"{folder}/benchmarks_*.csv")]
+    return sorted((log for log in found if log), key=lambda log: (log.run_id, log.phase, log.path))
+
+
+def read_logs(spark: SparkSession, logs: Iterable[RunLog]) -> DataFrame:
+    """The rows of the given logs in the current columns."""
+    parts = []
+    current = [log.path for log in logs if not log.older]
+    if current:
+        parts.append(spark.read.schema(RUN_LOG).option("header", True).csv(current))
+    for log in logs:
+        if log.older:
+            parts.append(spark.read.schema(RUN_LOG_OLD).option("header", True).csv(log.path).withColumn("run_id", F.lit(log.run_id)))
+    return reduce(DataFrame.unionByName, parts).select(*RUN_LOG.fieldNames())
+
+
 def write_run_log(log: DataFrame, folder: str, run_id: str, phase: str) -> str:
     """Write one run's rows of one phase with a header; returns the path."""
     if phase not in PHASES:

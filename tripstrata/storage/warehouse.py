@@ -242,6 +242,8 @@ class Warehouse:
             self.files.delete(target)
             self.files.delete(self._manifest(layer, generation))
             raise
+        if not arrived:
+            self.files.delete(target)
         self.vacuum([layer])
         return sorted({folder_values(folder)[:depth] for folder in arrived})
 
@@ -265,6 +267,13 @@ class Warehouse:
         self.files.write_text(draft, state.as_json())
         self.files.move(draft, goal)
 
+    def annotate(self, layer: str, facts: dict[str, dict]) -> None:
+        """Add to what the ledger says of some batches; the rows stay as they are."""
+        state = self.state(layer)
+        ledger = state.ledger | {batch: state.ledger[batch] | more for batch, more in facts.items() if batch in state.ledger}
+        if ledger != state.ledger:
+            self._point(layer, State(state.number + 1, state.live, ledger))
+
     def publish_whole(self, layer: str, df: DataFrame) -> None:
         """Replace an unpartitioned table."""
         self.publish(layer, df, ALL)
