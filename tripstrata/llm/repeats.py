@@ -45,10 +45,11 @@ from tripstrata.llm.shingles import mixed
 
 LENGTH = 200
 GRAM, STARTS = 16, 32
-BLOCK_BYTES = 8 << 20
-PART_BYTES = 64 << 20
+BLOCK_BYTES = 4 << 20
+PART_BYTES = 32 << 20
 PIECE_BYTES = 1 << 20
 SORTED_SYMBOLS = 100_000
+ROWS_A_TASK = 5_000
 MOST = 20_000
 
 _DRAW = np.random.default_rng(20)
@@ -365,7 +366,7 @@ def repeated_windows(sequences: list[tuple[bytes, int, int]]) -> list[list[int]]
     return out
 
 
-def _sorted_groups(rows: DataFrame) -> DataFrame:
+def _sorted_groups(rows: DataFrame, tasks: int) -> DataFrame:
     """``(block, at, until)``: ranges of repeated starts of the sequences, whole groups of a core sorted together."""
     arrow = to_arrow_schema(T.StructType.fromDDL("block bigint, at bigint, until bigint"))
 
@@ -391,7 +392,7 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
             yield result()
 
     columns = ["core", "text", "left", "block", "at", "own"]
-    return rows.select(*columns).repartition("core").sortWithinPartitions("core").mapInArrow(scan, "block bigint, at bigint, until bigint")
+    return rows.select(*columns).repartition(tasks, "core").sortWithinPartitions("core").mapInArrow(scan, "block bigint, at bigint, until bigint")
 
 
 def _counted_groups(rows: DataFrame) -> DataFrame:
@@ -447,7 +448,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = contested.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("open")).where("n > 1 AND open")
     small, large = (contested.join(groups.where(F.col("n") <= most if few else F.col("n") > most).select("core"), "core", "left_semi") for few in (True, False))
     settled = found.where("core IS NULL").select("block", "at", "until")
-    ranges = settled.unionByName(_sorted_groups(small)).unionByName(_counted_groups(large))
+    # sorting takes its time per row, not per byte: the number of tasks follows the rows
+    tasks = -(-contested.count() // ROWS_A_TASK) or 1
+    ranges = settled.unionByName(_sorted_groups(small, tasks)).unionByName(_counted_groups(large))
 
     id_kind = blocks.schema["ids"].dataType.elementType
     whole = blocks.select("block", F.lit(0).alias("kind"), none.cast("bigint").alias("at"), none.cast("bigint").alias("until"), "ids", "sizes", "payload")
