@@ -34,10 +34,8 @@ class Files:
 
     def names(self, path: str) -> list[str]:
         """Names of the direct entries, leaving out hidden ones."""
-        fs, handle = self._open(path)
-        if not fs.exists(handle):
-            return []
-        return sorted(n for s in fs.listStatus(handle) if not (n := s.getPath().getName()).startswith("."))
+        fs, handle = self._open(f"{path}/*")
+        return sorted(n for s in (fs.globStatus(handle) or []) if not (n := s.getPath().getName()).startswith("."))
 
     def stamp(self, path: str) -> tuple:
         """Name, size and time of a file, or of the direct entries of a folder: differs when they are written anew."""

@@ -52,9 +52,18 @@ class State:
         return cls(number, held["live"], held["ledger"])
 
 
-# Manifests never change once written; the last ones read are kept, by Spark application and path.
-_MANIFESTS: dict[tuple[str, str], list[FileEntry]] = {}
-_MANIFESTS_KEPT = 64
+# Pointers and manifests never change once written; the last ones read are kept, by Spark application and path.
+_KEPT: dict[tuple[str, str], object] = {}
+_MOST_KEPT = 128
+
+
+def _once(spark: SparkSession, path: str, read: Callable[[], object]):
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _KEPT:
+        while len(_KEPT) >= _MOST_KEPT:
+            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT[key] = read()
+    return _KEPT[key]
 
 
 @dataclass(frozen=True)
@@ -97,7 +106,8 @@ class Warehouse:
         if not numbers:
             return State()
         number = numbers[-1] if as_of is None else as_of
-        return State.from_json(number, self.files.read_text(f"{self._pointers(layer)}/{number:020d}"))
+        path = f"{self._pointers(layer)}/{number:020d}"
+        return _once(self.spark, path, lambda: State.from_json(number, self.files.read_text(path)))
 
     def _frame(self, layer: str, paths: list[str]) -> DataFrame:
         """The schema is always given: inference would turn month keys into numbers."""
@@ -146,12 +156,8 @@ class Warehouse:
         found = []
         for generation, folders in state.live.items():
             path, counted = self._manifest(layer, generation), set(folders)
-            key = (self.spark.sparkContext.applicationId, path)
-            if key not in _MANIFESTS:
-                while len(_MANIFESTS) >= _MANIFESTS_KEPT:
-                    _MANIFESTS.pop(next(iter(_MANIFESTS)))
-                _MANIFESTS[key] = [FileEntry.from_json(json.loads(line)) for line in self.files.read_text(path).splitlines()]
-            found += [(generation, entry) for entry in _MANIFESTS[key] if entry.folder in counted]
+            entries = _once(self.spark, path, lambda p=path: [FileEntry.from_json(json.loads(line)) for line in self.files.read_text(p).splitlines()])
+            found += [(generation, entry) for entry in entries if entry.folder in counted]
         return found
 
     def entries(self, layer: str, as_of: int | None = None) -> list[FileEntry]:
