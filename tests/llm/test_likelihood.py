@@ -39,7 +39,7 @@ def checked(spark, rows):
     for have, want in zip(sorted(map(tuple, found), key=key), sorted(by_hand(rows), key=key), strict=True):
         assert have[:5] == want[:5]
         assert have[5] == pytest.approx(want[5])
-        assert math.isfinite(have[6]) and have[6] < 0
+        assert math.isfinite(have[6]) and have[6] < 0 and math.isfinite(have[7]) and have[7] < 0
     return found
 
 
@@ -55,8 +55,9 @@ def test_held_out_texts_gain_from_training(spark, sf_dir):
     ids = {r.id for r in trained}
     alone = checked(spark, [r for r in rows if r[0] in ids])
     assert sum(r.score for r in trained) > 0.7 * sum(r.score for r in alone)
+    assert sum(r.word_score for r in trained) > sum(r.score for r in trained)
     known = [r for r in trained if r.n_known == r.n_tokens]
-    assert sum(r.score for r in known) > 1.1 * sum(r.base_score for r in known)
+    assert sum(r.word_score for r in known) > 1.1 * sum(r.base_score for r in known)
 
 
 def test_empty_table_and_no_training(spark):
@@ -85,8 +86,62 @@ def test_lattice_sums_all_segmentations():
     assert (expected * lengths).sum() == pytest.approx(sum(len(w) + 1 for w in some))
 
 
-def test_distribution_adds_up(spark):
-    """Training words and an unseen one share the mass: no word gets more than its count allows."""
-    rows = [(n, "aa bb cc") for n in range(40)]
-    found = checked(spark, rows)
-    assert all(r.score > 4 * math.log10(0.2) for r in found)
+SMALL = Vocabulary(("<unk>", MARK, "a", "b", f"{MARK}a", "ab", "ba", f"{MARK}ab"), (0.0, 3.0, 2.0, 1.0, 0.0, -1.0, -2.0, -3.0), (False, *[True] * 7), tuple(range(256)))
+
+
+def segmentations(text):
+    """All ways to write ``text`` in pieces of the small vocabulary; other characters are spelled."""
+    if not text:
+        yield []
+        return
+    known = {p: n for n, (p, ok) in enumerate(zip(SMALL.pieces, SMALL.plain, strict=True)) if ok}
+    for size in range(1, len(text) + 1):
+        if text[:size] in known:
+            yield from ([known[text[:size]], *rest] for rest in segmentations(text[size:]))
+    if text[0] not in known:
+        yield from ([("spelled", text[0]), *rest] for rest in segmentations(text[1:]))
+
+
+def chance(path, weights):
+    return math.prod((weights[-1] / 256) ** len(p[1].encode()) if isinstance(p, tuple) else weights[p] for p in path)
+
+
+def fitted_by_hand(count, steps):
+    first = weights = first_weights(SMALL)
+    for _ in range(steps):
+        expected = np.zeros(len(weights))
+        for word, n in count.items():
+            paths = list(segmentations(MARK + word))
+            total = sum(chance(p, weights) for p in paths)
+            for path in paths:
+                for piece in path:
+                    expected[-1 if isinstance(piece, tuple) else piece] += n * chance(path, weights) / total
+        weights = (expected + first) / (expected + first).sum()
+    return weights
+
+
+def test_scores_against_all_segmentations(spark):
+    texts = ["ab ba a", "abab b", "", "b b ab", "aé ab", None, "ab"]
+    rows = [(n, texts[n % len(texts)]) for n in range(40)] + [(2**60 + 1, "ab"), (2**60 + 3, "ba"), (None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    training = [(text or "").split() for (i, text) in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
+    count = Counter(w for words_ in training for w in words_)
+    weights = fitted_by_hand(count, 2)
+    stop = len(training) / (sum(count.values()) + len(training))
+
+    def by_definition(text):
+        each = [sum(chance(p, weights) for p in segmentations(MARK + w)) * (1 - stop) for w in (text or "").split()]
+        return math.log10(stop) + sum(map(math.log10, each))
+
+    found = likelihood.scores(docs, SMALL).collect()
+    key = lambda pair: repr((pair[0], round(pair[1], 6)))
+    have, want = sorted([(r.id, r.score) for r in found], key=key), sorted([(i, by_definition(t)) for i, t in rows], key=key)
+    assert [i for i, _ in have] == [i for i, _ in want]
+    assert [s for _, s in have] == pytest.approx([s for _, s in want])
+
+
+def test_words_share_the_mass():
+    """The probabilities of all strings of a length, and of shorter ones, do not exceed one."""
+    weights = first_weights(SMALL)
+    total = sum(chance(p, weights) for n in range(6) for bits in range(2**n) for p in segmentations(MARK + format(bits, f"0{n}b").replace("0", "a").replace("1", "b") * (n > 0)))
+    assert 0 < total < 1

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripstrata.session import scratch_dir
+from tripstrata.storage.files import Files
 
 # The white space that separates words, as a character class body and as characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -26,28 +27,36 @@ BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: str = BATCH_ROWS) -> Iterator[None]:
     """Arrow batches of few rows meanwhile: rows here are texts, sets and vectors, and workers must stay small."""
     before = spark.conf.get(BATCH_CONF)
-    spark.conf.set(BATCH_CONF, BATCH_ROWS)
+    spark.conf.set(BATCH_CONF, rows)
     try:
         yield
     finally:
         spark.conf.set(BATCH_CONF, before)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back.
 
-    Cuts the lineage: what reads it survives lost executors without redoing the work.
+    Cuts the lineage: what reads it survives lost executors without redoing the work. ``batch_rows``
+    is the size of the Arrow batches Python workers get meanwhile; few unless rows are known to be short.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark, label)}/rows"
-    with small_batches(spark):
+    with small_batches(spark, str(batch_rows) if batch_rows else BATCH_ROWS):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Remove staged frames that nothing reads any more; what the session ends with is removed then."""
+    for df in frames:
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            Files(df.sparkSession).delete(folder)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case; every other character unchanged."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripstrata.llm.base import staged
+from tripstrata.llm.base import discard, staged
 
 
 def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -41,7 +41,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = staged(pairs, "links")
     before = _print(edges)
     while True:
+        last = edges
         edges = staged(_star(_star(edges, True), False), "stars")
+        discard(last)
         after = _print(edges)
         if after == before:
             break

@@ -1,9 +1,9 @@
 """Texts as blocks: documents packed with their distinct words, so that what is looked up per
 word moves once per block and word, not once per token.
 
-A block holds consecutive documents of about ``SLICE_CHARS`` characters: the distinct words,
-and for each document the places of its words in that list with their counts, compressed.
-Blocks are written once; their names are drawn by the attempt that wrote them.
+A block holds consecutive documents of about ``SLICE_BYTES``: the distinct words, and for each
+document the places of its words in that list with their counts, compressed. Blocks are written
+once; their names are drawn by the attempt that wrote them.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from tripstrata.llm.base import staged
 from tripstrata.llm.blocks import by_block
 
-SLICE_CHARS = 8_000_000
+SLICE_BYTES = 8_000_000
 
 
 class Places(dict):
@@ -33,7 +34,7 @@ class Places(dict):
         return place
 
 
-def slices(batch: pd.DataFrame, column: str, most: int = SLICE_CHARS) -> Iterator[pd.DataFrame]:
+def slices(batch: pd.DataFrame, column: str, most: int) -> Iterator[pd.DataFrame]:
     """Consecutive rows of about ``most`` characters; a longer text is a slice of its own."""
     sizes = batch[column].map(lambda t: len(t) if isinstance(t, str) else 0).to_numpy()
     group = np.cumsum(sizes) // most
@@ -47,7 +48,7 @@ def _planes(values: np.ndarray) -> bytes:
 
 
 def _whole(planes: bytes) -> np.ndarray:
-    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
 
 
 @dataclass
@@ -60,11 +61,6 @@ class Block:
     places: np.ndarray
     times: np.ndarray
 
-    @property
-    def document(self) -> np.ndarray:
-        """Number of the document of each entry of ``places``."""
-        return np.repeat(np.arange(len(self.sizes)), self.sizes)
-
     def pack(self) -> bytes:
         steps = np.diff(self.places, prepend=0)
         starts = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
@@ -75,54 +71,57 @@ class Block:
     @classmethod
     def unpack(cls, payload: bytes) -> Block:
         rows, words, sizes, steps, times = pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
-        steps = _whole(steps)
-        total = np.cumsum(steps)
+        total = np.cumsum(_whole(steps), dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
         before = np.where(starts > 0, total[np.maximum(starts - 1, 0)], 0) if len(total) else np.zeros(len(sizes), np.int64)
-        return cls(rows, words.split(b"\n") if words else [], sizes, total - np.repeat(before, sizes), _whole(times))
+        total -= np.repeat(before, sizes)
+        return cls(rows, words.split(b"\n") if words else [], sizes, total.astype(np.int32), _whole(times))
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Sum per document of ``values`` (per word) times the word's count."""
-        return np.bincount(self.document, weights=values[self.places] * self.times, minlength=len(self.sizes))
+        out, filled = np.zeros(len(self.sizes)), self.sizes > 0
+        if filled.any():
+            out[filled] = np.add.reduceat(values[self.places] * self.times, (np.cumsum(self.sizes) - self.sizes)[filled])
+        return out
+
+    def totals(self, chosen: np.ndarray) -> np.ndarray:
+        """How often each word occurs in the ``chosen`` documents."""
+        weights = self.times * np.repeat(chosen, self.sizes)
+        return np.bincount(self.places, weights=weights, minlength=len(self.words)).astype(np.int64)
 
 
-def text_blocks(
-    docs: DataFrame, carried: list[str], words_of: Callable[[str], list[bytes]], group_of: Callable[..., bytes] | None = None, text_col: str = "text"
-) -> DataFrame:
+def text_blocks(docs: DataFrame, carried: list[str], words_of: Callable[[bytes], list[bytes]], text_col: str = "text") -> DataFrame:
     """``(block, payload)``, staged. ``words_of(text)`` gives a document's words, without line breaks.
 
-    Words of different groups, ``group_of(*carried)``, are different words and begin with their group.
+    Carried values, ids among them, come through as they are, whatever their type.
     """
 
-    def packed(groups, owner, sizes, index, times, rows) -> pd.DataFrame:
-        before = dict(zip(groups, np.cumsum([0, *map(len, groups.values())]), strict=False))
-        words = [group + word for group, places in groups.items() for word in places]
-        index = [found + before[group] for found, group in zip(index, owner, strict=True)]
-        block = Block(rows, words, np.array(sizes), np.concatenate(index), np.concatenate(times))
-        return pd.DataFrame({"block": [uuid.uuid4().int >> 65], "payload": [block.pack()]})
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rows, sizes, places, times, held = Places(), [], [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            whole = Block(rows, list(known), np.array(sizes), np.concatenate(places), np.concatenate(times))
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([whole.pack()], pa.binary())], names=["block", "payload"])
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups, owner, sizes, index, times, rows, chars = {}, [], [], [], [], [], 0
         for batch in batches:
-            for text, *rest in zip(batch[text_col], *(batch[c] for c in carried), strict=True):
-                text = text or ""
-                words = words_of(text)
-                group = group_of(*rest) if group_of else b""
-                places = groups.setdefault(group, Places())
-                found, count = np.unique(np.fromiter(map(places.__getitem__, words), np.int64, len(words)), return_counts=True)
-                owner.append(group)
+            columns = [batch.column(i).to_pylist() for i in range(len(carried))]
+            for number, text in enumerate(batch.column(len(carried))):
+                raw = text.as_py() or b""
+                words = words_of(raw)
+                found, count = np.unique(np.fromiter(map(known.__getitem__, words), np.int32, len(words)), return_counts=True)
+                rows.append(tuple(column[number] for column in columns))
                 sizes.append(len(found))
-                index.append(found.astype(np.int32))
+                places.append(found)
                 times.append(count.astype(np.int32))
-                rows.append(tuple(None if pd.isna(v) else v for v in rest))
-                chars += len(text)
-                if chars >= SLICE_CHARS:
-                    yield packed(groups, owner, sizes, index, times, rows)
-                    groups, owner, sizes, index, times, rows, chars = {}, [], [], [], [], [], 0
+                held += len(raw)
+                if held >= SLICE_BYTES:
+                    yield block()
+                    known, rows, sizes, places, times, held = Places(), [], [], [], [], 0
         if rows:
-            yield packed(groups, owner, sizes, index, times, rows)
+            yield block()
 
-    return staged(docs.select(*carried, text_col).mapInPandas(scan, "block bigint, payload binary"), "text-blocks")
+    picked = docs.select(*carried, F.col(text_col).cast("binary").alias("_text"))
+    return staged(picked.mapInArrow(scan, "block bigint, payload binary"), "text-blocks")
 
 
 def with_values(blocks: DataFrame, values: DataFrame, columns: list[str], work: Callable[[Block, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
