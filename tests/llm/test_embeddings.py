@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tripstrata.llm import embeddings
 
@@ -75,3 +76,45 @@ def test_block_keeps_its_components(spark):
         old, new = group[bytes(r.src)], group[bytes(r.dst)]
         group = {k: new if g == old else g for k, g in group.items()}
     assert len(set(group.values())) == 1
+
+
+def test_a_hot_group_hides_no_lost_pairs(spark):
+    """A third of all rows in one dense group; pairs just over the threshold beside it are asked apart."""
+    draw = np.random.default_rng(7)
+    dim, pairs = 64, 150
+    hot = [(np.eye(dim)[0] + 0.01 * draw.standard_normal(dim)).tolist() for _ in range(300)]
+    rows = hot + draw.standard_normal((300, dim)).tolist()
+    for _ in range(pairs):
+        a = draw.standard_normal(dim)
+        a /= np.linalg.norm(a)
+        b = draw.standard_normal(dim)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        rows += [a.tolist(), (0.952 * a + np.sqrt(1 - 0.952**2) * b).tolist()]
+    rows = list(enumerate(rows))
+    assert found(spark, rows) == brute_force(rows)
+
+
+def test_the_audit_sees_lost_pairs(spark):
+    """Links of all pairs outside the hot group taken away: the recall says so, whatever the group's size."""
+    vectors = clusters(5, [200] + [2] * 30)
+    table = spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors)], SCHEMA)
+    nodes = embeddings.vectors(table, "vec_id", "embedding").selectExpr("node", "id", "1L as copies", "dim", "vector")
+    group = F.when(F.col("id") < 200, F.lit(b"h")).otherwise(F.col("node"))
+    groups = nodes.select("node", group.alias("component"))
+    counts = nodes.select("node", F.when(F.col("id") < 200, 199).otherwise(0).cast("bigint").alias("links"))
+    assert embeddings.audited(nodes, groups, counts, embeddings.Descent()) == 0.0
+    right = nodes.select("node", F.when(F.col("id") < 200, 199).otherwise(1).cast("bigint").alias("links"))
+    assert embeddings.audited(nodes, groups, right, embeddings.Descent()) == 1.0
+
+
+def test_trees_follow_the_bits():
+    plan = embeddings.Descent()
+    trees = [embeddings.trees_for(bits, plan) for bits in (1, 6, 17, 23)]
+    assert trees[0] == plan.trees and trees == sorted(trees) and trees[3] > 40
+
+
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], b"x", 3), (2, [1.0, 0.01], b"y", 4)], "vec_id bigint, embedding array<double>, node binary, dim int")
+    result, _ = embeddings.near_duplicates(rows)
+    assert sorted(map(tuple, result.collect())) == [(1, 1, 1), (2, 1, 1)]

@@ -56,6 +56,18 @@ def test_digest_index_lasts(spark):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
+def test_a_batch_offered_again_gives_the_same_rows(spark):
+    index = new_index(spark)
+    first = docs(spark, [(1, "one", "p"), (2, "two", "p"), (3, "one", "p")])
+    one = sorted(map(tuple, exact_dedup.deduplicate(first, index, batch="b1").collect()))
+    again = sorted(map(tuple, exact_dedup.deduplicate(first, index, batch="b1").collect()))
+    assert one == again and [r[4] for r in one].count(True) == 2
+    assert [r.doc_id for r in exact_dedup.new_rows(docs(spark, [(4, "two", "p"), (5, "five", "p")]), index, batch="b2").collect()] == [5]
+    assert index.read().count() == 3
+    index.close()
+    assert index.name not in [t.name for t in spark.catalog.listTables()]
+
+
 def test_exact_dedup_of_nothing(spark):
     empty = docs(spark, [])
     assert exact_dedup.deduplicate(empty, new_index(spark)).count() == 0
@@ -179,6 +191,28 @@ def test_archives(spark):
     assert warc.read_records(warc.locate(nothing)).count() == 0
 
 
+def test_archives_of_large_ids(spark):
+    """Ids beyond what a double holds, NULL among them: every payload is stored once, and revisits name its page."""
+    ids = [2**60, 2**60 + 1, 2**60 + 3, None, 2**60 + 5]
+    rows = [(i, "u", "same" if n < 4 else "other") for n, i in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    found = {r.page_id: r for r in warc.read_records(warc.locate(warc.write_packages(pages, scratch_dir(spark, "packages")))).collect()}
+    assert set(found) == set(ids)
+    assert {i: (r.record_type, r.refers_to) for i, r in found.items()} == {
+        2**60: ("revisit", 2**60 + 3), 2**60 + 1: ("revisit", 2**60 + 3), None: ("revisit", 2**60 + 3), 2**60 + 3: ("response", None), 2**60 + 5: ("response", None),
+    }
+    assert bytes(found[2**60 + 3].payload) == b"same"
+
+
+def test_archives_are_read_by_region(spark):
+    pages = spark.createDataFrame([(i, "u", f"{i} " * 500) for i in range(400)], "page_id bigint, url string, html string").coalesce(1)
+    ranges = warc.locate(warc.write_packages(pages, scratch_dir(spark, "packages")))
+    assert ranges.select("path").distinct().count() == 1
+    records = warc.read_records(ranges, region_bytes=2000)
+    regions = ranges.selectExpr("path", "floor(start / 2000)").distinct().count()
+    assert records.rdd.getNumPartitions() == regions > 5 and records.count() == 400
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_zip_directory(tmp_path, monkeypatch, wide):
     """Offsets from the directory alone, with ordinary and with ZIP64 fields; comments and packed members are no obstacle."""

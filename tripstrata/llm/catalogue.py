@@ -69,7 +69,9 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 
 @query("op3_exact_dedup", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = exact_dedup.deduplicate(table(spark, sf_dir, "documents"), new_index(spark))
+    index = new_index(spark)
+    rows = exact_dedup.deduplicate(table(spark, sf_dir, "documents"), index)
+    index.close()  # the result reads what was staged
     digest = F.lower(F.hex("digest")).alias("text_sha256")
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", digest)
 
@@ -218,8 +220,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_embedding_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
-    return rows.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    rows, recall = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    kept = F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    return rows.select(F.col("id").alias("vec_id"), "n_links", "component_id", kept, F.lit(recall).alias("audited_recall"))
 
 
 # ---------------------------------------------------------------- 6 likelihood

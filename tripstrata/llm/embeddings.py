@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by NN-descent.
 
 1. Equal vectors are one node with a number of copies. A random-hyperplane forest gives
-   every node its first neighbour list: nodes of one leaf are compared with each other.
+   every node its first neighbour list: nodes of one leaf are compared with each other. Leaves
+   get more bits as vectors get more, and the forest more trees as bits do.
 2. Descent: the neighbours of a node, forward and reverse, are compared with each other,
    and lists keep the best ``k``. A list that is full of links is saturated and may grow to
    twice its length each round.
@@ -9,8 +10,9 @@
    out of a list; a block emits a spanning forest of its links, which ties the same vectors. Components come from the links, and the links of a node are counted in
    double precision against all of its component, block by block, so that a saturated list
    hides none.
-4. The result is audited: for a sample of nodes (``audit``, at most) all nodes are compared.
-   Below ``recall``, more trees and rounds follow.
+4. The result is audited: for samples of nodes (``audit`` at most of the largest component, and as
+   many outside it) all nodes are compared. Below ``recall`` more trees and rounds follow; a
+   recall below ``least`` after all ``attempts`` is an error.
 
 Leaves, reverse lists and components of any size are cut into blocks of bounded size.
 
@@ -46,8 +48,10 @@ class Descent:
     trees: int = 12
     rounds: int = 2
     per_block: int = 3
+    miss: float = 0.02
     audit: int = 1024
     recall: float = 0.999
+    least: float = 0.9
     attempts: int = 4
 
 
@@ -169,25 +173,41 @@ def link_counts(grouped: DataFrame, nodes: DataFrame, plan: Descent) -> DataFram
     return by_block(rows, ["left", "node"], count, "node binary, links bigint").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audited(nodes: DataFrame, counts: DataFrame, plan: Descent) -> float:
-    """Share of the true links of a bounded sample of nodes that were found."""
-    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(plan.audit).select("node", "dim", "vector").toPandas()
+def trees_for(bits: int, plan: Descent) -> int:
+    """Enough trees that a pair at the threshold shares a leaf in one of them but with probability ``miss``."""
+    together = (1 - np.arccos(min(plan.threshold, 1.0)) / np.pi) ** bits
+    return max(plan.trees, int(np.ceil(np.log(plan.miss) / np.log1p(-together))))
+
+
+def audited(nodes: DataFrame, groups: DataFrame, counts: DataFrame, plan: Descent) -> float:
+    """The recall: over asked vectors, the mean share of a vector's true links that were found.
+
+    The vectors of the largest component and those outside it are asked and averaged apart, and
+    the lower mean counts, so that a large dense group does not hide what is lost elsewhere.
+    """
+    largest = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    marked = nodes.join(groups, "node", "left").join(largest.select("component", F.lit(True).alias("hot")), "component", "left")
+    marked = marked.select("node", "dim", "vector", F.coalesce("hot", F.lit(False)).alias("hot"))
+    some = lambda hot: marked.where(F.col("hot") == hot).orderBy(F.xxhash64("node"), "node").limit(plan.audit)
+    asked = some(True).unionByName(some(False)).toPandas()
     if not len(asked):
         return 1.0
-    by_dim = {dim: (own.node.to_numpy(), units(own.vector)) for dim, own in asked.groupby("dim")}
+    by_dim = {dim: (own.node.to_numpy(), own.hot.to_numpy(), units(own.vector)) for dim, own in asked.groupby("dim")}
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, own in batch.groupby("dim"):
                 if dim in by_dim:
-                    keys, unit = by_dim[dim]
+                    keys, hot, unit = by_dim[dim]
                     linked = unit @ units(own.vector).T >= plan.threshold
                     linked &= keys[:, None] != own.node.to_numpy()[None, :]
-                    yield pd.DataFrame({"node": keys, "truth": linked @ own.copies.to_numpy()})
+                    yield pd.DataFrame({"node": keys, "hot": hot, "truth": linked @ own.copies.to_numpy()})
 
-    truth = nodes.select("node", "dim", "vector", "copies").mapInPandas(scan, "node binary, truth bigint").groupBy("node").agg(F.sum("truth").alias("truth"))
-    found = truth.join(counts, "node", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("links", F.lit(0))))).first()
-    return found[1] / found[0] if found[0] else 1.0
+    truth = nodes.select("node", "dim", "vector", "copies").mapInPandas(scan, "node binary, hot boolean, truth bigint")
+    truth = truth.groupBy("node", "hot").agg(F.sum("truth").alias("truth")).where("truth > 0")
+    share = F.least("truth", F.coalesce("links", F.lit(0))) / F.col("truth")
+    means = truth.join(counts, "node", "left").groupBy("hot").agg(F.avg(share).alias("recall")).collect()
+    return min((r["recall"] for r in means), default=1.0)
 
 
 def near_duplicates(rows: DataFrame, plan: Descent = Descent(), id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, float]:
@@ -201,7 +221,7 @@ def near_duplicates(rows: DataFrame, plan: Descent = Descent(), id_col: str = "v
     bits = max(1, int(np.ceil(np.log2(max(nodes.count(), 1) / LEAF + 1))))
     graph = links = None
     for attempt in range(plan.attempts):
-        fresh = staged(compared(leaves(nodes, plan.trees, bits, attempt), nodes, plan), "forest")
+        fresh = staged(compared(leaves(nodes, trees_for(bits, plan), bits, attempt), nodes, plan), "forest")
         links = fresh.where("link") if links is None else links.unionByName(fresh.where("link"))
         pool = fresh.select("src", "dst", "sim")
         graph = staged(shortened(pool if graph is None else graph.unionByName(pool), plan, plan.k), "lists")
@@ -213,9 +233,11 @@ def near_duplicates(rows: DataFrame, plan: Descent = Descent(), id_col: str = "v
             graph = staged(shortened(pool, plan, plan.k << (step + 1)), "lists")
         groups = staged(components(links.unionByName(graph.where(F.col("sim") >= plan.threshold).withColumn("link", F.lit(True))), "src", "dst"), "vector-components")
         counts = staged(link_counts(groups, nodes, plan), "link-counts")
-        recall = audited(nodes, counts, plan)
+        recall = audited(nodes, groups, counts, plan)
         if recall >= plan.recall:
             break
+    if recall < plan.least:
+        raise RuntimeError(f"recall is {recall:.3f} after {plan.attempts} attempts")
     labels = nodes.select("node", "id", "copies").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labels.groupBy("component").agg(F.min("id").alias("component_id"))
     named = labels.join(smallest, "component").join(counts, "node", "left")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tripstrata.llm.base import SPACES, keep_one, staged
 
-INDEX_SCHEMA = "digest binary, keep_id {id}, chars int"
+INDEX_SCHEMA = "digest binary, keep_id {id}, chars int, batch string"
 
 
 def text_digest(text: Column) -> Column:
@@ -46,12 +46,16 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, candidates: DataFrame) -> None:
-        """Add digests the index lacks; one writer, so one new file, per bucket."""
+    def close(self) -> None:
+        """Forget the table's name; its files stay, and can be opened again."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def append(self, candidates: DataFrame, batch: str) -> None:
+        """Add digests the index lacks, as those of ``batch``; one writer, so one new file, per bucket."""
         known = self.read().select("digest")
         fresh = candidates.hint("merge").join(known.hint("merge"), "digest", "left_anti")
         (
-            fresh.select("digest", "keep_id", "chars")
+            fresh.select("digest", "keep_id", "chars", F.lit(batch).alias("batch"))
             .repartition(self.buckets, "digest")
             .write.format("parquet")
             .bucketBy(self.buckets, "digest")
@@ -79,17 +83,19 @@ def candidates(facts: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """Append the batch to ``index``; return ``(id, digest, keep_id, group_size, kept)`` per row.
 
     ``keep_id`` is the index's row for the text, which may come from an earlier batch;
-    ``group_size`` counts the rows of this batch.
+    ``group_size`` counts the rows of this batch. A batch that was appended before its result was
+    safe is offered again under the same name: its own digests do not count as known.
     """
+    batch = batch or uuid.uuid4().hex
     facts = staged(digests(docs, id_col, text_col), "digests")
     groups = staged(candidates(facts), "digest-groups")
-    known_before = index.read().select("digest", F.lit(True).alias("old"))
+    known_before = index.read().where(F.col("batch") != batch).select("digest", F.lit(True).alias("old"))
     old = staged(groups.select("digest").hint("merge").join(known_before.hint("merge"), "digest", "left_semi"), "digests-known")
-    index.append(groups)
+    index.append(groups, batch)
     stays = staged(
         groups.select("digest", "group_size")
         .hint("merge")
@@ -102,8 +108,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     return facts.join(stays, "digest").select("id", "digest", "keep_id", "group_size", kept.alias("kept"))
 
 
-def new_rows(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def new_rows(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, whose text the index did not have; one per text."""
-    marks = staged(deduplicate(docs, index, id_col, text_col).select("id", "digest", "kept"), "digest-marks")
+    marks = staged(deduplicate(docs, index, id_col, text_col, batch).select("id", "digest", "kept"), "digest-marks")
     # rows with the winner's id and digest but another spacing are marked too: one of them stays
     return keep_one(docs, marks, {"id": F.col(id_col), "digest": text_digest(F.col(text_col))})

@@ -24,7 +24,7 @@ import zipfile
 from collections.abc import Iterator
 from urllib.parse import quote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,23 +105,24 @@ def with_owner(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_b
 def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Write every page as a record; the manifest ``(path, bytes, records)``."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         package, done = None, []
         for batch in batches:
-            for page_id, url, html, owner in zip(batch.page_id, batch.url, batch.html, batch.owner, strict=True):
+            # plain integers: a column with NULLs would come as doubles, which do not hold every id
+            for page_id, owner, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 if package is None:
                     package = PackageWriter(folder)
-                page_id, owner = (None if pd.isna(v) else int(v) for v in (page_id, owner))
-                package.add(page_id, url, html.encode(), owner)
+                package.add(page_id, url, html.as_py().encode(), owner)
                 if package.size >= package_bytes:
                     done.append(package.close())
                     package = None
         if package is not None:
             done.append(package.close())
         if done:
-            yield pd.DataFrame(done, columns=["path", "bytes", "records"])
+            yield batch_of([dict(zip(("path", "bytes", "records"), x, strict=True)) for x in done], MANIFEST)
 
-    return staged(with_owner(pages, id_col, url_col, html_col, min_bytes).mapInPandas(write, MANIFEST), "warc-manifest")
+    rows = with_owner(pages, id_col, url_col, html_col, min_bytes).select("page_id", "owner", "url", "html")
+    return staged(rows.mapInArrow(write, MANIFEST), "warc-manifest")
 
 
 class PackageWriter:
@@ -155,9 +156,9 @@ class PackageWriter:
 def locate(manifest: DataFrame) -> DataFrame:
     """``(path, start, length)``: the byte range of every record, from directories and indexes."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.path:
+            for path in batch.column(0).to_pylist():
                 files, place = open_path(path)
                 with files.open_input_file(place) as source:
                     read = lambda offset, length, f=source: f.read_at(length, offset)
@@ -165,40 +166,47 @@ def locate(manifest: DataFrame) -> DataFrame:
                     start, index = data_offset(read, found[DATA]), found[INDEX]
                     rows = []
                     for line in index_lines(read, data_offset(read, index), index.size):
-                        rows.append((path, start + line["offset"], line["length"]))
+                        rows.append({"path": path, "start": start + line["offset"], "length": line["length"]})
                         if len(rows) == 10_000:
-                            yield pd.DataFrame(rows, columns=["path", "start", "length"])
+                            yield batch_of(rows, RANGES)
                             rows = []
                     if rows:
-                        yield pd.DataFrame(rows, columns=["path", "start", "length"])
+                        yield batch_of(rows, RANGES)
 
-    return manifest.mapInPandas(scan, RANGES)
+    return staged(manifest.mapInArrow(scan, RANGES), "warc-ranges")
 
 
-def read_records(ranges: DataFrame, with_payload: bool = True, batch_bytes: int = 8 << 20) -> DataFrame:
-    """The records at ``ranges``, each read by its own byte range."""
+def read_records(ranges: DataFrame, with_payload: bool = True, batch_bytes: int = 8 << 20, region_bytes: int = REGION_BYTES) -> DataFrame:
+    """The records at ``ranges``, each read by its own byte range, in about one task per region."""
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, own in batch.groupby("path", sort=False):
+            by_path: dict[str, list[tuple[int, int]]] = {}
+            for path, start, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                by_path.setdefault(path, []).append((start, length))
+            for path, own in by_path.items():
                 files, place = open_path(path)
                 with files.open_input_file(place) as source:
                     rows, size = [], 0
-                    for start, length in zip(own.start, own.length, strict=True):
+                    for start, length in own:
                         row = parse_record(gzip.decompress(source.read_at(length, start)))
                         rows.append(row if with_payload else row | {"payload": None})
                         size += length
                         if size >= batch_bytes:
-                            yield frame(rows)
+                            yield batch_of(rows, FOUND)
                             rows, size = [], 0
                     if rows:
-                        yield frame(rows)
+                        yield batch_of(rows, FOUND)
 
-    dealt = ranges.repartition("path", F.floor(F.col("start") / REGION_BYTES))
-    return dealt.mapInPandas(fetch, FOUND)
+    # the number is given: ranges are few bytes, but what they stand for is not
+    regions = ranges.select("path", F.floor(F.col("start") / region_bytes).alias("region"))
+    tasks = regions.distinct().count()
+    dealt = ranges.repartition(max(1, tasks), "path", F.floor(F.col("start") / region_bytes))
+    return dealt.mapInArrow(fetch, FOUND)
 
 
-def frame(rows: list[dict]) -> pd.DataFrame:
-    found = pd.DataFrame(rows)
-    return found.astype({"page_id": "Int64", "refers_to": "Int64"})
+def batch_of(rows: list[dict], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [column.split() for column in schema.split(", ")]
+    return pa.RecordBatch.from_pylist(rows, pa.schema([(name, kinds[kind]) for name, kind in fields]))
 
