@@ -16,7 +16,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of those with equal texts."""
-    return exact_dedup.new_rows(docs, new_index(spark))
+    index = new_index(spark)
+    kept = exact_dedup.new_rows(docs, index)
+    index.close()  # the result reads what was staged
+    return kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
