@@ -170,6 +170,20 @@ def test_chat(spark):
     assert chat.collapse_and_render(rows.limit(0)).count() == 0
 
 
+def test_one_conversation_over_many_tasks(spark):
+    """A third of all rows in one conversation, and another in the NULL one, repeated turns among them."""
+    turns = [(1, n // 3, "user", f"t{n % 5}") for n in range(900)] + [(None, None, "user", "same")] * 600 + [(n, 0, "user", f"x{n}") for n in range(2, 600)]
+    rows = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(6)
+    hashed = chat.rolling_hashes(rows)
+    assert {r["count"] for r in hashed.where("conv = 1").groupBy("place").count().collect()} == {1}
+    assert hashed.where("conv = 1").agg({"place": "max"}).first()[0] == 900
+    found = {r.conv: r for r in chat.collapse_and_render(rows).collect()}
+    own = sorted(((t, r, x) for c, t, r, x in turns if c == 1))
+    assert found[1].rendered == "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for _, r, x in own)
+    assert found[None].n_turns == 600 and found[None].rendered == "<|im_start|>user\nsame<|im_end|>\n" * 600
+    assert len(found) == 600
+
+
 # ---------------------------------------------------------------- archives
 
 

@@ -5,9 +5,13 @@ the rolling hash of the turns up to it: the running sum of two hashes of (place,
 text), kept exact. A conversation is dropped when its last hash occurs inside a longer
 one (anti-join), and of equal ones the smallest id stays. What is left is rendered.
 
+Turns are dealt out by ranges of (conversation, turn), so a conversation with a third of all rows
+is spread over many tasks: places and hashes are counted within a range first, and what the
+ranges before add comes from one row per conversation and range.
+
 Defined cases: turns are ordered by turn (NULL last), role, text; NULL role or text counts as
 empty; a NULL conversation id is one conversation, the largest id; repeated rows are
-turns of their own; an empty input gives an empty result. The row of a conversation is
+turns of their own; an empty input gives an empty result. The rendered row of a conversation is
 as long as the conversation.
 """
 
@@ -21,6 +25,20 @@ from tripstrata.llm.base import staged
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def _summed_before(rows: DataFrame, values: list[str]) -> DataFrame:
+    """``(conv, part, <values>)``: sums over the parts of a conversation that come before each part; a row per part."""
+    totals = rows.groupBy("conv", "part").agg(*[F.sum(v).alias(v) for v in values])
+    before = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("conv", "part", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_before") for v in values])
+
+
+def _carried_on(rows: DataFrame, values: list[str]) -> DataFrame:
+    """``rows`` with what the earlier parts of their conversation sum up to."""
+    sums = _summed_before(rows, values)
+    both = rows.alias("r").join(sums.alias("s"), F.col("r.conv").eqNullSafe(F.col("s.conv")) & (F.col("r.part") == F.col("s.part")))
+    return both.select("r.*", *[F.col(f"s.{v}_before") for v in values])
+
+
 def rolling_hashes(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``(conv, place, n_turns, role, text, h1, h2)``; ``h1, h2`` identify the turns up to ``place``."""
     empty = F.lit("")
@@ -30,20 +48,24 @@ def rolling_hashes(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "t
         F.coalesce(F.col(role_col), empty).alias("role"),
         F.coalesce(F.col(text_col), empty).alias("text"),
     )
-    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    keys = [F.col("turn").asc_nulls_last(), "role", "text"]
+    # equal turns may be dealt to several parts: which is which does not matter
+    dealt = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange("conv", *keys, "tie")
+    parts = staged(dealt.withColumn("part", F.spark_partition_id()), "chat-parts")
+    order = Window.partitionBy("conv", "part").orderBy(*keys, "tie")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("place", F.row_number().over(order))
+
+    counted = _carried_on(parts.withColumn("rows", F.lit(1).cast("bigint")), ["rows"])
+    placed = counted.withColumn("place", (F.row_number().over(order) + F.col("rows_before")).cast("int"))
     one = F.xxhash64(F.lit(1), "place", "role", "text").cast("decimal(38,0)")
     two = F.xxhash64(F.lit(2), "text", "role", "place").cast("decimal(38,0)")
-    return placed.select(
-        "conv",
-        "place",
-        F.count(F.lit(1)).over(Window.partitionBy("conv")).alias("n_turns"),
-        "role",
-        "text",
-        F.sum(one).over(upto).alias("h1"),
-        F.sum(two).over(upto).alias("h2"),
-    )
+    hashed = staged(placed.withColumn("one", one).withColumn("two", two).select(*parts.columns, "place", "one", "two"), "chat-places")
+    summed = _carried_on(hashed, ["one", "two"])
+    sizes = parts.groupBy("conv").agg(F.count(F.lit(1)).alias("n_turns"))
+    h1, h2 = ((F.sum(name).over(upto) + F.col(f"{name}_before")).alias(alias) for name, alias in (("one", "h1"), ("two", "h2")))
+    rolled = summed.select("conv", "place", "role", "text", h1, h2)
+    whole = rolled.alias("r").join(sizes.alias("s"), F.col("r.conv").eqNullSafe(F.col("s.conv")))
+    return whole.select("r.conv", "r.place", "s.n_turns", "r.role", "r.text", "r.h1", "r.h2")
 
 
 def maximal_conversations(hashed: DataFrame) -> DataFrame:
