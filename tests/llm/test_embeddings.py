@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tripstrata.llm import embeddings
@@ -118,3 +119,19 @@ def test_clashing_columns(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0], b"x", 3), (2, [1.0, 0.01], b"y", 4)], "vec_id bigint, embedding array<double>, node binary, dim int")
     result, _ = embeddings.near_duplicates(rows)
     assert sorted(map(tuple, result.collect())) == [(1, 1, 1), (2, 1, 1)]
+
+
+@pytest.mark.parametrize("grid", [1024, 8])
+def test_links_of_large_components(spark, monkeypatch, grid):
+    """A dense core, a shell around it, and copies: counted with and without a leader."""
+    monkeypatch.setattr(embeddings, "GRID", grid)
+    vectors = clusters(11, [40], spread=0.01) + clusters(11, [30], spread=0.16) + clusters(12, [25], spread=0.12)
+    rows = list(enumerate(vectors + vectors[:3] + [[x * 1e200 for x in vectors[0]]]))
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id bigint, embedding array<double>")
+    nodes = embeddings.vectors(table, "vec_id", "embedding").groupBy("node").agg(F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"))
+    known = {bytes(r.node): (np.array(r.vector) / np.abs(r.vector).max(), r.copies) for r in nodes.collect()}
+    grouped = nodes.select("node", F.lit(b"c").alias("component"))
+    unit = {k: v / np.sqrt(v @ v) for k, (v, _) in known.items()}
+    want = {k: sum(known[o][1] for o in unit if o != k and unit[k] @ unit[o] >= 0.95) for k in unit}
+    found = {bytes(r.node): r.links for r in embeddings.link_counts(grouped, nodes, embeddings.Descent()).collect()}
+    assert {k: n for k, n in found.items() if n} == {k: n for k, n in want.items() if n}

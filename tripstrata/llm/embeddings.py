@@ -153,14 +153,36 @@ def neighbourhoods(graph: DataFrame) -> DataFrame:
 
 
 def link_counts(grouped: DataFrame, nodes: DataFrame, plan: Descent) -> DataFrame:
-    """``(node, links)``: linked vectors of each node among its component."""
-    sizes = grouped.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / GRID).cast("int").alias("parts"))
-    held = staged(grouped.join(sizes, "component").join(nodes.select("node", "vector", "copies"), "node"), "component-vectors")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = held.select("*", own.alias("l")).select("*", every.alias("r"), F.lit(True).alias("left"))
-    right = held.select("*", own.alias("r")).select("*", every.alias("l"), F.lit(False).alias("left"))
-    rows = left.unionByName(right).select(F.xxhash64("component", "l", "r").alias("block"), "left", "node", "vector", "copies")
+    """``(node, links)``: linked vectors of each node among its component.
+
+    In a component of more than ``GRID`` nodes, those within half the threshold's angle of one of
+    them, its leader, are linked with each other without being compared. Only the others are
+    compared, with all of the component, in blocks.
+    """
+    sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"))
+    axes = sizes.where(F.col("n") > GRID).join(nodes.select(F.col("node").alias("leader"), F.col("vector").alias("axis")), "leader").select("component", "axis")
+    held = grouped.join(nodes.select("node", "vector", "copies"), "node").join(axes, "component", "left")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    # scaled first, so that squares stay finite
+    even = lambda v: F.transform(v, lambda x: x / F.array_max(F.transform(v, F.abs)))
+    held = held.withColumn("v", even(F.col("vector"))).withColumn("a", even(F.col("axis")))
+    cosine = dot("v", "a") / F.sqrt(dot("v", "v") * dot("a", "a"))
+    near = F.coalesce(cosine >= float(np.sqrt((1 + plan.threshold) / 2)) + 1e-9, F.lit(False))
+    held = staged(held.select("component", "node", "vector", "copies", near.alias("core")), "component-vectors")
+
+    parts = held.groupBy("component").agg(
+        F.ceil(F.count_if(~F.col("core")) / GRID).cast("int").alias("lefts"),
+        F.ceil(F.count(F.lit(1)) / GRID).cast("int").alias("rights"),
+        F.sum(F.when(F.col("core"), F.col("copies")).otherwise(0)).alias("within"),
+    )
+    dealt = held.join(parts, "component")
+    settled = dealt.where("core").select("node", (F.col("within") - F.col("copies")).alias("links"))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.where("NOT core").select("*", part("lefts").alias("l")).select("*", every("rights").alias("r"), F.lit(True).alias("left"))
+    right = dealt.where("lefts > 0").select("*", part("rights").alias("r")).select("*", every("lefts").alias("l"), F.lit(False).alias("left"))
+    columns = [F.xxhash64("component", "l", "r").alias("block"), "left", "node", "vector", "copies", "core"]
+    rows = left.select(*columns).unionByName(right.select(*columns))
 
     def count(block: pd.DataFrame) -> pd.DataFrame | None:
         one, two = block[block.left], block[~block.left]
@@ -168,9 +190,13 @@ def link_counts(grouped: DataFrame, nodes: DataFrame, plan: Descent) -> DataFram
             return None
         linked = units(one.vector) @ units(two.vector).T >= plan.threshold
         linked &= one.node.to_numpy()[:, None] != two.node.to_numpy()[None, :]
-        return pd.DataFrame({"node": one.node.to_numpy(), "links": linked @ two.copies.to_numpy()})
+        # a node of the core is compared from the other side only
+        core = two.core.to_numpy(bool)
+        counts = [linked @ two.copies.to_numpy(), linked[:, core].T @ one.copies.to_numpy()]
+        return pd.DataFrame({"node": [*one.node, *two.node[core]], "links": np.concatenate(counts)})
 
-    return by_block(rows, ["left", "node"], count, "node binary, links bigint").groupBy("node").agg(F.sum("links").alias("links"))
+    counted = by_block(rows, ["left", "node"], count, "node binary, links bigint")
+    return counted.unionByName(settled).groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def trees_for(bits: int, plan: Descent) -> int:
