@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
@@ -52,3 +53,45 @@ def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert rows.columns == [*spark.read.parquet(f"{sf_dir}/documents.parquet").columns, "tokens"]
     assert 0 < rows.count()
+
+
+NAMES = ("block", "digest", "kept", "_row", "id", "component", "part", "text_hash", "payload")
+
+
+def written(spark, folder, rows, labels):
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in NAMES)
+    table = [(i, text, lang, source, n, *NAMES) for i, text, lang, source, n in rows]
+    spark.createDataFrame(table, columns).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_odd_documents(spark, tmp_path):
+    draw = random.Random(3)
+    words = ["".join(draw.choice("etaoinsh") for _ in range(draw.randint(2, 7))) for _ in range(200)]
+    prose = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    base = prose(120)
+    rows = [(i, prose(80), "en", f"s{i % 3}", 1) for i in range(40)]
+    big = 2**60
+    rows += [
+        (big + 1, base, "en", None, None), (big + 3, f"{base} more", "en", None, 2), (None, prose(90), "en", "s1", 3), (big + 5, prose(60_000), "en", "s2", 4),
+        (101, None, "en", "s0", 0), (102, "", None, "s0", 0), (103, " \n", "en", None, 0), (7, rows[7][1], "en", "s1", 1), rows[8], (104, "zq#7 %x kv!" * 40, "en", "s0", 1),
+    ]
+    folder = written(spark, tmp_path / "in", rows, [(i, 1, 0) for i in range(40)] + [(None, 1, 0), (5, None, None)])
+    got = corpus_pipeline.run(spark, folder).collect()
+    ids = {r.doc_id for r in got}
+    assert {101, 102, 103, 104}.isdisjoint(ids) and big + 3 not in ids
+    kept = [i for i in (*range(40), big + 1, big + 5, None) if i in ids]
+    # the mix may pass over a document, but takes most, and none more than three times
+    assert len(kept) > 30 and max(Counter(r.doc_id for r in got).values()) <= 3
+    texts = {(i, text) for i, text, *_ in rows}
+    assert all((r.doc_id, r.text) in texts and tuple(r[n] for n in NAMES) == NAMES for r in got)
+    assert {r.n_chars for r in got if r.doc_id == big + 1} <= {None}
+
+
+def test_nothing_and_clashes(spark, tmp_path):
+    empty = written(spark, tmp_path / "none", [], [])
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    docs = spark.createDataFrame([(1, "a b", "x")], "doc_id bigint, text string, tokens string")
+    with pytest.raises(ValueError, match="tokens"):
+        corpus_pipeline.encode_pieces(spark, docs, "")

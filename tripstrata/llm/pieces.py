@@ -11,7 +11,8 @@ made for merges. Ties go to the longer last piece. Characters without a piece be
 
 Defined cases: a NULL text has NULL tokens and an empty text none; a literal mark (U+2581) is
 read as a blank, as SentencePiece itself does; very long words and texts are searched whole;
-an empty input gives an empty result.
+all other columns come through as they are; a new column's name that the input has already is a
+ValueError; an empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripstrata.llm.textblocks import Places, slices
+from tripstrata.llm.textblocks import Places
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -163,22 +165,41 @@ def encode(
         raise ValueError(f"{sorted(clash)} are columns already")
     schema = T.StructType([*docs.schema.fields, *new])
     held = vocabulary.piece_bytes() if restored_col else None
+    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         viterbi = SharedViterbi(vocabulary)
         for batch in batches:
-            for part in slices(batch, text_col, SLICE_CHARS):
-                known = part[text_col].notna().to_numpy()
-                texts = part[text_col][known].tolist()
-                ids = encode_slice(texts, viterbi)
-                place = np.cumsum(known) - 1
-                added = {token_col: [ids[i] if k else None for i, k in zip(place, known, strict=True)]}
+            for part in slices(batch, at, SLICE_CHARS):
+                column = part.column(at).to_pylist()
+                texts = [text for text in column if text is not None]
+                ids = iter(encode_slice(texts, viterbi))
+                found = [None if text is None else next(ids) for text in column]
+                added = [token_lists(found)]
                 if restored_col:
-                    same = [text_of(one, held) == text.replace(MARK, " ") for one, text in zip(ids, texts, strict=True)]
-                    added[restored_col] = [same[i] if k else None for i, k in zip(place, known, strict=True)]
-                yield part.assign(**added)
+                    same = [None if one is None else text_of(one, held) == text.replace(MARK, " ") for one, text in zip(found, column, strict=True)]
+                    added.append(pa.array(same, pa.bool_()))
+                # the other columns pass as they are, so that no id becomes a double
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=schema.fieldNames())
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of about ``most`` bytes; a longer text is a slice of its own."""
+    sizes = np.array([len(text.as_buffer()) if text.is_valid else 0 for text in batch.column(column)], np.int64)
+    group = np.cumsum(sizes) // most
+    starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+    for begin, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        yield batch.slice(begin, end - begin)
+
+
+def token_lists(found: list[np.ndarray | None]) -> pa.Array:
+    missing = np.array([one is None for one in found], bool)
+    sizes = [0 if one is None else len(one) for one in found]
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    values = np.concatenate([np.empty(0, np.int32), *[one for one in found if one is not None]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(missing))
 
 
 def text_of(ids: np.ndarray, held: list[bytes]) -> str:

@@ -34,14 +34,6 @@ class Places(dict):
         return place
 
 
-def slices(batch: pd.DataFrame, column: str, most: int) -> Iterator[pd.DataFrame]:
-    """Consecutive rows of about ``most`` characters; a longer text is a slice of its own."""
-    sizes = batch[column].map(lambda t: len(t) if isinstance(t, str) else 0).to_numpy()
-    group = np.cumsum(sizes) // most
-    for number in np.unique(group):
-        yield batch[group == number]
-
-
 def _planes(values: np.ndarray) -> bytes:
     """Bytes of equal weight side by side, which compress better."""
     return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
