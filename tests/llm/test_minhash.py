@@ -81,3 +81,18 @@ def test_one_of_each_keeps_columns(spark):
 def test_pruning_grows_with_evidence(size, seen):
     wanted = minhash.least_matches(minhash.NearDup(size=size, batch=seen))
     assert wanted == sorted(wanted) and 0 < wanted[0] < 12
+
+
+def test_large_ids_beside_nulls(spark):
+    texts = near_copies(3, 4, 80, 3)
+    rows = [(2**60 + 1, texts[0]), (2**60 + 3, texts[1]), (None, texts[2]), (2**60 + 5, "quite another text of its own")]
+    docs = spark.createDataFrame([(*row, "x") for row in rows], SCHEMA).coalesce(1)
+    got = sorted((tuple(r) for r in minhash.near_duplicates(docs).select("id", "n_shingles", "component_id").collect()), key=repr)
+    assert got == brute_force(rows)
+    assert {r.doc_id for r in minhash.one_of_each(docs).collect()} == {r[2] for r in got}
+
+
+def test_blocks_are_bounded_in_shingles(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
+    rows = list(enumerate(near_copies(8, 40, 150, 12) + near_copies(9, 20, 90, 8)))
+    assert found(spark, rows) == brute_force(rows)

@@ -25,8 +25,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripstrata.llm.base import keep_one, staged
@@ -35,6 +36,8 @@ from tripstrata.llm.components import components
 from tripstrata.llm.shingles import MinHash, WordHashes, band_keys, shingle_set
 
 BLOCK = 1024
+# shingles of the sets of a block together, 8 bytes apiece
+BLOCK_SHINGLES = 2_000_000
 BATCH_ROWS = 256
 
 
@@ -72,24 +75,24 @@ def text_facts(docs: DataFrame, plan: NearDup, id_col: str, text_col: str) -> Da
     """``(id, text_hash, n_shingles, node, signature)``; node is a 128-bit key of the set, NULL for the empty one."""
     id_type = dict(docs.dtypes)[id_col]
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         hashes, minhash = WordHashes(), MinHash(plan.size)
         for batch in batches:
-            for at in range(0, len(batch), BATCH_ROWS):
-                part = batch.iloc[at : at + BATCH_ROWS]
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
                 sizes, nodes, signatures = [], [], []
-                for text in part.text:
-                    shingles = shingle_set(hashes.of(text or ""), plan.shingle)
+                for text in part.column(2):
+                    shingles = shingle_set(hashes.of(text.as_py() or b""), plan.shingle)
                     sizes.append(len(shingles))
                     nodes.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
                     signatures.append(minhash.of(shingles).tobytes() if len(shingles) else None)
-                yield pd.DataFrame({"id": part.id, "text_hash": part.text_hash, "n_shingles": sizes, "node": nodes, "signature": signatures})
+                # ids pass as they are: as numbers with NULLs among them they would become doubles
+                made = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(signatures, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["id", "text_hash", "n_shingles", "node", "signature"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    return rows.mapInPandas(
-        scan, f"id {id_type}, text_hash bigint, n_shingles bigint, node binary, signature binary"
-    )
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(scan, f"id {id_type}, text_hash bigint, n_shingles bigint, node binary, signature binary")
 
 
 def banded(nodes: DataFrame, plan: NearDup) -> DataFrame:
@@ -163,19 +166,19 @@ def verify(found: DataFrame, nodes: DataFrame, docs: DataFrame, plan: NearDup, i
     needed = found.where("needs is not null").select("block", F.explode(keys).alias("node"))
     wanted = needed.select("node").distinct().join(nodes.select("node", "id"), "node")
     wanted = staged(wanted, "wanted-sets")
-    id_type = dict(docs.dtypes)[id_col]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         hashes = WordHashes()
         for batch in batches:
-            for at in range(0, len(batch), BATCH_ROWS):
-                sets = [shingle_set(hashes.of(text or ""), plan.shingle).tobytes() for text in batch.text.iloc[at : at + BATCH_ROWS]]
-                yield pd.DataFrame({"node": [xxhash.xxh3_128_digest(s) for s in sets], "payload": sets})
-
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("d")
-    some = texts.join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")), "left_semi").select(F.col("id").cast(id_type), "text")
-    sets = staged(some.mapInPandas(cut, "node binary, payload binary").join(wanted.select("node"), "node", "left_semi"), "sets")
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                sets = [shingle_set(hashes.of(text.as_py() or b""), plan.shingle).tobytes() for text in batch.column(0).slice(at, BATCH_ROWS)]
+                keys = [xxhash.xxh3_128_digest(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["node", "payload"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).alias("d")
+    some = texts.join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")), "left_semi").select("text")
+    sets = staged(some.mapInArrow(cut, "node binary, payload binary").join(wanted.select("node"), "node", "left_semi"), "sets")
     sets = sets.dropDuplicates(["node"])
 
     def exact(block: pd.DataFrame) -> pd.DataFrame | None:
@@ -201,15 +204,20 @@ def verify(found: DataFrame, nodes: DataFrame, docs: DataFrame, plan: NearDup, i
     return by_block(rows, ["kind"], exact, "a binary, b binary")
 
 
-def hub_blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parts_of(count, shingles) -> Column:
+    """Into how many blocks so many members go, with so many shingles: blocks are bounded in rows and in bytes."""
+    return F.ceil(F.greatest(count / BLOCK, shingles / BLOCK_SHINGLES, F.lit(1)))
+
+
+def hub_blocks(members: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The buckets of several members, and blocks that pair each member with the one that has most meetings."""
     sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
     sized = staged(members.join(sizes.where("n > 1"), ["band", "key"]), "buckets")
     meets = sized.groupBy("node").agg(F.sum("n").alias("meets"))
     hubs = sized.join(meets, "node").groupBy("band", "key").agg(F.max(F.struct("meets", "node")).alias("hub"))
     pairs = sized.join(hubs.select("band", "key", F.col("hub.node").alias("hub")), ["band", "key"]).where("node <> hub").select("hub", "node").distinct()
-    pairs = staged(pairs, "hub-pairs")
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    pairs = staged(pairs.join(nodes.select("node", "n_shingles"), "node"), "hub-pairs")
+    parts = pairs.groupBy("hub").agg(parts_of(F.count(F.lit(1)), F.sum("n_shingles")).alias("parts"))
     salted = pairs.join(parts, "hub").select("hub", "node", F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
     plain = [F.lit(None).cast("int").alias("band"), F.lit(False).alias("outside")]
     left = salted.select("block", F.col("hub").alias("node")).distinct().select("block", F.lit(True).alias("left"), "node", F.lit(b"l").alias("component"), *plain)
@@ -217,14 +225,19 @@ def hub_blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sized, left.unionByName(right)
 
 
-def rest_blocks(sized: DataFrame, labels: DataFrame) -> DataFrame:
+def rest_blocks(sized: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Members of a bucket in different components, in blocks: all outside the largest one against all."""
     marked = sized.where("n > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counts = marked.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("c"))
+    marked = marked.join(nodes.select("node", "n_shingles"), "node")
+    counts = marked.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("s"))
     buckets = counts.groupBy("band", "key").agg(
-        F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds")
+        F.max(F.struct("c", "component", "s")).alias("top"), F.sum("c").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("kinds")
     ).where("kinds > 1").select(
-        "band", "key", F.col("top.component").alias("largest"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).alias("lefts"), F.ceil(F.col("n") / BLOCK).alias("rights")
+        "band",
+        "key",
+        F.col("top.component").alias("largest"),
+        parts_of(F.col("n") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("lefts"),
+        parts_of(F.col("n"), F.col("s")).alias("rights"),
     )
     rows = staged(marked.select("band", "key", "node", "component").join(buckets, ["band", "key"]), "mixed-buckets")
     rows = rows.withColumn("outside", F.col("component") != F.col("largest"))
@@ -240,13 +253,13 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup(), id_col: str = "d
     """``(id, text_hash, n_shingles, node, component, component_id)`` per row; ``component_id`` is the smallest id of its component."""
     facts = staged(text_facts(docs, plan, id_col, text_col), "signatures")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))
-    grouped = facts.where("node is not null").groupBy("node").agg(first.alias("f"), F.max("signature").alias("signature"))
-    nodes = staged(grouped.select("node", F.col("f.id").alias("id"), "signature"), "nodes")
-    sized, blocks = hub_blocks(banded(nodes, plan))
+    grouped = facts.where("node is not null").groupBy("node").agg(first.alias("f"), F.max("signature").alias("signature"), F.max("n_shingles").alias("n_shingles"))
+    nodes = staged(grouped.select("node", F.col("f.id").alias("id"), "signature", "n_shingles"), "nodes")
+    sized, blocks = hub_blocks(banded(nodes, plan), nodes)
     near = staged(plausible(blocks, nodes, plan), "plausible")
     links = staged(verify(near, nodes, docs, plan, id_col, text_col), "links")
     labels = components(links, "a", "b")
-    more = staged(plausible(rest_blocks(sized, labels), nodes, plan), "plausible")
+    more = staged(plausible(rest_blocks(sized, labels, nodes), nodes, plan), "plausible")
     late = staged(verify(more, nodes, docs, plan, id_col, text_col), "links")
     if not late.isEmpty():
         labels = components(links.unionByName(late), "a", "b")

@@ -21,9 +21,9 @@ class WordHashes(dict):
             self[word] = value
         return value
 
-    def of(self, text: str) -> np.ndarray:
+    def of(self, text: bytes) -> np.ndarray:
         """Hashes of the words of ``text``, A-Z in lower case (bytes know no other case or space)."""
-        words = text.encode().lower().split()
+        words = text.lower().split()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
