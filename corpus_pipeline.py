@@ -1,4 +1,11 @@
-"""From raw documents to training tokens: five operators in order, each on what the one before kept."""
+"""From raw documents to training tokens: five operators in order, each on what the one before kept.
+
+Defined cases: documents with a NULL or blank text go with the classifier; a NULL id is an id like
+others, and NULL languages and sources are ones of their own; of rows with equal texts one
+stays, also of equal rows; texts of any length are worked on whole; all columns of ``documents``,
+whatever their names, come through as they are up to the last stage, which adds ``tokens`` and raises
+a ValueError where that is a column already; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
