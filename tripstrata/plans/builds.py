@@ -87,8 +87,10 @@ def refresh_state(warehouse: Warehouse, layer: str, full: bool = False) -> list[
         fresh = STATES[layer](warehouse.read("clean", batches=changed))
         others = warehouse.read(layer).where(~F.col("batch_id").isin([*changed, *gone]))
         fields = LAYERS[layer].schema.fieldNames()
-        rows = others.select(*fields).unionByName(fresh.select(*fields)) if set(before) - {*changed, *gone} else fresh
-        warehouse.publish(layer, rows.hint("rebalance"), ALL, built={b: {"of": version} for b, version in versions.items()})
+        # what an aggregate leaves is coalesced already; copied rows are brought together with it
+        copied = set(before) - {*changed, *gone}
+        rows = others.select(*fields).unionByName(fresh.select(*fields)).hint("rebalance") if copied else fresh
+        warehouse.publish(layer, rows, ALL, built={b: {"of": version} for b, version in versions.items()})
     return changed
 
 
@@ -108,7 +110,7 @@ def build_mart(warehouse: Warehouse, name: str, window: MartWindow | None) -> li
 def _write_mart(warehouse: Warehouse, name: str, window: MartWindow | None) -> list[str]:
     state = warehouse.read(FROM_STATE[name][0])
     if window is None or not warehouse.exists(name):
-        warehouse.publish_whole(name, mart_of_state(name, state).hint("rebalance"))
+        warehouse.publish_whole(name, mart_of_state(name, state))
         return _months(warehouse.read(name))
     fresh = mart_of_state(name, state.where(state_months(name).isin(window.months)))
     fields = LAYERS[name].schema.fieldNames()
