@@ -23,29 +23,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+BATCH_ROWS = 1000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: str = BATCH_ROWS) -> Iterator[None]:
-    """Arrow batches of few rows meanwhile: rows here are texts, sets and vectors, and workers must stay small."""
-    before = spark.conf.get(BATCH_CONF)
-    spark.conf.set(BATCH_CONF, rows)
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int | None = None) -> Iterator[None]:
+    """Arrow batches of few rows, and of few bytes where given, meanwhile: rows here are texts, sets and vectors, and workers must stay small."""
+    wanted = {BATCH_CONF: str(rows)} | ({BYTES_CONF: f"{size}b"} if size else {})
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(BATCH_CONF, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
-def staged(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+def staged(df: DataFrame, label: str, batch_rows: int = BATCH_ROWS, batch_bytes: int | None = None) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back.
 
     Cuts the lineage: what reads it survives lost executors without redoing the work. ``batch_rows``
-    is the size of the Arrow batches Python workers get meanwhile; few unless rows are known to be short.
+    and ``batch_bytes`` bound the Arrow batches Python workers get meanwhile, which both sides hold
+    outside the heap; rows are few unless they are known to be short.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark, label)}/rows"
-    with small_batches(spark, str(batch_rows) if batch_rows else BATCH_ROWS):
+    with small_batches(spark, batch_rows, batch_bytes):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

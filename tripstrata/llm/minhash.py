@@ -39,6 +39,7 @@ BLOCK = 1024
 # shingles of the sets of a block together, 8 bytes apiece
 BLOCK_SHINGLES = 2_000_000
 BATCH_ROWS = 256
+BATCH_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -170,15 +171,25 @@ def verify(found: DataFrame, nodes: DataFrame, docs: DataFrame, plan: NearDup, i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         hashes = WordHashes()
+
+        def made(sets: list[bytes]) -> pa.RecordBatch:
+            keys = [xxhash.xxh3_128_digest(s) for s in sets]
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["node", "payload"])
+
+        sets, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                sets = [shingle_set(hashes.of(text.as_py() or b""), plan.shingle).tobytes() for text in batch.column(0).slice(at, BATCH_ROWS)]
-                keys = [xxhash.xxh3_128_digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["node", "payload"])
+            for text in batch.column(0):
+                sets.append(shingle_set(hashes.of(text.as_py() or b""), plan.shingle).tobytes())
+                size += len(sets[-1])
+                if size >= BATCH_BYTES or len(sets) >= BATCH_ROWS:
+                    yield made(sets)
+                    sets, size = [], 0
+        if sets:
+            yield made(sets)
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).alias("d")
     some = texts.join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")), "left_semi").select("text")
-    sets = staged(some.mapInArrow(cut, "node binary, payload binary").join(wanted.select("node"), "node", "left_semi"), "sets")
+    sets = staged(some.mapInArrow(cut, "node binary, payload binary").join(wanted.select("node"), "node", "left_semi"), "sets", batch_bytes=BATCH_BYTES)
     sets = sets.dropDuplicates(["node"])
 
     def exact(block: pd.DataFrame) -> pd.DataFrame | None:
@@ -251,7 +262,7 @@ def rest_blocks(sized: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFr
 
 def near_duplicates(docs: DataFrame, plan: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, text_hash, n_shingles, node, component, component_id)`` per row; ``component_id`` is the smallest id of its component."""
-    facts = staged(text_facts(docs, plan, id_col, text_col), "signatures")
+    facts = staged(text_facts(docs, plan, id_col, text_col), "signatures", batch_bytes=BATCH_BYTES)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))
     grouped = facts.where("node is not null").groupBy("node").agg(first.alias("f"), F.max("signature").alias("signature"), F.max("n_shingles").alias("n_shingles"))
     nodes = staged(grouped.select("node", F.col("f.id").alias("id"), "signature", "n_shingles"), "nodes")
