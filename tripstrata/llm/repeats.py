@@ -117,9 +117,11 @@ class Anchors:
         real = at >= 0
         at, first, last = at[real], first[real], last[real]
         core = _spans(hashes, at, length - STARTS + 1, np.full(len(at), 1, np.uint64))
-        reach = ((at - first) << 8 | (last - first)).astype(np.uint64)
-        whole = _spans(hashes, last, length, _spans(hashes, first, length, mixed(reach)))
-        return at + shift, first + shift, last + shift, core, mixed(core * _ODD[0] + whole)
+        # the wings have fewer than 32 bytes: two grams from the first start on, and two up to the last end, cover them
+        whole = mixed(core * _ODD[0] + ((at - first) << 8 | (last - first)).astype(np.uint64))
+        for place in (first, first + GRAM, last + length - 2 * GRAM, last + length - GRAM):
+            whole = mixed(whole * _ODD[0] + hashes[place])
+        return at + shift, first + shift, last + shift, core, whole
 
 
 class Distinct:
