@@ -267,3 +267,24 @@ def test_components(spark):
 def test_bytes_split_at_the_same_places():
     text = "a\x1cb\x0bc\x0cd\r\n\te  f\x85g h"
     assert [w.decode() for w in text.encode().split()] == re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+# ---------------------------------------------------------------- staging
+
+
+def test_only_the_result_stays(spark):
+    from tripstrata.llm.base import condensed, staged
+    from tripstrata.storage.files import Files
+
+    folders = []
+
+    def make():
+        one = staged(spark.range(10), "one")
+        two = condensed(lambda: staged(one.where("id > 2"), "inner").where("id > 4"), "two")
+        folders.extend(f.rsplit("/", 2)[0] for f in (one.inputFiles()[0], two.inputFiles()[0]))
+        return two.selectExpr("id + 1 as id")
+
+    result = condensed(make, "result")
+    assert sorted(r.id for r in result.collect()) == [6, 7, 8, 9, 10]
+    assert [Files(spark).exists(f) for f in folders] == [False, False]
+    assert Files(spark).exists(result.inputFiles()[0].rsplit("/", 2)[0])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
@@ -50,10 +50,30 @@ def staged(df: DataFrame, label: str, batch_rows: int = BATCH_ROWS, batch_bytes:
     outside the heap; rows are few unless they are known to be short.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark, label)}/rows"
+    folder = scratch_dir(spark, label)
     with small_batches(spark, batch_rows, batch_bytes):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        df.write.parquet(f"{folder}/rows")
+    if _STEPS:
+        _STEPS[-1].append(folder)
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
+# folders that were staged within each open ``condensed``
+_STEPS: list[list[str]] = []
+
+
+def condensed(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The staged result of ``make``; what was staged on the way to it is removed."""
+    _STEPS.append([])
+    try:
+        result = staged(make(), label)
+    finally:
+        folders = _STEPS.pop()
+    for folder in folders[:-1]:
+        Files(result.sparkSession).delete(folder)
+    if _STEPS:
+        _STEPS[-1].append(folders[-1])
+    return result
 
 
 def discard(*frames: DataFrame) -> None:

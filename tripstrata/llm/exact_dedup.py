@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.llm.base import SPACES, keep_one, staged
+from tripstrata.llm.base import SPACES, condensed, keep_one, staged
 
 INDEX_SCHEMA = "digest binary, keep_id {id}, chars int, batch string"
 
@@ -110,6 +110,6 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 def new_rows(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, whose text the index did not have; one per text."""
-    marks = staged(deduplicate(docs, index, id_col, text_col, batch).select("id", "digest", "kept"), "digest-marks")
+    marks = condensed(lambda: deduplicate(docs, index, id_col, text_col, batch).select("id", "digest", "kept"), "digest-marks")
     # rows with the winner's id and digest but another spacing are marked too: one of them stays
     return keep_one(docs, marks, {"id": F.col(id_col), "digest": text_digest(F.col(text_col))})

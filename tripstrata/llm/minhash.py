@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripstrata.llm.base import keep_one, staged
+from tripstrata.llm.base import condensed, keep_one, staged
 from tripstrata.llm.blocks import by_block
 from tripstrata.llm.components import components
 from tripstrata.llm.shingles import MinHash, WordHashes, band_keys, shingle_set
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup(), id_col: str = "d
 
 def one_of_each(docs: DataFrame, plan: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of which one per component stays: the smallest id's."""
-    found = staged(near_duplicates(docs, plan, id_col, text_col).select("id", "text_hash", "component"), "near-duplicates")
+    found = condensed(lambda: near_duplicates(docs, plan, id_col, text_col).select("id", "text_hash", "component"), "near-duplicates")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
     first = found.where("component is not null").groupBy("component").agg(F.min(order).alias("first"))
     own = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")

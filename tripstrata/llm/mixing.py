@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripstrata.llm.base import WORD, staged
+from tripstrata.llm.base import WORD, condensed, staged
 
 GOLDEN = 0.6180339887498949
 GRID = 4096
@@ -164,7 +164,7 @@ def mixed_rows(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id
 
     Ids name rows here: rows that share an id share the smallest number of copies among them.
     """
-    copies = mix(docs, plan, id_col, text_col, source_col).groupBy("id").agg(F.min("copies").cast("int").alias("copies"))
+    copies = condensed(lambda: mix(docs, plan, id_col, text_col, source_col).groupBy("id").agg(F.min("copies").cast("int").alias("copies")), "mix-copies")
     inner = docs.select(F.struct("*").alias("row")).alias("d")
     joined = inner.join(copies.alias("c"), F.col(f"d.row.{id_col}").eqNullSafe(F.col("c.id")))
     return joined.where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_n")).select("row.*")

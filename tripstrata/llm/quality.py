@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tripstrata.llm.base import discard, small_batches, staged
+from tripstrata.llm.base import condensed, discard, small_batches, staged
 from tripstrata.session import scratch_dir
 from tripstrata.storage.files import Files
 
@@ -400,7 +400,8 @@ def classify(docs: DataFrame, labels: DataFrame, plan: Quality = Quality(), id_c
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     sample = training_sample(rows, labels.where(F.col("id").isNotNull()), plan)
-    found = perplexities(docs, sample.where("trained").select("id", "lang"), plan, id_col, text_col, lang_col)
+    training = sample.where("trained").select("id", "lang")
+    found = condensed(lambda: perplexities(docs, training, plan, id_col, text_col, lang_col), "perplexities")
     # all trusted documents: those the model does not know, or where a language has none of these, those it does
     spare = plan.allowance / F.greatest("n_chars", F.lit(1))
     own = F.col("flow") - spare
