@@ -8,15 +8,15 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripstrata.operators.batches import load_frame
+from tripstrata.operators.batches import load_source
 from tripstrata.operators.staging import clean_trips, stage
 from tripstrata.plans.builds import build_clean, build_marts, build_quarantine
-from tripstrata.session import scratch_dir
+from tripstrata.session import scratch_dir, settings
 from tripstrata.sources.tables import event_trips, line_trips, line_trips_yearly, nation_zones
 from tripstrata.sources.trips import raw_from_batched
 from tripstrata.sources.zones import load_zones
 from tripstrata.storage.files import Files
-from tripstrata.storage.warehouse import ALL, Warehouse
+from tripstrata.storage.warehouse import ALL, Warehouse, side_by_side
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,7 +70,7 @@ def built_warehouse(spark: SparkSession, sf_dir: str, kind: str = "yr") -> Wareh
     if key not in _built:
         warehouse = new_warehouse(spark, f"built-{kind}")
         load_zones(warehouse, nation_zones(spark, sf_dir))
-        load_frame(warehouse, raw(spark, sf_dir, kind), ALL)
+        load_source(warehouse, SOURCES[kind](spark, sf_dir), LOADED_AT, ALL)
         build_clean(warehouse)
         build_quarantine(warehouse)
         build_marts(warehouse, full=True)
@@ -81,7 +81,8 @@ def built_warehouse(spark: SparkSession, sf_dir: str, kind: str = "yr") -> Wareh
 def month_files(spark: SparkSession, sf_dir: str, kind: str) -> dict[str, str]:
     """Source-shaped trip files, one folder per batch, written by one job."""
     root = scratch_dir(spark, f"files-{kind}")
-    SOURCES[kind](spark, sf_dir).write.mode("overwrite").partitionBy("batch_id").parquet(root)
+    with settings(spark, side_by_side()):
+        SOURCES[kind](spark, sf_dir).write.mode("overwrite").partitionBy("batch_id").parquet(root)
     names = Files(spark).folders(root)
     return {name.split("=", 1)[1]: f"{root}/{name}" for name in names}
 

@@ -23,12 +23,10 @@ from tripstrata.catalogue.base import (
 )
 from tripstrata.catalogue.relations import IS_CHANGED, stale_clean
 from tripstrata.functions.temporal import ts_literal
-from tripstrata.operators.batches import batch_list, changed_batches, delete_batch, load_frame, load_months, trips_of
+from tripstrata.operators.batches import batch_list, changed_batches, delete_batch, load_months, load_source, trips_of
 from tripstrata.operators.windows import month_window, window_bounds
 from tripstrata.plans.builds import build_clean, build_mart, build_marts, build_quarantine, row_counts
 from tripstrata.plans.run import run_all
-from tripstrata.schemas import AMOUNT
-from tripstrata.sources.trips import raw_from_batched
 from tripstrata.storage.warehouse import ALL, Warehouse
 
 _LATER = LOADED_AT + timedelta(days=1)
@@ -61,7 +59,7 @@ def b01(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def b02(spark: SparkSession, sf_dir: str) -> DataFrame:
     warehouse = new_warehouse(spark, "delete")
-    load_frame(warehouse, raw(spark, sf_dir, "yr"), ALL)
+    load_source(warehouse, SOURCES["yr"](spark, sf_dir), LOADED_AT, ALL)
     deleted = delete_batch(warehouse, "1997-01")
     return _count(warehouse.read("raw"), "batch_id").withColumn("deleted", F.lit(deleted).cast("bigint"))
 
@@ -92,7 +90,7 @@ def b04(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the listed batches are built, although all are new."""
     warehouse = new_warehouse(spark, "listed")
-    load_frame(warehouse, raw(spark, sf_dir, "yr"), ALL)
+    load_source(warehouse, SOURCES["yr"](spark, sf_dir), LOADED_AT, ALL)
     build_clean(warehouse, " 1999-01,, 1996-01,2030-01 ")
     return _count(trips_of(warehouse.read("clean"), batch_list([" 1996-01", "1999-01", ""])), "batch_id")
 
@@ -121,10 +119,10 @@ def b07(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b07_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarantine kept up batch by batch while batches arrive and one leaves."""
     warehouse = new_warehouse(spark, "quarantine")
-    rows = raw(spark, sf_dir, "yr")
-    load_frame(warehouse, rows.where(F.col("batch_id") < "1999-01"), ALL)
+    rows = SOURCES["yr"](spark, sf_dir)
+    load_source(warehouse, rows.where(F.col("batch_id") < "1999-01"), LOADED_AT, ALL)
     build_quarantine(warehouse, full=False)
-    load_frame(warehouse, rows.where(F.col("batch_id") > "1995-01"), ALL)
+    load_source(warehouse, rows.where(F.col("batch_id") > "1995-01"), LOADED_AT, ALL)
     build_quarantine(warehouse, full=False)
     return _count(warehouse.read("quarantine"), "batch_id", "reason_code")
 
@@ -138,10 +136,10 @@ def b08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch comes again with three months instead of twelve: the other nine vanish, nothing else moves."""
     warehouse = new_warehouse(spark, "replace")
     rows = SOURCES["yr"](spark, sf_dir)
-    load_frame(warehouse, raw_from_batched(rows, LOADED_AT), ALL)
+    load_source(warehouse, rows, LOADED_AT, ALL)
     build_clean(warehouse)
     shorter = rows.where("batch_id = '1997-01' AND tpep_pickup_datetime < timestamp_ntz'1997-04-01'")
-    load_frame(warehouse, raw_from_batched(shorter, _LATER), ["1997-01"])
+    load_source(warehouse, shorter, _LATER, ["1997-01"])
     build_clean(warehouse)
     return _count(warehouse.read("clean"), "batch_id", "pickup_month")
 
@@ -164,11 +162,11 @@ def b09(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _late_batch(spark: SparkSession, sf_dir: str, mart: str) -> Warehouse:
     """A mart built without the last batch, which then arrives and is picked up by the window."""
     warehouse = new_warehouse(spark, "window")
-    rows = raw(spark, sf_dir, "yr")
-    load_frame(warehouse, rows.where(F.col("batch_id") < "2001-01"), ALL)
+    rows = SOURCES["yr"](spark, sf_dir)
+    load_source(warehouse, rows.where(F.col("batch_id") < "2001-01"), LOADED_AT, ALL)
     build_clean(warehouse)
     build_marts(warehouse, full=True, only=[mart])
-    load_frame(warehouse, rows.where(F.col("batch_id") == "2001-01"), ["2001-01"])
+    load_source(warehouse, rows.where(F.col("batch_id") == "2001-01"), LOADED_AT, ["2001-01"])
     build_clean(warehouse)
     build_marts(warehouse, lookback=2, only=[mart])
     return warehouse
@@ -195,15 +193,15 @@ def b11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b11_emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips of the two newest months of the data turn invalid in a second load; their mart rows go."""
     warehouse = new_warehouse(spark, "emptied")
-    rows = raw(spark, sf_dir, "yr")
-    load_frame(warehouse, rows, ALL)
+    rows = SOURCES["yr"](spark, sf_dir)
+    load_source(warehouse, rows, LOADED_AT, ALL)
     build_clean(warehouse)
     build_marts(warehouse, full=True, only=["hourly_peak"])
-    newest = rows.agg(F.max("tpep_pickup_datetime")).first()[0]
+    newest = warehouse.read("raw").agg(F.max("tpep_pickup_datetime")).first()[0]
     window = month_window(newest, 2)
     late = F.col("tpep_pickup_datetime") >= ts_literal(window.start)
-    refunded = F.when(late, F.lit(-1)).otherwise(F.col("total_amount")).cast(AMOUNT)
-    load_frame(warehouse, rows.withColumn("total_amount", refunded).withColumn("ingested_at", F.lit(_LATER)), ALL)
+    refunded = F.when(late, F.lit(-1)).otherwise(F.col("total_amount"))
+    load_source(warehouse, rows.withColumn("total_amount", refunded), _LATER, ALL)
     build_clean(warehouse)
     build_mart(warehouse, "hourly_peak", window)
     return warehouse.read("hourly_peak").drop("trip_month")

@@ -155,6 +155,14 @@ def load_frame(warehouse: Warehouse, rows: DataFrame, batches: list[str] | str)
     warehouse.publish("raw", rows.hint("rebalance", "batch_id"), batches)
 
 
+def load_source(warehouse: Warehouse, source: DataFrame, moment: datetime, batches: list[str] | str) -> None:
+    """:func:`load_frame` of source rows with a ``batch_id``: they are conformed when a batch's rows are together.
+
+    Raw rows are several times as wide as what most sources have.
+    """
+    warehouse.publish("raw", raw_from_batched(source.hint("rebalance", "batch_id"), moment), batches)
+
+
 def load_months(
     warehouse: Warehouse,
     months: str | Iterable[str],

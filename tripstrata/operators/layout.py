@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tripstrata.functions.temporal import month_key
 from tripstrata.operators.batches import built_from
+from tripstrata.operators.staging import enriched, fingerprinted
 from tripstrata.operators.windows import DEFAULT_MONTH, batch_month_bounds, in_window, months_between
 from tripstrata.schemas import CLEAN, CLEAN_STORED
 from tripstrata.storage.manifest import FileEntry
@@ -86,9 +87,12 @@ def arranged(stored: DataFrame) -> DataFrame:
 
     Each file then covers few days, so a day query skips files and row groups by their
     min/max. Rebalancing lets AQE merge small days and split one that holds far more
-    than its share; no sampling pass over the input is needed.
+    than its share; no sampling pass over the input is needed. A missing folder value is written as
+    an empty one, which is the same folder: columns that are never NULL are in order for the writer
+    as they are, and it does not sort the rows again.
     """
-    by_day = stored.withColumn("_day", F.to_date("pickup_ts")).hint("rebalance", "batch_id", "pickup_month", "_day")
+    named = stored.withColumns({c: F.coalesce(c, F.lit("")) for c in ("batch_id", "pickup_month")})
+    by_day = named.withColumn("_day", F.to_date("pickup_ts")).hint("rebalance", "batch_id", "pickup_month", "_day")
     return by_day.sortWithinPartitions("batch_id", "pickup_month", "pickup_ts").drop("_day")
 
 
@@ -99,11 +103,15 @@ def table_span(warehouse: Warehouse) -> Span:
     return batch_span(batches).plus([m for m in warehouse.second_values("clean") if m != DEFAULT_MONTH])
 
 
-def write_clean(warehouse: Warehouse, clean: DataFrame, span: Span, batches: list[str] | str) -> list[str]:
-    """Replace whole batches, with every month they touched before; the ledger keeps what they were built from."""
+def write_clean(warehouse: Warehouse, valid: DataFrame, span: Span, batches: list[str] | str) -> list[str]:
+    """Replace whole batches, with every month they touched before; the ledger keeps what they were built from.
+
+    ``valid`` are typed trips: derived columns and fingerprints are added when the rows are in place.
+    """
     built = built_from(warehouse, warehouse.batches("raw") if batches == ALL else batches)
     built = {batch: facts | {"span": span.text} for batch, facts in built.items()}
-    return warehouse.publish("clean", arranged(routed(clean, span)), batches, built=built)
+    placed = arranged(valid.withColumn("pickup_month", route_month(span)))
+    return warehouse.publish("clean", fingerprinted(enriched(placed)), batches, built=built)
 
 
 def rehome_default(warehouse: Warehouse, span: Span) -> list[str]:

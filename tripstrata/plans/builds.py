@@ -13,7 +13,7 @@ from tripstrata.operators.batches import batch_list, built_from, stale_batches
 from tripstrata.operators.checks import Policy, evaluate, schema_tests, suite_summary, suites
 from tripstrata.operators.layout import rehome_default, table_span, write_clean
 from tripstrata.operators.marts import FROM_STATE, MARTS, STATES, mart_of_state, state_months
-from tripstrata.operators.staging import clean_trips, quarantined_trips, stage
+from tripstrata.operators.staging import quarantined_by_batch, stage, typed, valid_trips
 from tripstrata.operators.windows import DEFAULT_LOOKBACK, MartWindow, in_window, mart_window
 from tripstrata.schemas import LAYERS, STAGE_RELATION
 from tripstrata.storage.manifest import Digest
@@ -46,7 +46,7 @@ def build_clean(warehouse: Warehouse, rebuild: str | Iterable[str] | None = None
     span = table_span(warehouse)
     rehome_default(warehouse, span)
     if batches:
-        rows = clean_trips(staged(warehouse).where(F.col("batch_id").isin(batches)))
+        rows = valid_trips(typed(warehouse.read("raw")).where(F.col("batch_id").isin(batches)))
         write_clean(warehouse, rows, span, batches)
     return batches
 
@@ -58,15 +58,14 @@ def build_quarantine(warehouse: Warehouse, full: bool = True) -> list[str]:
     same: it redoes each batch that was not seen, was loaded later or was built by other rules,
     and drops batches that left raw.
     """
-    # few rows of each input task end up here: bring a batch's rows together, or every task leaves a small file
-    rows = quarantined_trips(staged(warehouse)).hint("rebalance", "batch_id")
+    trips = typed(warehouse.read("raw"))
     if full:
-        warehouse.publish("quarantine", rows, ALL, built=built_from(warehouse, warehouse.batches("raw")))
+        warehouse.publish("quarantine", quarantined_by_batch(trips), ALL, built=built_from(warehouse, warehouse.batches("raw")))
         return warehouse.values("raw")
     gone = set(warehouse.batches("quarantine")) - set(warehouse.batches("raw"))
     redo = sorted({*stale_batches(warehouse, "quarantine"), *gone})
     if redo:
-        warehouse.publish("quarantine", rows.where(F.col("batch_id").isin(redo)), redo, built=built_from(warehouse, redo))
+        warehouse.publish("quarantine", quarantined_by_batch(trips.where(F.col("batch_id").isin(redo))), redo, built=built_from(warehouse, redo))
     return redo
 
 

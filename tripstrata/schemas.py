@@ -183,12 +183,13 @@ RUN_DOCUMENT = _struct(
 
 @dataclass(frozen=True)
 class Layer:
-    """A stored table: its relation name, schema, directory partition columns and the time its files are chosen by."""
+    """A stored table: its relation name, schema, directory partition columns, the time its files are chosen by, and are rows sorted within files?"""
 
     relation: str
     schema: T.StructType
     partition_by: tuple[str, ...] = ()
     time: str | None = None
+    ordered: bool = False
 
 
 # The relation names queries use.
@@ -196,7 +197,7 @@ LAYERS = {
     "raw": Layer("raw.yellow_trips", RAW, ("batch_id",), "tpep_pickup_datetime"),
     "zones": Layer("raw.taxi_zone_lookup", ZONES),
     "ingest_errors": Layer("raw.ingest_errors", INGEST_ERRORS, ("batch_id",)),
-    "clean": Layer("clean.clean_yellow_trips", CLEAN_STORED, ("batch_id", "pickup_month"), "pickup_ts"),
+    "clean": Layer("clean.clean_yellow_trips", CLEAN_STORED, ("batch_id", "pickup_month"), "pickup_ts", ordered=True),
     "quarantine": Layer("quarantine.quarantine_yellow_trips", QUARANTINE, ("batch_id",), "pickup_ts"),
     "daily_revenue": Layer("marts.marts_daily_revenue", DAILY_REVENUE),
     "hourly_peak": Layer("marts.marts_hourly_peak", HOURLY_PEAK),

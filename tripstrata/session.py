@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -46,6 +49,28 @@ def build_session(
     return builder.getOrCreate()
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: Mapping[str, str]) -> Iterator[None]:
+    """The session with these settings meanwhile."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+_UNITS = {"": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}
+
+
+def size_in_bytes(text: str) -> int:
+    """A size as Spark's settings write it."""
+    number, unit = re.fullmatch(r"\s*([0-9]+)\s*([kmgtp]?)i?b?\s*", text.lower()).groups()
+    return int(number) << _UNITS[unit]
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared checkpoint folder, removed when the JVM ends.
 
