@@ -7,8 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripstrata.catalogue.base import built_warehouse, clean, new_warehouse, query, raw, sql
-from tripstrata.operators.batches import load_frame
+from tripstrata.catalogue.base import LOADED_AT, SOURCES, built_warehouse, clean, new_warehouse, query, raw, sql
+from tripstrata.operators.batches import load_source
 from tripstrata.operators.layout import (
     batch_span,
     convert_flat_clean,
@@ -50,11 +50,11 @@ def r02(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Built up to 1998 first: most of that year lies in default until later batches give its months ranges."""
     warehouse = new_warehouse(spark, "rehome")
-    rows = raw(spark, sf_dir, "yr")
-    load_frame(warehouse, rows.where(F.col("batch_id") <= "1998-01"), ALL)
+    rows = SOURCES["yr"](spark, sf_dir)
+    load_source(warehouse, rows.where(F.col("batch_id") <= "1998-01"), LOADED_AT, ALL)
     build_clean(warehouse)
     later = rows.where(F.col("batch_id") > "1998-01")
-    load_frame(warehouse, later, [r[0] for r in later.select("batch_id").distinct().collect()])
+    load_source(warehouse, later, LOADED_AT, [r[0] for r in later.select("batch_id").distinct().collect()])
     build_clean(warehouse)
     return warehouse.read("clean").select("batch_id", "pickup_month", "row_fingerprint")
 
@@ -91,6 +91,8 @@ def r06(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("R07_flat_snapshot", sql("yr", "SELECT batch_id, count(*) AS n, count(DISTINCT row_fingerprint) AS fingerprints FROM yr_clean GROUP BY 1"))
 def r07(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = write_flat_snapshot(built_warehouse(spark, sf_dir), f"{scratch_dir(spark, 'flat')}/clean")
+    # a fingerprint is the text of 16 bytes, and these are what the shuffle carries
+    flat = flat.select("batch_id", F.unhex("row_fingerprint").alias("row_fingerprint"))
     counts = F.count(F.lit(1)).alias("n")
     return flat.groupBy("batch_id", "row_fingerprint").agg(counts).groupBy("batch_id").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("fingerprints")
