@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import re
-from datetime import timedelta
+from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 
 from helpers import FIRST_LOAD, raw_trips, source, trip
+from tripstrata.catalogue.base import source_rows
 from tripstrata.operators import layout
-from tripstrata.operators.batches import load_frame, load_source
+from tripstrata.operators.batches import load_files, load_frame, load_source
 from tripstrata.operators.layout import arranged
 from tripstrata.operators.staging import clean_trips, enriched, quarantined_by_batch, quarantined_trips, stage, typed
 from tripstrata.plans.builds import build_clean, build_quarantine
 from tripstrata.session import size_in_bytes
+from tripstrata.sources.tables import line_trips_yearly
+from tripstrata.sources.trips import may_reject, read_by_schema
 from tripstrata.storage import warehouse as storage
 from tripstrata.storage.warehouse import ALL
 
@@ -122,3 +126,44 @@ def test_more_folders_than_open_files(spark, warehouse):
 
 def test_sizes():
     assert [size_in_bytes(x) for x in ("64MB", "256m", "8388608b", "12", "1g", "16k")] == [64 << 20, 256 << 20, 8 << 20, 12, 1 << 30, 16 << 10]
+
+
+def test_trips_are_made_before_lines_meet_orders(spark, sf_dir):
+    above = plan(line_trips_yearly(spark, sf_dir)).split("Join")[0]
+    assert "l_extendedprice" not in above and "l_partkey" not in above
+
+
+def test_rows_for_two_loads_are_joined_once(spark, sf_dir):
+    found = source_rows(spark, sf_dir, "yr")
+    assert "Join" not in plan(found)
+    assert rows(found) == rows(line_trips_yearly(spark, sf_dir))
+
+
+def test_layers_are_written_compact(spark, warehouse):
+    load_source(warehouse, source(spark, TRIPS), FIRST_LOAD, ALL)
+    build_clean(warehouse)
+    names = [name for layer in ("raw", "clean") for name in warehouse.read(layer).inputFiles()]
+    assert names and all(name.endswith(".zstd.parquet") for name in names)
+
+
+def test_types_that_lose_nothing_are_not_watched(spark, warehouse, tmp_path, monkeypatch):
+    columns = "VendorID bigint, tpep_pickup_datetime timestamp_ntz, trip_distance decimal(18,2), tip_amount {}, payment_type {}"
+    row = (1, datetime(2024, 1, 5), Decimal("1.25"))
+    paths = {}
+    for batch, tip, code in (("2024-01", ("decimal(18,2)", Decimal("0.5")), ("int", 2)), ("2024-02", ("double", 0.5), ("double", 2.5)), ("2024-03", ("decimal(38,2)", Decimal(10**30)), ("int", 2))):
+        paths[batch] = f"{tmp_path}/{batch}"
+        spark.createDataFrame([(*row, tip[1], code[1])], columns.format(tip[0], code[0])).write.parquet(paths[batch])
+    frames = {batch: read_by_schema(spark, {batch: path})[0] for batch, path in paths.items()}
+    assert {batch: may_reject(frame) for batch, frame in frames.items()} == {"2024-01": False, "2024-02": True, "2024-03": True}
+    plans, publish = [], type(warehouse).publish
+
+    def watch(self, layer, df, *args, **named):
+        plans.append((layer, plan(df)))
+        return publish(self, layer, df, *args, **named)
+
+    monkeypatch.setattr(type(warehouse), "publish", watch)
+    load_files(warehouse, {"2024-01": paths["2024-01"]})
+    assert "CollectMetrics" not in plans[0][1]
+    found = load_files(warehouse, paths, replace=True)
+    assert {r.batch_id: r.rejected for r in found} == {"2024-01": 0, "2024-02": 1, "2024-03": 1}
+    assert {r.batch_id: r.rows for r in found} == dict.fromkeys(paths, 1)

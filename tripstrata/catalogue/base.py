@@ -16,7 +16,7 @@ from tripstrata.sources.tables import event_trips, line_trips, line_trips_yearly
 from tripstrata.sources.trips import raw_from_batched
 from tripstrata.sources.zones import load_zones
 from tripstrata.storage.files import Files
-from tripstrata.storage.warehouse import ALL, Warehouse, side_by_side
+from tripstrata.storage.warehouse import ALL, CODEC, Warehouse, side_by_side
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,11 +82,19 @@ def month_files(spark: SparkSession, sf_dir: str, kind: str) -> dict[str, str]:
     """Source-shaped trip files, one folder per batch, written by one job."""
     root = scratch_dir(spark, f"files-{kind}")
     with settings(spark, side_by_side()):
-        SOURCES[kind](spark, sf_dir).write.mode("overwrite").partitionBy("batch_id").parquet(root)
+        SOURCES[kind](spark, sf_dir).write.mode("overwrite").options(**CODEC).partitionBy("batch_id").parquet(root)
     names = Files(spark).folders(root)
     return {name.split("=", 1)[1]: f"{root}/{name}" for name in names}
 
 
+def source_rows(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The mapping's trips, joined once and written, for queries that load all of them again."""
+    root = f"{scratch_dir(spark, f'rows-{kind}')}/rows"
+    rows = SOURCES[kind](spark, sf_dir)
+    rows.write.options(**CODEC).parquet(root)
+    return spark.read.schema(rows.schema).parquet(root)
+
+
 def doubles(df: DataFrame) -> DataFrame:
     """Decimals as doubles, the one number type both engines hand over alike."""
     kinds = dict(df.dtypes)

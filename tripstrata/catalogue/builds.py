@@ -18,6 +18,7 @@ from tripstrata.catalogue.base import (
     new_warehouse,
     query,
     raw,
+    source_rows,
     sql,
     staged,
 )
@@ -193,7 +194,7 @@ def b11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b11_emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips of the two newest months of the data turn invalid in a second load; their mart rows go."""
     warehouse = new_warehouse(spark, "emptied")
-    rows = SOURCES["yr"](spark, sf_dir)
+    rows = source_rows(spark, sf_dir, "yr")
     load_source(warehouse, rows, LOADED_AT, ALL)
     build_clean(warehouse)
     build_marts(warehouse, full=True, only=["hourly_peak"])

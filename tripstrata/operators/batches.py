@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tripstrata.rules import rules_print
-from tripstrata.sources.trips import ingest_errors, raw_from_batched, read_by_schema, rejected, run_moment
+from tripstrata.sources.trips import FILE, ingest_errors, may_reject, raw_from_batched, read_by_schema, rejected, run_moment
 from tripstrata.storage.manifest import micros
 from tripstrata.storage.warehouse import Warehouse
 
@@ -115,9 +115,11 @@ def load_files(warehouse: Warehouse, paths: Mapping[str, str], replace: bool = F
     wanted = {batch: path for batch, path in paths.items() if replace or batch not in before}
     if wanted:
         sources = read_by_schema(warehouse.spark, wanted)
-        watched = [(Observation(), source) for source in sources]
-        counted = [source.observe(seen, F.count_if(rejected(source)).alias("rejected")) for seen, source in watched]
-        rows = reduce(DataFrame.unionAll, [raw_from_batched(c, moment) for c in counted])
+        watched = [(Observation(), source) for source in sources if may_reject(source)]
+        # raw rows do not name their file: looking it up for every row is left to the error rows
+        counted = [source.drop(FILE).observe(seen, F.count_if(rejected(source)).alias("rejected")) for seen, source in watched]
+        certain = [source.drop(FILE) for source in sources if not may_reject(source)]
+        rows = reduce(DataFrame.unionAll, [raw_from_batched(c, moment) for c in counted + certain])
 
         def replace_errors() -> None:
             bad = [source for seen, source in watched if seen.get["rejected"]]

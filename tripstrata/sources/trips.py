@@ -134,6 +134,13 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*[_conformed(df, name, spelled.get(name)).alias(name) for name in SOURCE_TYPES])
 
 
+def _always_kept(name: str, kind: T.DataType) -> bool:
+    """Does every value of this type fit the column? Then no row need be looked at."""
+    if name in CODE_COLUMNS:
+        return isinstance(kind, (T.IntegralType, T.BooleanType))
+    return isinstance(kind, T.DecimalType) and kind.scale <= AMOUNT.scale and kind.precision - kind.scale <= AMOUNT.precision - AMOUNT.scale
+
+
 def _lost(df: DataFrame, names: tuple[str, ...], convert) -> Column:
     """Those of ``names`` whose value is present in the source but not kept by ``convert``."""
     spelled = known_columns(df)
@@ -141,6 +148,8 @@ def _lost(df: DataFrame, names: tuple[str, ...], convert) -> Column:
     for name in names:
         if name in spelled:
             value, kind = _source(df, spelled[name])
+            if _always_kept(name, kind):
+                continue
             present = _present(value, kind)
             flags.append(F.when(present.isNotNull() & convert(present, kind).isNull(), F.lit(name)))
     return F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
@@ -156,6 +165,11 @@ def rejected_amounts(df: DataFrame) -> Column:
     return _lost(df, AMOUNT_COLUMNS, _amount)
 
 
+def may_reject(df: DataFrame) -> bool:
+    """Has ``df`` a column of a type whose values may be lost?"""
+    return any(not _always_kept(name, df.schema[spelling].dataType) for name, spelling in known_columns(df).items() if name in CODE_COLUMNS + AMOUNT_COLUMNS)
+
+
 def rejected(df: DataFrame) -> Column:
     """True for source rows that lose a value."""
     return (F.size(rejected_codes(df)) > 0) | (F.size(rejected_amounts(df)) > 0)
