@@ -95,3 +95,12 @@ def test_nothing_and_clashes(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b", "x")], "doc_id bigint, text string, tokens string")
     with pytest.raises(ValueError, match="tokens"):
         corpus_pipeline.encode_pieces(spark, docs, "")
+
+
+@pytest.mark.parametrize("stage", ["exact dedup", "MinHash near-dedup", "mixing sources to target weights"])
+def test_rows_meet_keys_of_any_number_by_a_merge(spark, sf_dir, stage):
+    """A join that broadcasts few keys and shuffles whole texts for many moves more than in proportion as the input grows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = dict(corpus_pipeline.STAGES)[stage](spark, docs, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan

@@ -97,8 +97,8 @@ def keep_one(docs: DataFrame, marks: DataFrame, keys: dict[str, Column]) -> Data
     """The rows of ``docs``, all columns, that ``marks`` keeps; one row of those with equal keys.
 
     ``keys`` are expressions over ``docs``; ``marks`` holds them as columns, and ``kept``, which
-    rows with equal keys share. Only the keys of dropped and of repeated rows are joined, which
-    Spark broadcasts where they are few.
+    rows with equal keys share. Only the keys of dropped and of repeated rows are joined. The dropped
+    grow with the input, so they are merged with the rows at every size and never broadcast.
     """
     names = list(keys)
     dropped = staged(marks.where(~F.col("kept")).select(*names).distinct(), "dropped")
@@ -106,7 +106,7 @@ def keep_one(docs: DataFrame, marks: DataFrame, keys: dict[str, Column]) -> Data
     repeated = staged(repeated.select(*names), "repeated")
     # operators see the rows of ``docs`` as one struct, so that names cannot clash
     inner = docs.select(F.struct("*").alias("_row"), *[value.alias(name) for name, value in keys.items()])
-    left = inner.alias("l").join(dropped.alias("r"), same("l", "r", names), "left_anti")
+    left = inner.alias("l").join(dropped.hint("merge").alias("r"), same("l", "r", names), "left_anti")
     once = left.alias("l").join(repeated.alias("r"), same("l", "r", names), "left_anti")
     again = left.alias("l").join(repeated.alias("r"), same("l", "r", names), "left_semi").dropDuplicates(names)
     return once.unionByName(again).select("_row.*")

@@ -162,9 +162,10 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", text
 def mixed_rows(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
-    Ids name rows here: rows that share an id share the smallest number of copies among them.
+    Ids name rows here: rows that share an id share the smallest number of copies among them. There is
+    one number per id, so they are merged with the rows at every size and never broadcast.
     """
     copies = condensed(lambda: mix(docs, plan, id_col, text_col, source_col).groupBy("id").agg(F.min("copies").cast("int").alias("copies")), "mix-copies")
     inner = docs.select(F.struct("*").alias("row")).alias("d")
-    joined = inner.join(copies.alias("c"), F.col(f"d.row.{id_col}").eqNullSafe(F.col("c.id")))
+    joined = inner.join(copies.hint("merge").alias("c"), F.col(f"d.row.{id_col}").eqNullSafe(F.col("c.id")))
     return joined.where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_n")).select("row.*")

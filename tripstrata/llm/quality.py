@@ -27,6 +27,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -46,7 +47,7 @@ ORDER = 4
 ALPHABET = 65_536
 # different characters that the numbers of a piece tell apart
 MOST_CHARS = 65_536
-PIECE_CHARS = 1_000_000
+PIECE_CHARS = 500_000
 BLOCK_BYTES = 24_000_000
 # rows of ids and languages, some 100 bytes apiece
 MOST_BROADCAST = 1_000_000
@@ -237,9 +238,8 @@ def block_grams(blocks: DataFrame) -> DataFrame:
                     for line in lines:
                         found.update(word_beginnings(line) if trained else dict.fromkeys(opening(line), 0))
                 for lang, found in grams.items():
-                    listed = list(found.items())
-                    for at in range(0, len(listed), 20_000):
-                        some = listed[at : at + 20_000]
+                    left = iter(found.items())
+                    while some := list(islice(left, 20_000)):
                         yield pd.DataFrame({"block": name, "lang": lang, "gram": [g for g, _ in some], "n": [n for _, n in some]})
 
     return blocks.mapInPandas(scan, "block bigint, lang string, gram string, n bigint")
@@ -365,8 +365,9 @@ def perplexities(docs: DataFrame, sample: DataFrame, plan: Quality, id_col: str,
     def combine(block: pa.Table, found: pa.Table) -> pa.Table:
         rows, texts = opened(block.column("payload")[0].as_py())
         known: dict[str, dict[str, float]] = {}
-        for lang, gram, lp in zip(*(found.column(name).to_pylist() for name in ("lang", "gram", "lp")), strict=True):
-            known.setdefault(lang, {})[gram] = lp
+        for some in found.to_batches(max_chunksize=10_000):
+            for lang, gram, lp in zip(*(some.column(name).to_pylist() for name in ("lang", "gram", "lp")), strict=True):
+                known.setdefault(lang, {})[gram] = lp
         words, chars, logs = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.zeros(len(rows))
         for (lang, _), numbers in by_language(rows).items():
             numbers = np.array(numbers)
