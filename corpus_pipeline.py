@@ -15,6 +15,9 @@ from tripstrata.llm import exact_dedup, minhash, mixing, pieces, quality
 from tripstrata.llm.base import staged, table
 from tripstrata.llm.catalogue import new_index
 
+# of texts that are cut into pieces at a time; their ids take about as much again
+BATCH_BYTES = 1 << 20
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
@@ -40,8 +43,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their piece ids, which decode to the text."""
-    return pieces.encode(docs, pieces.Vocabulary.load())
+    """The documents with their piece ids, which decode to the text.
+
+    Written here: left to whoever writes it, the session's Arrow batches of 10,000 rows would be held
+    by the workers and the JVM.
+    """
+    return staged(pieces.encode(docs, pieces.Vocabulary.load()), "pieces", batch_bytes=BATCH_BYTES)
 
 
 STAGES = [

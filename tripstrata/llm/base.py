@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import string
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import reduce
+from functools import reduce, wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +86,31 @@ def discard(*frames: DataFrame) -> None:
             Files(df.sparkSession).delete(folder)
 
 
+def let_go() -> None:
+    """Give what this process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(scan: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``scan``, a task's work in Python, after which its memory goes back to the system.
+
+    Workers wait for the next task beside the JVM, and what they keep counts as the executor's in
+    all later steps, also in those without Python.
+    """
+
+    @wraps(scan)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from scan(batches)
+        finally:
+            let_go()
+
+    return run
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case; every other character unchanged."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tripstrata.llm.base import tidy
+
 
 def by_block(rows: DataFrame, order: list[str], work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
     """``work`` on each block's rows, streamed; blocks are of bounded size by construction."""
@@ -34,4 +36,4 @@ def by_block(rows: DataFrame, order: list[str], work: Callable[[pd.DataFrame], p
             if last is not None and len(last):
                 yield last
 
-    return rows.repartition("block").sortWithinPartitions("block", *order).mapInPandas(scan, schema)
+    return rows.repartition("block").sortWithinPartitions("block", *order).mapInPandas(tidy(scan), schema)

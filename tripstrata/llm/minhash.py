@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripstrata.llm.base import condensed, keep_one, staged
+from tripstrata.llm.base import condensed, keep_one, staged, tidy
 from tripstrata.llm.blocks import by_block
 from tripstrata.llm.components import components
 from tripstrata.llm.shingles import MinHash, WordHashes, band_keys, shingle_set
@@ -93,7 +93,7 @@ def text_facts(docs: DataFrame, plan: NearDup, id_col: str, text_col: str) -> Da
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["id", "text_hash", "n_shingles", "node", "signature"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(scan, f"id {id_type}, text_hash bigint, n_shingles bigint, node binary, signature binary")
+    return rows.mapInArrow(tidy(scan), f"id {id_type}, text_hash bigint, n_shingles bigint, node binary, signature binary")
 
 
 def banded(nodes: DataFrame, plan: NearDup) -> DataFrame:
@@ -108,7 +108,7 @@ def banded(nodes: DataFrame, plan: NearDup) -> DataFrame:
                 keys = band_keys(np.frombuffer(b"".join(part.signature), np.uint32).reshape(len(part), -1), plan.rows)
                 yield pd.DataFrame({"band": np.tile(np.arange(bands, dtype=np.int32), len(part)), "key": keys.ravel(), "node": part.node.repeat(bands)})
 
-    return nodes.select("node", "signature").mapInPandas(scan, "band int, key bigint, node binary")
+    return nodes.select("node", "signature").mapInPandas(tidy(scan), "band int, key bigint, node binary")
 
 
 def plausible(blocks: DataFrame, nodes: DataFrame, plan: NearDup) -> DataFrame:
@@ -189,7 +189,7 @@ def verify(found: DataFrame, nodes: DataFrame, docs: DataFrame, plan: NearDup, i
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).alias("d")
     some = texts.join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")), "left_semi").select("text")
-    sets = staged(some.mapInArrow(cut, "node binary, payload binary").join(wanted.select("node"), "node", "left_semi"), "sets", batch_bytes=BATCH_BYTES)
+    sets = staged(some.mapInArrow(tidy(cut), "node binary, payload binary").join(wanted.select("node"), "node", "left_semi"), "sets", batch_bytes=BATCH_BYTES)
     sets = sets.dropDuplicates(["node"])
 
     def exact(block: pd.DataFrame) -> pd.DataFrame | None:

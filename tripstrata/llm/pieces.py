@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripstrata.llm.base import tidy
 from tripstrata.llm.textblocks import Places
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -182,7 +183,7 @@ def encode(
                 # the other columns pass as they are, so that no id becomes a double
                 yield pa.RecordBatch.from_arrays([*part.columns, *added], names=schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:

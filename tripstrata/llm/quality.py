@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tripstrata.llm.base import condensed, discard, small_batches, staged
+from tripstrata.llm.base import condensed, discard, let_go, small_batches, staged, tidy
 from tripstrata.session import scratch_dir
 from tripstrata.storage.files import Files
 
@@ -206,7 +206,7 @@ def _packed(docs: DataFrame, carried: list[str]) -> DataFrame:
             yield block()
 
     picked = docs.select(*carried, F.col("text").cast("binary").alias("_text"))
-    return picked.mapInArrow(scan, "block bigint, payload binary")
+    return picked.mapInArrow(tidy(scan), "block bigint, payload binary")
 
 
 def opened(payload: bytes) -> tuple[list[tuple], list[bytes]]:
@@ -242,7 +242,7 @@ def block_grams(blocks: DataFrame) -> DataFrame:
                     while some := list(islice(left, 20_000)):
                         yield pd.DataFrame({"block": name, "lang": lang, "gram": [g for g, _ in some], "n": [n for _, n in some]})
 
-    return blocks.mapInPandas(scan, "block bigint, lang string, gram string, n bigint")
+    return blocks.mapInPandas(tidy(scan), "block bigint, lang string, gram string, n bigint")
 
 
 def kind(gram: str) -> Column:
@@ -362,7 +362,7 @@ def perplexities(docs: DataFrame, sample: DataFrame, plan: Quality, id_col: str,
     schema = T.StructType.fromDDL(f"id {id_type}, lang {lang_type}, n_words bigint, n_chars bigint, flow double")
     arrow = to_arrow_schema(schema)
 
-    def combine(block: pa.Table, found: pa.Table) -> pa.Table:
+    def summed(block: pa.Table, found: pa.Table) -> pa.Table:
         rows, texts = opened(block.column("payload")[0].as_py())
         known: dict[str, dict[str, float]] = {}
         for some in found.to_batches(max_chunksize=10_000):
@@ -387,6 +387,12 @@ def perplexities(docs: DataFrame, sample: DataFrame, plan: Quality, id_col: str,
         columns = [[row[0] for row in rows], [row[1] for row in rows], words, chars, flow]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
 
+    def combine(block: pa.Table, found: pa.Table) -> pa.Table:
+        try:
+            return summed(block, found)
+        finally:
+            let_go()
+
     together = store.read().groupBy("block").cogroup(values.groupBy("block"))
     found = staged(together.applyInArrow(combine, schema), "perplexities")
     store.drop()
